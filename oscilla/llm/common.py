@@ -103,3 +103,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """Without the columns that an operator is about to add: a clashing column gives way to the operator's own."""
+    taken = {n.lower() for n in names}
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in taken))
