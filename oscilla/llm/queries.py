@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from .ogg import op4_media_ogg
+from .quality import op2_quality_ftrl
 
-QUERIES = {f.__name__: f for f in (op4_media_ogg,)}
+QUERIES = {f.__name__: f for f in (op2_quality_ftrl, op4_media_ogg)}
 
 ORACLE_SQL: dict[str, str] = {}
