@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from .ogg import op4_media_ogg
 from .quality import op2_quality_ftrl
+from .toxicity import op6_toxicity_nnpu
 
-QUERIES = {f.__name__: f for f in (op2_quality_ftrl, op4_media_ogg)}
+QUERIES = {f.__name__: f for f in (op2_quality_ftrl, op4_media_ogg, op6_toxicity_nnpu)}
 
 ORACLE_SQL: dict[str, str] = {}
