@@ -5,9 +5,10 @@ from __future__ import annotations
 from . import minhash
 from .minhash import op10_minhash_near
 from .ogg import op4_media_ogg
+from .packing import op8_bestfit_packing
 from .quality import op2_quality_ftrl
 from .toxicity import op6_toxicity_nnpu
 
-QUERIES = {f.__name__: f for f in (op2_quality_ftrl, op4_media_ogg, op6_toxicity_nnpu, op10_minhash_near)}
+QUERIES = {f.__name__: f for f in (op2_quality_ftrl, op4_media_ogg, op6_toxicity_nnpu, op8_bestfit_packing, op10_minhash_near)}
 
 ORACLE_SQL: dict[str, str] = {"op10_minhash_near": minhash.ORACLE}
