@@ -7,8 +7,9 @@ from .minhash import op10_minhash_near
 from .ogg import op4_media_ogg
 from .packing import op8_bestfit_packing
 from .quality import op2_quality_ftrl
+from .sharding import op1_sharding_bytes
 from .toxicity import op6_toxicity_nnpu
 
-QUERIES = {f.__name__: f for f in (op2_quality_ftrl, op4_media_ogg, op6_toxicity_nnpu, op8_bestfit_packing, op10_minhash_near)}
+QUERIES = {f.__name__: f for f in (op1_sharding_bytes, op2_quality_ftrl, op4_media_ogg, op6_toxicity_nnpu, op8_bestfit_packing, op10_minhash_near)}
 
 ORACLE_SQL: dict[str, str] = {"op10_minhash_near": minhash.ORACLE}
