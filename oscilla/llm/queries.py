@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import minhash, warc
+from .additive import op7_additive_ann
 from .bpe import op3_bpe_words
 from .minhash import op10_minhash_near
 from .ogg import op4_media_ogg
@@ -12,6 +13,6 @@ from .sharding import op1_sharding_bytes
 from .toxicity import op6_toxicity_nnpu
 from .warc import op9_warc_seekable
 
-QUERIES = {f.__name__: f for f in (op1_sharding_bytes, op2_quality_ftrl, op3_bpe_words, op4_media_ogg, op6_toxicity_nnpu, op8_bestfit_packing, op9_warc_seekable, op10_minhash_near)}
+QUERIES = {f.__name__: f for f in (op1_sharding_bytes, op2_quality_ftrl, op3_bpe_words, op4_media_ogg, op6_toxicity_nnpu, op7_additive_ann, op8_bestfit_packing, op9_warc_seekable, op10_minhash_near)}
 
 ORACLE_SQL: dict[str, str] = {"op10_minhash_near": minhash.ORACLE, "op9_warc_seekable": warc.ORACLE}
