@@ -10,9 +10,10 @@ from .ogg import op4_media_ogg
 from .packing import op8_bestfit_packing
 from .quality import op2_quality_ftrl
 from .sharding import op1_sharding_bytes
+from .tokencount import op5_token_counts
 from .toxicity import op6_toxicity_nnpu
 from .warc import op9_warc_seekable
 
-QUERIES = {f.__name__: f for f in (op1_sharding_bytes, op2_quality_ftrl, op3_bpe_words, op4_media_ogg, op6_toxicity_nnpu, op7_additive_ann, op8_bestfit_packing, op9_warc_seekable, op10_minhash_near)}
+QUERIES = {f.__name__: f for f in (op1_sharding_bytes, op2_quality_ftrl, op3_bpe_words, op4_media_ogg, op5_token_counts, op6_toxicity_nnpu, op7_additive_ann, op8_bestfit_packing, op9_warc_seekable, op10_minhash_near)}
 
 ORACLE_SQL: dict[str, str] = {"op10_minhash_near": minhash.ORACLE, "op9_warc_seekable": warc.ORACLE}
