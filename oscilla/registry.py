@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import profiles
+from .queries import ledger, profiles
 
-FAMILIES = (profiles,)
+FAMILIES = (profiles, ledger)
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
