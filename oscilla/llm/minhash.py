@@ -9,6 +9,7 @@ probability of (1 - 0.75^4)^32, about 5e-6. No bucket is ever expanded into all
    links give components.
 3. Only in buckets that still hold several components are the pairs between different components looked at, in blocks
    of bounded size whatever the bucket holds; signatures rule out pairs far below the limit, whole sets decide the rest.
+   The pairs never become rows; only links that join components do.
 
 A link inside one component changes nothing, so no component is lost.
 
@@ -37,8 +38,9 @@ BANDS = 32
 ROWS = 2 * PERMUTATIONS // BANDS
 #: Pairs whose signatures agree in less than this share are not confirmed: over 4.5 standard deviations below the limit.
 ESTIMATE = 0.57
-#: Members of a bucket that are held against each other at once.
+#: Members of a bucket, and shingles of theirs, that are held against as many others at once.
 BLOCK = 512
+PART_SHINGLES = 1_000_000
 RUN_BYTES = 1 << 20
 _SEEDS = np.random.default_rng(20240229).integers(1, 1 << 63, (2, PERMUTATIONS), dtype=np.int64).astype(U)
 _FACTORS, _TERMS = _SEEDS[0] | U(1), _SEEDS[1]
@@ -117,15 +119,20 @@ def _signed(df: DataFrame, text: str, doc_id: str) -> DataFrame:
     return df.select(doc_id, text).mapInArrow(run, "doc_id long, key binary, n_shingles long, bands array<long>, brief binary")
 
 
+def alike_sets(x: np.ndarray, y: np.ndarray) -> bool:
+    """100 * |x & y| >= 75 * |x | y| for sorted distinct shingles; an empty set is like nothing."""
+    if not len(x) or not len(y) or 100 * min(len(x), len(y)) < SIMILARITY * max(len(x), len(y)):
+        return False
+    if len(x) < len(y):
+        x, y = y, x
+    both = np.count_nonzero(x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y)
+    return 100 * both >= SIMILARITY * (len(x) + len(y) - both)
+
+
 def linked(a: pa.Array, b: pa.Array) -> np.ndarray:
     """Whether 100 * |A & B| >= 75 * |A | B| for the whole shingle sets of each pair of texts."""
     left, right = shingles(a), shingles(b)
-    out = np.zeros(len(left), bool)
-    for i, (x, y) in enumerate(zip(left, right, strict=True)):
-        if len(x) and len(y) and 100 * min(len(x), len(y)) >= SIMILARITY * max(len(x), len(y)):
-            both = len(x) + len(y) - len(np.union1d(x, y))
-            out[i] = 100 * both >= SIMILARITY * (len(x) + len(y) - both)
-    return out
+    return np.array([alike_sets(x, y) for x, y in zip(left, right, strict=True)], bool)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -181,39 +188,45 @@ def _stars(banded: DataFrame) -> DataFrame:
     return members.join(heads, "band").where("node > head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def _crossing(banded: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b): pairs that share a bucket, lie in different components so far, and have signatures near the limit; each pair once.
+def _crossing(banded: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): confirmed links between components that share a bucket, as many as it takes to join them.
 
-    A bucket of n members is cut into ceil(n / BLOCK) parts, and each two parts meet in a group of their own, so no task
-    gets more than two parts of any bucket."""
+    A bucket is cut into parts of BLOCK members and PART_SHINGLES shingles at most, and each two parts meet in a group of
+    their own, so no task gets more than two parts of any bucket. Within a group all pairs between different components are
+    looked at: in the first bucket that both share, if their signatures are near the limit, over whole shingle sets. Only
+    links that join what was apart leave the group."""
     placed = banded.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "bands", "brief", "n_shingles")
-    members = placed.select("node", "component", F.explode("bands").alias("band"))
-    mixed = members.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    some = members.join(mixed, "band")
-    own = some.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    met = own.select("band", "node", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    met = met.select("node", "band", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
-    full = met.join(placed.select("node", "component", "brief", "n_shingles"), "node")
+    members = placed.select("node", "component", "n_shingles", F.posexplode("bands").alias("place", "band"))
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_shingles") / PART_SHINGLES)).cast("int")
+    mixed = members.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), parts.alias("parts")).where("low < high").select("band", "parts")
+    own = members.join(mixed, "band").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    met = own.select("band", "place", "node", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    met = met.select("node", "band", "place", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
+    full = met.join(placed.join(texts, "node"), "node")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("node")
-        node, component, size = (table[c].to_numpy() for c in ("node", "component", "n_shingles"))
-        part, p, q = (table[c].to_numpy() for c in ("part", "p", "q"))
+        node, label, size, part = (table[c].to_numpy().copy() for c in ("node", "component", "n_shingles", "part"))
+        alone, place = table["p"][0] == table["q"][0], table["place"][0].as_py()
+        keys = np.stack(table["bands"].to_pylist()).astype(np.int64)
         brief = np.frombuffer(b"".join(table["brief"].to_pylist()), np.uint8).reshape(len(node), 2 * PERMUTATIONS)
+        sets: list[np.ndarray] = []
+        for at in range(0, len(node), 64):
+            sets += shingles(table["text"].slice(at, 64).combine_chunks())
         found = []
         for i in range(len(node)):
             # Two parts meet here: pairs within a part belong to that part's own group.
-            rest = slice(i + 1, None)
-            near = (component[rest] != component[i]) & ((part[rest] != part[i]) | (p[i] == q[i])) & (node[rest] != node[i])
-            near &= (100 * np.minimum(size[rest], size[i]) >= SIMILARITY * np.maximum(size[rest], size[i]))
+            near = (label[i + 1 :] != label[i]) & (alone | (part[i + 1 :] != part[i])) & (100 * np.minimum(size[i + 1 :], size[i]) >= SIMILARITY * np.maximum(size[i + 1 :], size[i]))
             at = np.flatnonzero(near) + i + 1
-            if len(at):
-                at = at[(brief[at] == brief[i]).sum(1) >= ESTIMATE * 2 * PERMUTATIONS]
-                found.append(np.stack([np.full(len(at), node[i]), node[at]], 1))
-        made = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-        return pa.table({"a": made[:, 0], "b": made[:, 1]})
+            at = at[(keys[at, :place] != keys[i, :place]).all(1)]
+            alike = (brief[at] == brief[i]).sum(1)
+            for j in at[np.argsort(-alike, kind="stable")][: np.count_nonzero(alike >= ESTIMATE * 2 * PERMUTATIONS)].tolist():
+                if label[j] != label[i] and alike_sets(sets[i], sets[j]):
+                    label[label == label[j]] = label[i]
+                    found.append((node[i], node[j]))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return full.groupBy("band", "p", "q").applyInArrow(run, "a long, b long").distinct()
+    return full.groupBy("band", "p", "q").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -239,9 +252,9 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     same = members.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     links = cut(links.unionAll(same))
     labels = components(links)
-    crossing = cut(_crossing(banded, labels))
+    crossing = cut(_crossing(banded, labels, texts))
     if not crossing.isEmpty():
-        labels = components(cut(links.unionAll(confirmed(crossing, texts))))
+        labels = components(cut(links.unionAll(crossing)))
 
     found = members.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     rows = found.unionAll(signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
