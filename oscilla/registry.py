@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import ledger, profiles
+from .queries import ledger, models, profiles, timeline
 
-FAMILIES = (profiles, ledger)
+FAMILIES = (profiles, ledger, timeline, models)
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
