@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Unicode white space, letters and digits, and what a safe text has none of.
 SPACES = r"[\t-\r\x1c- \x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -76,7 +77,7 @@ def label_key(raw: str) -> str:
     return " ".join(folded.translate(str.maketrans("-_/", "   ")).split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalized_label(raw: pd.Series) -> pd.Series:
     """label_key for any Unicode; Spark has neither compatibility forms nor case folding."""
     return raw.map(label_key, na_action="ignore")
@@ -98,7 +99,7 @@ def operating_state(value: Column) -> Column:
     return F.when(key.isin(*STATES), key)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def question(value: pd.Series) -> pd.Series:
     """NFC, single blanks, 3 to 500 characters; else null."""
 
@@ -126,7 +127,7 @@ def hash_vector(text: str, dimension: int, version: str) -> list[float]:
 def hash_embedding(dimension: int = 32, version: str = "hash.v1"):
     """A pandas UDF that embeds texts by hash_vector."""
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def embed(text: pd.Series) -> pd.Series:
         return text.map(lambda t: hash_vector(t, dimension, version), na_action="ignore")
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import ledger, models, profiles, timeline
+from .queries import corpus, ledger, models, profiles, timeline
 
-FAMILIES = (profiles, ledger, timeline, models)
+FAMILIES = (profiles, ledger, timeline, models, corpus)
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
