@@ -70,7 +70,7 @@ def style_grams(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray,
     return [(low, owner), _joined(low, owner, 2), (shape ^ U(11), owner), _joined(shape ^ U(12), owner, 2), _joined(shape ^ U(13), owner, 3)]
 
 
-def stem_grams(raw: np.ndarray, offsets: np.ndarray, stems: tuple[int, ...] = (4, 5, 6)) -> tuple[np.ndarray, np.ndarray]:
+def stem_grams(raw: np.ndarray, offsets: np.ndarray, stems: tuple[int, ...] = (5, 6, 7)) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of small-letter words without punctuation, and of their first bytes, and the text of each."""
     starts, ends = spans(_STEM[raw], offsets)
     owner = np.searchsorted(offsets, starts, side="right") - 1

@@ -13,6 +13,8 @@ columns named like the added ones give way.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,54 +25,78 @@ from .common import buffer_of, fold, read, slices, without
 from .features import stem_grams
 from .words import U
 
-#: Hash space, the most rows that training uses of either kind (those with the smallest hash of doc_id), full-gradient steps, and the score from which a text is toxic.
-DIM = 1 << 20
+#: The most rows that training uses of either kind (those with the smallest hash of doc_id), full-gradient steps, and the score from which a text is toxic.
 TOXIC_ROWS = 4_000
 UNLABELLED_ROWS = 10_000
-STEPS = 120
-RATE = 0.3
-L1 = 2e-5
-#: A feature is learnt if so many toxic examples have it, at so many times the rate of unlabelled text, and so many standard deviations above it.
-LEAST = 3
-LIFT = 3.0
+STEPS = 600
+RATE = 0.5
+L1 = 1e-5
+#: A feature is learnt if so many toxic examples have it, and this share of them, at a rate above that of unlabelled text by so
+#: many standard deviations and by this share of 1 / prior (which is the most that the prior allows).
+LEAST, LEAST_SHARE = 3, 0.005
+LIFT = 0.5
 DEVIATIONS = 6.0
 THRESHOLD = 0.5
+#: Features of more than this share of unlabelled texts say nothing about copies; orders that are tried.
+COMMON = 0.005
+SKETCHES, LIKE = 8, 3
 RUN_BYTES = 2 << 20
 
 
-def _index(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> U(40)).astype(np.int64) & (DIM - 1)
+def _numbers(hashes: np.ndarray) -> np.ndarray:
+    """Feature numbers: 32 bits, so that rare words of long clean texts hardly ever fall on a learnt feature."""
+    return (hashes >> U(32)).astype(np.int64)
+
+
+@dataclass
+class Model:
+    """Learnt features in rising order, their weights, the bias."""
+
+    features: np.ndarray
+    weights: np.ndarray
+    bias: float
+
+    def __post_init__(self) -> None:
+        self.seen = np.zeros(1 << 16, bool)
+        self.seen[self.features & 0xFFFF] = True
+
+    def find(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in `numbers` learnt features stand, and which."""
+        near = np.flatnonzero(self.seen[numbers & 0xFFFF])
+        spot = np.searchsorted(self.features, numbers[near])
+        spot[spot == len(self.features)] = 0
+        hit = self.features[spot] == numbers[near] if len(self.features) else np.zeros(len(near), bool)
+        return near[hit], spot[hit]
 
 
 def present(texts: pa.Array) -> list[np.ndarray]:
     """The distinct feature numbers of each text."""
     raw, offsets = buffer_of(texts)
     hashes, owner = stem_grams(raw, offsets)
-    pairs = np.unique(owner * DIM + _index(hashes))
-    cuts = np.searchsorted(pairs, np.arange(len(offsets)) * DIM)
-    return [pairs[a:b] % DIM for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    numbers = _numbers(hashes)
+    pairs = np.unique((owner << 32) | numbers)
+    cuts = np.searchsorted(pairs, np.arange(len(offsets)) << 32)
+    return [pairs[a:b] & 0xFFFFFFFF for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def margins(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
-    """Bias and weights of the features that occur; only features with a weight are made distinct."""
+def margins(texts: pa.Array, model: Model) -> np.ndarray:
+    """Bias and weights of the learnt features that occur; only these are made distinct."""
     raw, offsets = buffer_of(texts)
     hashes, owner = stem_grams(raw, offsets)
-    index = _index(hashes)
-    used = weights[index] != 0
-    pairs = np.unique(owner[used] * DIM + index[used])
-    return float(weights[-1]) + np.bincount(pairs // DIM, weights[pairs % DIM], len(offsets) - 1)
+    at, which = model.find(_numbers(hashes))
+    pairs = np.unique((owner[at] << 32) | which)
+    return model.bias + np.bincount(pairs >> 32, model.weights[pairs & 0xFFFFFFFF], len(offsets) - 1)
 
 
 class Rows:
-    """Sparse rows of ones."""
+    """Sparse rows of ones over the kept features."""
 
     def __init__(self, rows: list[np.ndarray], kept: np.ndarray) -> None:
-        number = np.full(DIM, -1, np.int64)
-        number[kept] = np.arange(len(kept))
-        rows = [x[x >= 0] for x in (number[r] for r in rows)]
-        self.n, self.width = len(rows), len(kept)
-        self.index = np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64)
-        self.owner = np.repeat(np.arange(self.n), [len(r) for r in rows])
+        whole = np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64)
+        owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        spot = np.minimum(np.searchsorted(kept, whole), max(0, len(kept) - 1))
+        hit = kept[spot] == whole if len(kept) else np.zeros(len(whole), bool)
+        self.n, self.width, self.index, self.owner = len(rows), len(kept), spot[hit], owner[hit]
 
     def times(self, w: np.ndarray) -> np.ndarray:
         return w[-1] + np.bincount(self.owner, w[self.index], self.n)
@@ -83,16 +109,33 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
 
 
-def fit(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> np.ndarray:
-    """Weights over DIM features and, last, the bias, by proximal Adagrad on the non-negative PU risk."""
-    weights = np.zeros(DIM + 1, np.float32)
+def unlike(rows: list[np.ndarray], common: np.ndarray) -> list[np.ndarray]:
+    """Rows without copies and near copies of earlier ones, so that a text copied many times does not vouch for its words.
+
+    A row is like an earlier one if the smallest of its rarer features is the same under LIKE of SKETCHES orders (a min-hash)."""
+    seen: list[set[int]] = [set() for _ in range(SKETCHES)]
+    out = []
+    for row in rows:
+        rare = np.setdiff1d(row, common, assume_unique=True).astype(U)
+        keys = [int(((rare * U(2 * k + 0x9E3779B1)) & U(0xFFFFFFFF)).min()) for k in range(SKETCHES)] if len(rare) else []
+        if sum(k in s for k, s in zip(keys, seen, strict=False)) < LIKE:
+            out.append(row)
+        for k, s in zip(keys, seen, strict=False):
+            s.add(k)
+    return out
+
+
+def fit(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
+    """Proximal Adagrad on the non-negative PU risk."""
     if not toxic or not unlabelled:
-        weights[-1] = -35.0
-        return weights
-    seen = np.bincount(np.concatenate(toxic), minlength=DIM)
-    rate = (np.bincount(np.concatenate(unlabelled), minlength=DIM) + 0.5) / (len(unlabelled) + 1)
-    above = (seen - len(toxic) * rate) / np.sqrt(len(toxic) * rate * (1 - np.minimum(rate, 0.999)))
-    kept = np.flatnonzero((seen >= LEAST) & (seen >= LIFT * rate * len(toxic)) & (above >= DEVIATIONS))
+        return Model(np.empty(0, np.int64), np.empty(0), -35.0)
+    other, count = np.unique(np.concatenate(unlabelled), return_counts=True)
+    apart = unlike(toxic, other[count > COMMON * len(unlabelled)])
+    found, seen = np.unique(np.concatenate(apart), return_counts=True)
+    spot = np.minimum(np.searchsorted(other, found), max(0, len(other) - 1))
+    rate = (np.where(other[spot] == found, count[spot], 0) + 1) / (len(unlabelled) + 1) if len(other) else np.full(len(found), 1 / (len(unlabelled) + 1))
+    above = (seen - len(apart) * rate) / np.sqrt(len(apart) * rate * (1 - np.minimum(rate, 0.999)))
+    kept = found[(seen >= max(LEAST, LEAST_SHARE * len(apart))) & (seen >= LIFT / prior * rate * len(apart)) & (above >= DEVIATIONS)]
     p, u = Rows(toxic, kept), Rows(unlabelled, kept)
     w = np.zeros(len(kept) + 1)
     w[-1] = np.log(prior / (1 - prior))
@@ -110,9 +153,8 @@ def fit(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) ->
         step = RATE / np.sqrt(total)
         w -= step * g
         w[:-1] = np.maximum(0, w[:-1] - step[:-1] * L1)
-    weights[kept] = w[:-1]
-    weights[-1] = w[-1]
-    return weights
+    used = w[:-1] > 0
+    return Model(kept[used], w[:-1][used], float(w[-1]))
 
 
 def training_ids(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, unlabelled_rows: int = UNLABELLED_ROWS) -> DataFrame:
@@ -125,32 +167,35 @@ def training_ids(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROW
 
 
 def class_prior(docs: DataFrame, labels: DataFrame) -> float:
-    """Share of toxic rows among the labelled ones outside the held-out fold: what unlabelled text is taken to hold."""
+    """Share of toxic rows among the labelled ones outside the held-out fold, and three standard errors: what unlabelled text is taken to hold.
+
+    Too low a prior would count toxic words of unlabelled text as clean ones; the clamp of the risk bears one too high."""
     known = labels.where(F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    share = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").agg(F.avg("toxic").alias("p")).first()["p"]
-    return min(0.9, max(0.001, share or 0.0))
+    row = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").agg(F.avg("toxic").alias("p"), F.count(F.lit(1)).alias("n")).first()
+    share, n = row["p"] or 0.0, max(1, row["n"])
+    return min(0.9, max(0.001, share + 3 * (share * (1 - share) / n) ** 0.5))
 
 
-def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, toxic_rows: int = TOXIC_ROWS, unlabelled_rows: int = UNLABELLED_ROWS) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, toxic_rows: int = TOXIC_ROWS, unlabelled_rows: int = UNLABELLED_ROWS) -> Model:
     """Executors find the features of the sampled texts; the driver gets those of the bounded sample and fits."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", RUN_BYTES):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("toxic").cast(pa.int32()), pa.array([x.astype("<i4").tobytes() for x in present(part.column("text"))], pa.binary())], names=["doc_id", "toxic", "index"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("toxic").cast(pa.int32()), pa.array([x.astype("<u4").tobytes() for x in present(part.column("text"))], pa.binary())], names=["doc_id", "toxic", "index"])
 
     picked = training_ids(docs, labels, toxic_rows, unlabelled_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInArrow(run, "doc_id long, toxic int, index binary").toArrow()
     rows = rows.sort_by([("toxic", "ascending"), ("doc_id", "ascending"), ("index", "ascending")])
-    made = [np.frombuffer(x, "<i4").astype(np.int64) for x in rows["index"].to_pylist()]
+    made = [np.frombuffer(x, "<u4").astype(np.int64) for x in rows["index"].to_pylist()]
     toxic = rows["toxic"].to_pylist()
     return fit([x for x, y in zip(made, toxic, strict=True) if y], [x for x, y in zip(made, toxic, strict=True) if not y], class_prior(docs, labels) if prior is None else prior)
 
 
-def score(df: DataFrame, weights: np.ndarray, text: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
-    """df's columns (or `keep`) and a score from 0 to 1; no shuffle. The weights are of fixed size, and broadcast."""
+def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """df's columns (or `keep`) and a score from 0 to 1; no shuffle. A model of a bounded sample is bounded too, and broadcast."""
     rest = without(df.select(*keep) if keep else df, name)
-    columns, shared = rest.columns, df.sparkSession.sparkContext.broadcast(weights)
+    columns, shared = rest.columns, df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
