@@ -10,16 +10,16 @@ PATTERN = r"^(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2}:\d{2})(?:\.(\d+))?(Z|(?!-00:00)
 
 
 def parse(text: Column) -> Column:
-    """struct(sec long, frac decimal(38,18)), or null for text without a zone or no instant at all."""
+    """struct(sec long, frac decimal(20,18)), or null for text without a zone or no instant at all."""
     whole = F.try_to_timestamp(F.concat(F.regexp_extract(text, PATTERN, 1), F.lit(" "), F.regexp_extract(text, PATTERN, 2), F.regexp_replace(F.regexp_extract(text, PATTERN, 4), "^Z$", "+00:00")), F.lit("yyyy-MM-dd HH:mm:ssXXX"))
     fraction = F.rpad(F.substring(F.regexp_extract(text, PATTERN, 3), 1, 18), 18, "0")
-    exact = F.concat(F.lit("0."), fraction).cast("decimal(38,18)")
+    exact = F.concat(F.lit("0."), fraction).cast("decimal(20,18)")
     return F.when(text.rlike(PATTERN) & whole.isNotNull(), F.struct(F.unix_seconds(whole).alias("sec"), exact.alias("frac")))
 
 
 def since(later: Column, earlier: Column) -> Column:
     """Exact seconds between two parsed instants."""
-    return (later["sec"] - earlier["sec"]).cast("decimal(38,18)") + (later["frac"] - earlier["frac"])
+    return (later["sec"] - earlier["sec"]).cast("decimal(19,0)") + (later["frac"] - earlier["frac"])
 
 
 def canonical(instant: Column) -> Column:

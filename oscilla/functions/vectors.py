@@ -24,8 +24,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def cosine_score(a: Column, b: Column) -> Column:
-    """0.5 + cos / 2, held to 0..1."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 + cosine(a, b) / 2))
+    """0.5 + cos / 2, held to 0..1; null where a vector is zero."""
+    score = 0.5 + cosine(a, b) / 2
+    return F.when(score.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
 
 
 def standardize(v: Column, mean: Column, scale: Column) -> Column:
