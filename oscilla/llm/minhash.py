@@ -162,7 +162,7 @@ def components(links: DataFrame) -> DataFrame:
         else:
             both = edges
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        near = both.join(low, "u")
+        near = both.join(cut(low) if large else low, "u")
         if large:
             return near.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         hung = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
@@ -184,7 +184,7 @@ def components(links: DataFrame) -> DataFrame:
 def _stars(banded: DataFrame) -> DataFrame:
     """(a, b): each member of a bucket and the bucket's smallest member, each pair once."""
     members = banded.select("node", F.explode("bands").alias("band"))
-    heads = members.groupBy("band").agg(F.min("node").alias("head"), F.max("node").alias("top")).where("head < top").select("band", "head")
+    heads = cut(members.groupBy("band").agg(F.min("node").alias("head"), F.max("node").alias("top")).where("head < top").select("band", "head"))
     return members.join(heads, "band").where("node > head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
 
 
@@ -198,7 +198,7 @@ def _crossing(banded: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFra
     placed = banded.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "bands", "brief", "n_shingles")
     members = placed.select("node", "component", "n_shingles", F.posexplode("bands").alias("place", "band"))
     parts = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_shingles") / PART_SHINGLES)).cast("int")
-    mixed = members.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), parts.alias("parts")).where("low < high").select("band", "parts")
+    mixed = cut(members.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), parts.alias("parts")).where("low < high").select("band", "parts"))
     own = members.join(mixed, "band").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     met = own.select("band", "place", "node", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     met = met.select("node", "band", "place", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
@@ -234,7 +234,8 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     spark = df.sparkSession
     signed = shared_table(spark, _signed(df, text, doc_id), "minhash")
     named = signed.where("n_shingles > 0 and doc_id is not null")
-    groups = named.groupBy("key").agg(F.min("doc_id").alias("node"))
+    # Each table of minima is cut off before it is joined back: a join of two plain exchanges can split a hot key.
+    groups = cut(named.groupBy("key").agg(F.min("doc_id").alias("node")))
     members = shared_table(spark, signed.where("n_shingles > 0").select("doc_id", "key", "n_shingles").join(groups, "key", "left"), "members")
     nodes = members.where("doc_id = node").select("node", "key").distinct()
     banded = named.withColumnRenamed("doc_id", "node").join(nodes, ["node", "key"], "left_semi").dropDuplicates(["node", "key"])
