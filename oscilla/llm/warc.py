@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, shared_table
+from .common import cut, read, shared_table
 
 MIN_REVISIT = 100
 FRAME_BYTES = 256 << 10
@@ -153,6 +153,7 @@ def described(df: DataFrame, page_id: str = "page_id", url: str = "url", html: s
     rows = df.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("html"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(F.encode(payload, "UTF-8"), 256).alias("payload_digest"))
     # Groups of one need no join partner; the rest come down to one narrow row each before anything is moved.
     firsts = rows.where(F.col("payload_bytes") >= MIN_REVISIT).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select("payload_digest", "first")
+    firsts = cut(firsts)  # so that the join is of two plain exchanges, which can split a hot payload
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     return rows.join(firsts, "payload_digest", "left").select("page_id", "url", "payload_digest", "payload_bytes", refers.alias("refers_to"), F.when(refers.isNull(), F.col("html")).alias("html"))
 
