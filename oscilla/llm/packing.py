@@ -25,8 +25,8 @@ from .pretokens import encode_texts, json_memory
 
 CAPACITY = 1024
 END = 2
-#: Pieces of one length that are ranked by one task at once, about.
-PART = 1 << 16
+#: Pieces of one length that are ranked together, about.
+PART = 1 << 10
 RUN_BYTES = 1 << 20
 
 #: How many bins, and for each the (length, number of pieces) in it.
@@ -205,8 +205,9 @@ def pack(df: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_i
         counts[row["length"]] = row["n"]
     places = spark.createDataFrame(segments(pack_counts(counts, capacity)), "length long, first long, after long, items long, sequence long, at long")
 
-    parts = max(1, int(-(-counts.max() // PART)))
-    spread = cut.withColumn("part", F.pmod(F.xxhash64("turn"), F.lit(parts)))
+    # A length has as many parts as its pieces need; the list has `capacity` entries.
+    parts = F.element_at(F.array(*(F.lit(max(1, int(-(-n // PART)))) for n in counts[1:])), F.col("length").cast("int"))
+    spread = cut.withColumn("part", F.pmod(F.xxhash64("turn"), parts))
     sizes = spread.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("length", "part", F.coalesce("before", F.lit(0)).alias("before"))
     ranked = spread.withColumn("own", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "turn")))
