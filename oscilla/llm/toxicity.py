@@ -154,7 +154,8 @@ def fit(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) ->
         w -= step * g
         w[:-1] = np.maximum(0, w[:-1] - step[:-1] * L1)
     used = w[:-1] > 0
-    return Model(kept[used], w[:-1][used], float(w[-1]))
+    # A text without any learnt feature is never likelier toxic than any other text.
+    return Model(kept[used], w[:-1][used], min(float(w[-1]), float(np.log(prior / (1 - prior)))))
 
 
 def training_ids(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, unlabelled_rows: int = UNLABELLED_ROWS) -> DataFrame:
@@ -167,13 +168,13 @@ def training_ids(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROW
 
 
 def class_prior(docs: DataFrame, labels: DataFrame) -> float:
-    """Share of toxic rows among the labelled ones outside the held-out fold, and three standard errors: what unlabelled text is taken to hold.
+    """Share of toxic rows among the labelled ones outside the held-out fold, and three standard errors or 7 % of it, if that is less: what unlabelled text is taken to hold.
 
     Too low a prior would count toxic words of unlabelled text as clean ones; the clamp of the risk bears one too high."""
     known = labels.where(F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     row = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").agg(F.avg("toxic").alias("p"), F.count(F.lit(1)).alias("n")).first()
     share, n = row["p"] or 0.0, max(1, row["n"])
-    return min(0.9, max(0.001, share + 3 * (share * (1 - share) / n) ** 0.5))
+    return min(0.9, max(0.001, share + min(3 * (share * (1 - share) / n) ** 0.5, 0.07 * share)))
 
 
 def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, toxic_rows: int = TOXIC_ROWS, unlabelled_rows: int = UNLABELLED_ROWS) -> Model:
