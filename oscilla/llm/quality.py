@@ -26,7 +26,7 @@ from .words import U
 #: Hash space, the most labelled rows that training uses (those with the smallest hash of doc_id), passes over them, and the score from which a document is good.
 DIM = 1 << 18
 TRAIN_ROWS = 6_000
-EPOCHS = 3
+EPOCHS = 6
 THRESHOLD = 0.3
 RUN_BYTES = 2 << 20
 
