@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -117,11 +118,10 @@ def document_id(filename: Column) -> Column:
 
 
 def hash_vector(text: str, dimension: int, version: str) -> list[float]:
-    """A deterministic unit vector from SHAKE-256; says nothing about meaning."""
-    raw = hashlib.shake_256(f"{version}\0{text}".encode()).digest(2 * dimension)
-    values = [int.from_bytes(raw[i : i + 2], "big") / 32767.5 - 1.0 for i in range(0, len(raw), 2)]
-    norm = sum(v * v for v in values) ** 0.5
-    return [v / norm for v in values] if norm else [1.0] + [0.0] * (dimension - 1)
+    """A deterministic unit vector: 16-bit numbers of SHAKE-256 over version, NUL and text, spread over -1 to 1. Says nothing about meaning."""
+    noise = np.frombuffer(hashlib.shake_256(f"{version}\0{text}".encode()).digest(2 * dimension), ">u2") / 32767.5 - 1.0
+    length = np.linalg.norm(noise)
+    return (noise / length if length else np.eye(dimension)[0]).tolist()
 
 
 def hash_embedding(dimension: int = 32, version: str = "hash.v1"):
