@@ -16,7 +16,7 @@ _S, _A, _W = "[\\t-\\r\\x1c- \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}
 @register(
     "FN-10",
     f"""WITH m AS (SELECT doc_id, length(text) AS characters, length(regexp_replace(text, '{_S}', '', 'g')) AS solid, length(text) - length(regexp_replace(text, '{_A}', '', 'g')) AS alphanumeric, len(regexp_extract_all(text, '{_W}')) AS words, length(text) - length(replace(text, chr(65533), '')) AS replaced, length(translate(text, chr(10) || chr(9), '')) - length(regexp_replace(translate(text, chr(10) || chr(9), ''), '[\\p{{Cc}}\\p{{Cf}}]', '', 'g')) AS controls FROM documents), r AS (SELECT *, round(alphanumeric / nullif(solid, 0), 6) AS share FROM m)
-    SELECT doc_id, characters, solid, alphanumeric, words, share, concat_ws(',', CASE WHEN solid = 0 THEN 'text.empty' END, CASE WHEN solid > 0 AND alphanumeric < 12 THEN 'text.too_short' END, CASE WHEN share < 0.5 THEN 'text.low_alphanumeric_ratio' END, CASE WHEN replaced > 0 THEN 'text.replacement_characters' END, CASE WHEN controls > 0 THEN 'text.control_characters' END) AS signals FROM r""",
+    SELECT doc_id, characters::INT AS characters, solid::INT AS solid, alphanumeric::INT AS alphanumeric, words::INT AS words, share, concat_ws(',', CASE WHEN solid = 0 THEN 'text.empty' END, CASE WHEN solid > 0 AND alphanumeric < 12 THEN 'text.too_short' END, CASE WHEN share < 0.5 THEN 'text.low_alphanumeric_ratio' END, CASE WHEN replaced > 0 THEN 'text.replacement_characters' END, CASE WHEN controls > 0 THEN 'text.control_characters' END) AS signals FROM r""",
 )
 def text_quality_documents(spark, sf_dir):
     m = read(spark, sf_dir, "documents").select("doc_id", tx.measures(F.col("text")).alias("m"))
@@ -218,7 +218,7 @@ def illegal_transitions(spark, sf_dir):
     return lifecycle.illegal(_log(spark, sf_dir), "conv_id").select("conv_id", "sequence", "problem")
 
 
-_DOCS = "SELECT o_custkey AS document, o_orderkey AS version, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS sequence, CASE WHEN o_orderstatus = 'F' THEN 'approved' WHEN o_orderstatus = 'O' THEN 'pending_approval' ELSE 'failed' END AS target_status, o_orderkey AS occurred_at FROM {orders}"
+_DOCS = "SELECT o_custkey AS document, o_orderkey AS version, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS sequence, CASE WHEN o_orderstatus = 'F' THEN 'approved' WHEN o_orderstatus = 'O' THEN 'pending_approval' ELSE 'failed' END AS target_status, o_orderkey AS occurred_at FROM {orders}"
 
 
 @register("LC-2", f"WITH e AS ({_DOCS.format(orders='orders')}), n AS (SELECT document, max(version) AS version, max_by(target_status, version) AS status, max_by(sequence, version) AS sequence, max(occurred_at) AS now FROM e GROUP BY document), a AS (SELECT * FROM n WHERE status = 'pending_approval') SELECT document, version, sequence + 1 AS sequence, 'approved' AS target_status, now AS occurred_at FROM a UNION ALL SELECT document, e.version, e.sequence + 1, 'superseded', now FROM e JOIN a USING (document) WHERE target_status = 'approved'")

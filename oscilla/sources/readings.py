@@ -70,7 +70,7 @@ SELECT id, {text} AS created_at, z / 25.4 + CASE WHEN id % 50 = 0 THEN 1.0 ELSE
   (id % 7) * 0.25 AS z_rms_acceleration_g, (id % 11) * 0.25 AS x_rms_acceleration_g, 3.0 + (id % 13) * 0.5 AS z_kurtosis, 3.0 + (id % 23) * 0.5 AS x_kurtosis,
   1.0 + (id % 5) * 0.75 AS z_crest_factor, 1.0 + (id % 9) * 0.75 AS x_crest_factor, z * 1.5 / 25.4 AS z_peak_velocity_in_s, z * 1.5 AS z_peak_velocity_mm_s,
   x * 1.5 / 25.4 AS x_peak_velocity_in_s, x * 1.5 AS x_peak_velocity_mm_s, (id % 29) * 0.0625 AS z_high_freq_rms_accel_g, (id % 31) * 0.0625 AS x_high_freq_rms_accel_g,
-  fault, 1000.0 + (id % 700) + turn AS rpm, ts
+  fault, CAST(1000.0 + (id % 700) + turn AS DOUBLE) AS rpm, ts
 FROM (
   SELECT event_id AS id, ts, event_type AS fault, coalesce(abs(value), 0.0) AS z, coalesce(abs(value), 0.0) * 0.5 AS x, 20.0 + (event_id % 30) AS c, 0.0 AS turn FROM events
   UNION ALL SELECT event_id, ts, event_type, coalesce(abs(value), 0.0), coalesce(abs(value), 0.0) * 0.5, 20.0 + (event_id % 30), 0.0 FROM events WHERE event_id % 200 = 0
