@@ -30,10 +30,16 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB at most between Spark and Python: with long texts, the default holds far more in each worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def shared_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Writes df once as Parquet in the shared folder and reads it back.
 
     This cuts lineage: whatever executor is lost later, the rows stay as they are."""
+    small_batches(spark)
     path = f"{shared_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
@@ -100,6 +106,7 @@ def scratch_name(df: DataFrame, stem: str) -> str:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -41,7 +41,7 @@ ESTIMATE = 0.57
 #: Members of a bucket, and shingles of theirs, that are held against as many others at once.
 BLOCK = 512
 PART_SHINGLES = 1_000_000
-RUN_BYTES = 1 << 20
+RUN_BYTES = 512 << 10
 _SEEDS = np.random.default_rng(20240229).integers(1, 1 << 63, (2, PERMUTATIONS), dtype=np.int64).astype(U)
 _FACTORS, _TERMS = _SEEDS[0] | U(1), _SEEDS[1]
 

@@ -27,7 +27,7 @@ CAPACITY = 1024
 END = 2
 #: Pieces of one length that are ranked together, about.
 PART = 1 << 10
-RUN_BYTES = 1 << 20
+RUN_BYTES = 512 << 10
 
 #: How many bins, and for each the (length, number of pieces) in it.
 Layouts = list[tuple[int, tuple[tuple[int, int], ...]]]

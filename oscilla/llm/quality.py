@@ -28,7 +28,7 @@ DIM = 1 << 18
 TRAIN_ROWS = 6_000
 EPOCHS = 6
 THRESHOLD = 0.3
-RUN_BYTES = 2 << 20
+RUN_BYTES = 512 << 10
 
 
 @dataclass

@@ -30,7 +30,7 @@ from .words import spans
 #: Fixed value of unigram tokenizers.
 UNKNOWN_PENALTY = 10.0
 MARK = "▁"
-RUN_BYTES = 1 << 20
+RUN_BYTES = 512 << 10
 
 
 def vocabulary(model_path: str) -> dict[str, float]:

@@ -40,7 +40,7 @@ THRESHOLD = 0.5
 #: Features of more than this share of unlabelled texts say nothing about copies; orders that are tried.
 COMMON = 0.005
 SKETCHES, LIKE = 8, 3
-RUN_BYTES = 2 << 20
+RUN_BYTES = 512 << 10
 
 
 def _numbers(hashes: np.ndarray) -> np.ndarray:

@@ -29,7 +29,7 @@ def _tables(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, n at least of each."""
-    size = 1 << max(21, int(n).bit_length())
+    size = 1 << max(20, int(n).bit_length())
     return _tables(size)
 
 
