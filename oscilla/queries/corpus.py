@@ -244,6 +244,66 @@ def compare_and_swap(spark, sf_dir):
     return lifecycle.compare_and_swap(stored, commands, "document")
 
 
+#: Events of one version of a document: fates by the order's key; a plant leaves out, repeats or turns one event.
+_GOVERNED = """WITH v AS (SELECT o_custkey AS document, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS version, sha2(string(o_orderkey), 256) AS sha256, IF({plants}, o_orderkey % 17, 99) AS plant FROM {orders}),
+e AS (SELECT *, posexplode(filter(array(
+named_struct('version', version, 'action', 'registered', 'step', '', 'source', '', 'target', 'received', 'kept', true),
+named_struct('version', version, 'action', 'processing_started', 'step', '', 'source', 'received', 'target', 'processing', 'kept', true),
+named_struct('version', version, 'action', 'step_failed', 'step', 'extraction', 'source', 'processing', 'target', 'failed', 'kept', k % 3 = 0),
+named_struct('version', version, 'action', 'reprocessing_started', 'step', '', 'source', 'failed', 'target', 'processing', 'kept', k % 3 = 0),
+named_struct('version', version, 'action', 'step_succeeded', 'step', 'extraction', 'source', 'processing', 'target', 'processing', 'kept', plant <> 1),
+named_struct('version', version, 'action', 'step_succeeded', 'step', 'extraction', 'source', 'processing', 'target', 'processing', 'kept', plant = 2),
+named_struct('version', version, 'action', 'step_failed', 'step', 'extraction', 'source', 'processing', 'target', 'failed', 'kept', plant = 3),
+named_struct('version', version, 'action', 'step_succeeded', 'step', 'indexing', 'source', 'processing', 'target', IF(plant = 4, 'processing', 'pending_approval'), 'kept', true),
+named_struct('version', 1L, 'action', 'superseded', 'step', '', 'source', 'approved', 'target', 'superseded', 'kept', version = 2 AND plant NOT IN (5, 6)),
+named_struct('version', version, 'action', 'approved', 'step', '', 'source', 'pending_approval', 'target', 'approved', 'kept', version <= 2 AND plant <> 5),
+named_struct('version', version, 'action', 'rejected', 'step', '', 'source', 'pending_approval', 'target', 'rejected', 'kept', version > 2),
+named_struct('version', version, 'action', 'reprocessing_started', 'step', '', 'source', 'rejected', 'target', 'processing', 'kept', version > 2),
+named_struct('version', version, 'action', 'step_succeeded', 'step', 'extraction', 'source', 'processing', 'target', 'processing', 'kept', version > 2 AND plant <> 7),
+named_struct('version', version, 'action', 'step_succeeded', 'step', 'indexing', 'source', 'processing', 'target', 'pending_approval', 'kept', version > 2),
+named_struct('version', IF(plant = 8, version - 1, version), 'action', 'rejected', 'step', '', 'source', 'pending_approval', 'target', 'rejected', 'kept', version > 2 AND plant <> 5)), x -> x.kept)) AS (place, e) FROM v)
+SELECT document, e.version AS version, row_number() OVER (PARTITION BY document ORDER BY v.version, place) AS sequence, e.action AS action, nullif(e.step, '') AS step, IF(e.action IN ('registered', 'reprocessing_started'), sha256, null) AS sha256, 'reviewer' AS actor, nullif(e.source, '') AS source_status, e.target AS target_status, v.version AS occurred_at FROM e AS v"""
+
+
+def governed_log(spark, sf_dir, plants: bool):
+    """A full event log: each customer is a document, each order a version of it. With plants, some versions break a rule."""
+    return spark.sql(_GOVERNED.replace("{plants}", str(plants).lower()), orders=read(spark, sf_dir, "orders"))
+
+
+@register("LC-3 LC-4")
+def governed_history_problems(spark, sf_dir):
+    """Every rule of registering and of the steps on a log with planted breaks; each rule is held against a planted break in the tests."""
+    return lifecycle.history_problems(governed_log(spark, sf_dir, True), "document")
+
+
+@register("LC-3")
+def registration_outcomes(spark, sf_dir):
+    """Commands to register, by fifths: exact repeats, repeats by another actor, known content under a new number, a skipped number, new content."""
+    log = governed_log(spark, sf_dir, True)
+    first = log.where("action = 'registered'")
+    last = log.groupBy("document").agg(F.max("version").alias("top"), F.max("occurred_at").alias("now"))
+    kind = F.pmod("document", F.lit(5))
+    commands = first.join(last, "document").where("version = top").select(
+        "document", F.when(kind < 2, F.col("version")).when(kind == 3, F.col("version") + 2).otherwise(F.col("version") + 1).alias("version"),
+        F.when(kind < 3, F.col("sha256")).otherwise(F.sha2(F.concat("sha256", F.lit("+")), 256)).alias("sha256"), F.when(kind == 1, F.lit("other")).otherwise(F.col("actor")).alias("actor"), F.col("now").alias("occurred_at"))
+    return lifecycle.registrations(log, commands, "document")
+
+
+@register("LC-5")
+def audited_swaps(spark, sf_dir):
+    """The last event of each document as a command on the rest; by sixths with a stored event changed, none added, a broken event, or another state than the replay's."""
+    log = governed_log(spark, sf_dir, False).withColumn("occurred_at", F.col("occurred_at").cast("long"))
+    sizes = log.groupBy("document").agg(F.max("sequence").alias("command"))
+    both = log.join(sizes, "document")
+    history = both.where("sequence < command").drop("command")
+    kind = F.pmod("document", F.lit(6))
+    proposed = both.where((kind != 2) | (F.col("sequence") < F.col("command"))).withColumn("actor", F.when((kind == 1) & (F.col("sequence") == 1), F.lit("other")).otherwise(F.col("actor")))
+    proposed = proposed.withColumn("source_status", F.when((kind == 3) & (F.col("sequence") == F.col("command")), F.lit("received")).otherwise(F.col("source_status")))
+    states = lifecycle.replayed(proposed, ["document", "command", "version"]).select("document", "command", "version", F.when((kind == 4) & (F.col("version") == 1), F.lit("failed")).otherwise(F.col("status")).alias("status"))
+    stored = sizes.select("document", (F.col("command") - 1).alias("revision"), (F.col("command") - 1).alias("last_command"))
+    return lifecycle.audited_swaps(stored, history, sizes.select("document", F.when(kind == 5, F.col("command") + 1).otherwise(F.col("command") - 1).alias("expected"), "command"), proposed, states, "document")
+
+
 @register("JN-1", "SELECT c_custkey, c_name, o_orderkey, o_orderstatus FROM customer JOIN orders ON c_custkey = o_custkey")
 def versions_with_metadata(spark, sf_dir):
     """The one relational join: versions with their metadata."""

@@ -238,6 +238,78 @@ def test_lifecycle_rules(spark):
     assert {(r["k"], r["sequence"]): r["problem"] for r in lifecycle.illegal(df, "k").collect()} == {("a", 3): "transition", ("b", 1): "first_event", ("c", 2): "clock", ("d", 3): "sequence", ("e", 2): "source_mismatch"}
 
 
+_START = [(1, "registered", None, None, "received"), (1, "processing_started", None, "received", "processing")]
+_READY = [*_START, (1, "step_succeeded", "extraction", "processing", "processing"), (1, "step_succeeded", "indexing", "processing", "pending_approval")]
+_FAILED = [(1, "step_failed", "indexing", "processing", "failed"), (1, "reprocessing_started", None, "failed", "processing")]
+_REJECTED = [*_READY, (1, "rejected", None, "pending_approval", "rejected"), (1, "reprocessing_started", None, "rejected", "processing")]
+_APPROVED = [*_READY, (1, "approved", None, "pending_approval", "approved")]
+_SECOND = [(2, *e[1:]) for e in _READY]
+_SWITCH = [(1, "superseded", None, "approved", "superseded"), (2, "approved", None, "pending_approval", "approved")]
+_HISTORIES = {
+    "legal": ([*_APPROVED, *_SECOND, *_SWITCH], {}),
+    "resumed": ([*_READY[:3], *_FAILED, _READY[3]], {}),
+    "restarted": ([*_REJECTED, *_READY[2:]], {}),
+    "first": ([_START[1]], {1: "first_event"}),
+    "jump": ([*_APPROVED, (3, "registered", None, None, "received")], {6: "version_not_sequential"}),
+    "content": ([*_APPROVED, (2, "registered", None, None, "received", "sha1")], {6: "content_already_registered"}),
+    "repeat": ([*_START, _START[0]], {3: "repeated_registration"}),
+    "conflict": ([*_START, (1, "registered", None, None, "received", "else")], {3: "version_conflict"}),
+    "active": ([*_START, _SECOND[0]], {3: "active_candidate"}),
+    "old": ([*_READY, (1, "rejected", None, "pending_approval", "rejected"), _SECOND[0], (1, "reprocessing_started", None, "rejected", "processing")], {7: "not_latest"}),
+    "unknown": ([*_START, _SECOND[1]], {3: "unknown_version"}),
+    "bytes": ([*_READY[:3], _FAILED[0], (1, "reprocessing_started", None, "failed", "processing", "else")], {5: "content_mismatch"}),
+    "source": ([_START[0], _READY[2]], {2: "source_mismatch"}),
+    "step": ([*_START, (1, "step_succeeded", "printing", "processing", "processing")], {3: "transition"}),
+    "skip": ([*_START, _READY[3]], {3: "indexing_before_extraction"}),
+    "fail_skip": ([*_START, _FAILED[0]], {3: "indexing_before_extraction"}),
+    "twice": ([*_READY[:3], _READY[2]], {4: "step_already_succeeded"}),
+    "kept": ([*_READY[:3], *_FAILED, _READY[2]], {6: "step_already_succeeded"}),
+    "regress": ([*_READY[:3], (1, "step_failed", "extraction", "processing", "failed")], {4: "step_regressed"}),
+    "restart": ([*_REJECTED, _READY[3]], {7: "indexing_before_extraction"}),
+    "early": ([*_START, (1, "step_succeeded", "extraction", "processing", "pending_approval"), _APPROVED[-1]], {3: "completion", 4: "approval_blocked"}),
+    "late": ([*_READY[:3], (1, "step_succeeded", "indexing", "processing", "processing")], {4: "completion"}),
+    "two": ([*_APPROVED, *_SECOND, _SWITCH[1]], {10: "current_not_superseded"}),
+    "alone": ([*_APPROVED, *_SECOND, _SWITCH[0]], {10: "supersession_alone"}),
+}
+_EVENT = "d string, version long, sequence long, action string, step string, sha256 string, actor string, source_status string, target_status string, occurred_at long"
+
+
+def _events(spark, histories):
+    return spark.createDataFrame([(d, e[0], i, e[1], e[2], e[5] if len(e) > 5 else f"sha{e[0]}", "x", e[3], e[4], 7) for d, log in histories.items() for i, e in enumerate(log, 1)], _EVENT)
+
+
+def test_history_rules(spark):
+    events = _events(spark, {d: log for d, (log, _) in _HISTORIES.items()})
+    late = _events(spark, {"clock": _READY, "number": _READY})
+    late = late.withColumn("occurred_at", F.expr("if(d = 'clock' and sequence = 3, 6, occurred_at)")).withColumn("sequence", F.expr("if(d = 'number' and sequence = 4, 5, sequence)"))
+    got = {(r["d"], r["sequence"]): r["problem"] for r in lifecycle.history_problems(events.unionByName(late), "d").collect()}
+    assert got == {(d, i): p for d, (_, found) in _HISTORIES.items() for i, p in found.items()} | {("clock", 3): "clock", ("number", 5): "sequence"}
+
+
+def test_history_rules_of_the_query(spark, small):
+    from oscilla.queries import corpus
+
+    assert lifecycle.history_problems(corpus.governed_log(spark, small, False), "document").count() == 0
+    found = {r["problem"] for r in corpus.governed_history_problems(spark, small).select("problem").distinct().collect()}
+    assert found >= {"indexing_before_extraction", "step_already_succeeded", "step_regressed", "completion", "active_candidate", "current_not_superseded", "not_latest"}
+
+
+def test_registering_again(spark):
+    events = _events(spark, {"a": _APPROVED, "b": _START})
+    commands = [("a", 1, "sha1", "x", 7, "unchanged"), ("a", 1, "sha1", "y", 7, "version_conflict"), ("a", 1, "sha9", "x", 7, "version_conflict"), ("a", 2, "sha1", "x", 7, "content_already_registered"), ("a", 3, "sha3", "x", 7, "version_not_sequential"), ("a", 2, "sha2", "x", 6, "clock"), ("a", 2, "sha2", "z", 7, "registered"), ("b", 2, "sha2", "x", 7, "active_candidate"), ("c", 1, "sha1", "x", 1, "registered")]
+    df = spark.createDataFrame(commands, "d string, version long, sha256 string, actor string, occurred_at long, wanted string")
+    got = sorted((r["d"], r["version"], r["sha256"], r["actor"], r["outcome"]) for r in lifecycle.registrations(events, df, "d").collect())
+    assert got == sorted((d, v, s, a, w) for d, v, s, a, _, w in commands)
+
+
+def test_swaps_keep_the_history(spark, small):
+    from oscilla.queries import corpus
+
+    wanted = {0: "applied", 1: "history_not_prefix", 2: "history_not_prefix", 3: "history_broken", 4: "state_not_replayed", 5: "conflict"}
+    got = corpus.audited_swaps(spark, small).collect()
+    assert {r["document"] % 6 for r in got} == set(wanted) and all(r["outcome"] == wanted[r["document"] % 6] for r in got)
+
+
 def test_outcomes(spark):
     rows = [("skipped", "normal", True, "normal"), ("skipped", "out_of_distribution", True, "out_of_distribution"), ("skipped", "no_evidence", True, "undocumented_fault"), ("generated", None, True, "documented_fault"), ("generated", None, False, "degraded"), ("degraded", "provider_busy", True, "degraded")]
     df = spark.createDataFrame(rows, "s string, r string, p boolean, w string").select("w", outcomes.outcome(F.col("s"), F.col("r"), F.col("p")).alias("o")).select("w", "o.*")
