@@ -101,3 +101,18 @@ def parity(left: DataFrame, right: DataFrame, keys: list[str], tolerance: float
     joined = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys], "full_outer")
     one_sided = F.col(f"a.{keys[0]}").isNull() | F.col(f"b.{keys[0]}").isNull()
     return joined.agg(F.count_if(one_sided).alias("one_sided"), F.count_if(~one_sided & (F.col("a.ref") != F.col("b.ref"))).alias("different_refs"), F.count_if(~one_sided & (F.abs(F.col("a.distance") - F.col("b.distance")) > tolerance)).alias("beyond_tolerance"))
+
+
+def stored_parity(model: DataFrame, index: DataFrame, key: str, tolerance: float = 1e-6) -> DataFrame:
+    """One row over all vectors: ids that do not stand exactly once on each side (so the counts are equal if it is 0), labels that differ, vectors that differ in length, a null or beyond the tolerance in any place.
+
+    model and index: (key, label, v). A value that is not a number counts as beyond."""
+    n = F.count(F.lit(1)).alias("n")
+    # An id that is there more than once is a fault whatever it holds, so any one of its rows will do.
+    one = lambda df: df.groupBy(key).agg(n, F.first(F.struct("label", "v")).alias("e"))
+    a, b = one(model).alias("a"), one(index).alias("b")
+    joined = a.join(b, F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}")), "full_outer")
+    once = F.col(f"a.{key}").isNotNull() & F.col("a.n").eqNullSafe(F.lit(1)) & F.col("b.n").eqNullSafe(F.lit(1))
+    v, w = F.col("a.e.v"), F.col("b.e.v")
+    near = (F.size(v) == F.size(w)) & F.forall(F.zip_with(v, w, lambda x, y: F.coalesce(F.abs(x - y) <= tolerance, F.lit(False))), lambda x: x)
+    return joined.agg(F.count_if(~once).alias("one_sided"), F.count_if(once & ~F.col("a.e.label").eqNullSafe(F.col("b.e.label"))).alias("different_labels"), F.count_if(once & ~F.coalesce(near, F.lit(False))).alias("beyond_tolerance"))

@@ -165,10 +165,17 @@ def open_set_policy(spark, sf_dir):
 
 @register("JN-14 KN-9 KN-10 KN-14 SNK-7", "SELECT 0::BIGINT AS one_sided, 0::BIGINT AS different_refs, 0::BIGINT AS beyond_tolerance")
 def index_parity_embeddings(spark, sf_dir):
-    """Model and index rank alike: the index's vectors went through text and back."""
+    """Model and index rank alike, and hold the same ids, labels and vectors in every row: the index's vectors went through text and back. Each count is over ranks and rows together."""
     train, queries = parts(spark, sf_dir)
-    index = train.withColumn("v", vectors.from_literal(vectors.literal(F.col("v"))))
-    return neighbours.parity(neighbours.ranked(queries, train), neighbours.ranked(queries, index), ["query_id", "rank"])
+    return index_parity(train, train.withColumn("v", vectors.from_literal(vectors.literal(F.col("v")))), queries)
+
+
+def index_parity(train, index, queries):
+    ranks = neighbours.parity(neighbours.ranked(queries, train), neighbours.ranked(queries, index), ["query_id", "rank"])
+    opaque = lambda df: df.select(F.sha2(F.concat(F.lit("neighbour:"), F.col("ref").cast("string")), 256).alias("opaque_id"), "label", "v")
+    stored = neighbours.stored_parity(opaque(train), opaque(index), "opaque_id").withColumnRenamed("different_labels", "different_refs")
+    both = ranks.unionByName(stored)
+    return both.agg(*(F.sum(c).alias(c) for c in both.columns))
 
 
 @register("FN-18 FN-17", f"WITH {_E}, m AS (SELECT label, min(vec_id) AS model_id FROM e GROUP BY label) SELECT a.vec_id, m.model_id, round(greatest(0, least(1, 0.5 + array_cosine_similarity(a.v, b.v) / 2)), 6) AS score FROM e a JOIN m USING (label) JOIN e b ON b.vec_id = m.model_id")

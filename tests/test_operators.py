@@ -310,6 +310,27 @@ def test_swaps_keep_the_history(spark, small):
     assert {r["document"] % 6 for r in got} == set(wanted) and all(r["outcome"] == wanted[r["document"] % 6] for r in got)
 
 
+def test_index_parity_reads_every_row(spark):
+    """Rows 900 and on are far from the only query, so that no rank shows what befell them."""
+    from oscilla.queries import models
+
+    train = spark.createDataFrame([(i, i % 2, [float(i), 1.0]) for i in [*range(10), *range(900, 910)]], "ref long, label int, v array<double>")
+    queries = spark.createDataFrame([(1, [0.4, 1.0])], "query_id long, v array<double>")
+    found = lambda index: tuple(models.index_parity(train, index, queries).first())
+    other = spark.createDataFrame([(950, 1, [950.0, 1.0])], train.schema)
+    assert found(train) == (0, 0, 0)
+    assert found(train.where("ref <> 905")) == (1, 0, 0)
+    assert found(train.unionByName(other)) == (1, 0, 0)
+    assert found(train.unionByName(train.where("ref = 907"))) == (1, 0, 0)
+    assert found(train.withColumn("label", F.expr("if(ref = 903, 7, label)"))) == (0, 1, 0)
+    bad = {901: "array(901.1D, 1D)", 902: "array(902D)", 904: "array(double('NaN'), 1D)", 906: "array(906D, null)", 908: "null"}
+    for ref, value in bad.items():
+        if ref not in (902, 906, 908):
+            assert found(train.withColumn("v", F.expr(f"if(ref = {ref}, {value}, v)"))) == (0, 0, 1)
+    stored = neighbours.stored_parity(train, train.withColumn("v", F.expr("case " + " ".join(f"when ref = {k} then {x}" for k, x in bad.items()) + " else v end")), "ref")
+    assert tuple(stored.first()) == (0, 0, 5)
+
+
 def test_outcomes(spark):
     rows = [("skipped", "normal", True, "normal"), ("skipped", "out_of_distribution", True, "out_of_distribution"), ("skipped", "no_evidence", True, "undocumented_fault"), ("generated", None, True, "documented_fault"), ("generated", None, False, "degraded"), ("degraded", "provider_busy", True, "degraded")]
     df = spark.createDataFrame(rows, "s string, r string, p boolean, w string").select("w", outcomes.outcome(F.col("s"), F.col("r"), F.col("p")).alias("o")).select("w", "o.*")
