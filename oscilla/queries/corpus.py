@@ -31,7 +31,7 @@ def recognised_text_quality(spark, sf_dir):
     return m.select("doc_id", F.array_join(F.filter("m.signals", lambda s: s.startswith("ocr.")), ",").alias("signals"))
 
 
-@register("FN-11 FN-12", "SELECT page_id, length(trim(replace(html, chr(13) || chr(10), chr(10)), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))::INT AS normal_length, length(trim(regexp_replace(regexp_replace(html, '[ \\t]+(\\n|$)', '\\1', 'g'), '\\n{4,}', chr(10) || chr(10) || chr(10), 'g'), chr(10)))::INT AS clean_length FROM pages")
+@register("FN-11", "SELECT page_id, length(trim(replace(html, chr(13) || chr(10), chr(10)), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))::INT AS normal_length, length(trim(regexp_replace(regexp_replace(html, '[ \\t]+(\\n|$)', '\\1', 'g'), '\\n{4,}', chr(10) || chr(10) || chr(10), 'g'), chr(10)))::INT AS clean_length FROM pages")
 def clean_pages(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", F.length(tx.normalize(F.col("html"))).alias("normal_length"), F.length(tx.clean_noise(F.col("html"))).alias("clean_length"))
 
@@ -153,7 +153,7 @@ def page_status_rollup(spark, sf_dir):
     return p.groupBy("source").agg(doc.worst(F.col("status"), ("failed", "review", "ready")).alias("worst"), F.count(F.lit(1)).alias("pages"), F.count_if(F.col("status") == "failed").alias("failed"))
 
 
-@register("SRC-9 FN-9 FN-32", "SELECT event_id, json_valid(props) AS valid, len(json_keys(props))::INT AS fields, sha256(props) AS digest FROM events WHERE props IS NOT NULL")
+@register("SRC-9 FN-9", "SELECT event_id, json_valid(props) AS valid, len(json_keys(props))::INT AS fields, sha256(props) AS digest FROM events WHERE props IS NOT NULL")
 def json_props_events(spark, sf_dir):
     keys = F.expr("json_object_keys(props)")
     return read(spark, sf_dir, "events").where("props is not null").select("event_id", keys.isNotNull().alias("valid"), F.size(keys).alias("fields"), F.sha2("props", 256).alias("digest"))
@@ -174,7 +174,7 @@ def _cases(spark, sf_dir):
     return c.withColumn("o", outcomes.orchestration(d | {"refusal": F.col("refusal")}))
 
 
-@register("RT-4 FN-31 UX-6", f"WITH {_CASES.format(documents='documents')} SELECT doc_id, {_REFUSAL} AS refusal FROM c")
+@register("RT-4 UX-6", f"WITH {_CASES.format(documents='documents')} SELECT doc_id, {_REFUSAL} AS refusal FROM c")
 def guardrail_decisions(spark, sf_dir):
     """Refusal codes of cases derived from documents."""
     return _cases(spark, sf_dir).select("doc_id", "refusal")
@@ -185,7 +185,7 @@ def orchestration_decisions(spark, sf_dir):
     return _cases(spark, sf_dir).select("doc_id", "o.status", "o.reason")
 
 
-@register("PRJ-15 PRJ-16 RT-7", f"""WITH {_CASES.format(documents='documents')}, g AS (SELECT *, {_REFUSAL} AS refusal FROM c), {_STATUS}, p AS (SELECT *, split_part(decision, ':', 1) AS status, nullif(split_part(decision, ':', 2), '') AS reason FROM o)
+@register("PRJ-15 RT-7", f"""WITH {_CASES.format(documents='documents')}, g AS (SELECT *, {_REFUSAL} AS refusal FROM c), {_STATUS}, p AS (SELECT *, split_part(decision, ':', 1) AS status, nullif(split_part(decision, ':', 2), '') AS reason FROM o)
 SELECT doc_id, CASE WHEN reason = 'normal' THEN 'normal' WHEN reason = 'out_of_distribution' THEN 'out_of_distribution' WHEN status = 'skipped' THEN 'undocumented_fault' WHEN status = 'generated' AND projected THEN 'documented_fault' ELSE 'degraded' END AS outcome,
 CASE WHEN reason = 'normal' THEN NULL WHEN reason = 'out_of_distribution' THEN reason WHEN status = 'skipped' THEN 'documentation_not_found' WHEN status = 'generated' AND projected THEN NULL WHEN status = 'generated' THEN 'prescription_projection_unavailable' ELSE reason END AS warning FROM p""")
 def outcome_decision(spark, sf_dir):

@@ -163,7 +163,7 @@ def open_set_policy(spark, sf_dir):
     return evaluation.choose(swept(spark, sf_dir), n["known"], n["unknown"], 0.5, 0.2).select("margin", "distance", "known_accepted", "unknown_accepted", "passes")
 
 
-@register("JN-14 KN-9 KN-10 KN-14 SNK-7", "SELECT 0::BIGINT AS one_sided, 0::BIGINT AS different_refs, 0::BIGINT AS beyond_tolerance")
+@register("JN-14 KN-9 KN-10 SNK-7", "SELECT 0::BIGINT AS one_sided, 0::BIGINT AS different_refs, 0::BIGINT AS beyond_tolerance")
 def index_parity_embeddings(spark, sf_dir):
     """Model and index rank alike, and hold the same ids, labels and vectors in every row: the index's vectors went through text and back. Each count is over ranks and rows together."""
     train, queries = parts(spark, sf_dir)

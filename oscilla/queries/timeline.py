@@ -76,7 +76,7 @@ def purge_tail_events(spark, sf_dir):
     return made.groupBy(F.coalesce("partition", "exclusion").alias("destination")).agg(F.count(F.lit(1)).alias("sessions"), F.sum("n").alias("n"))
 
 
-@register("WN-9 PL-1 KN-12")
+@register("WN-9 PL-1")
 def temporal_split_fixed_point(spark, sf_dir):
     """Threshold and split fitted to a fixed point with a 24 h limit; held against a plain Python version in the tests."""
     threshold, made = split.fixed_point(rows(spark, sf_dir))

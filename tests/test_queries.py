@@ -31,3 +31,8 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() == 4
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_covers_names_nothing_left_out():
+    left_out = {"KN-12", "KN-14", "FN-31", "FN-32", "PRJ-16", "FN-12", "SNK-4", "SNK-5"}
+    assert not left_out & {i for ids in registry.COVERS.values() for i in ids.split()}
