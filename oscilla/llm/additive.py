@@ -124,6 +124,20 @@ def shortlist(queries: np.ndarray, books: np.ndarray, codes: np.ndarray, norms:
         yield np.sort(near[np.argsort(score[near], kind="stable")[:most]])
 
 
+def groups(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each group of equal rows, and the group of each row."""
+    rows = np.ascontiguousarray(rows)
+    _, first, group = np.unique(rows.view(np.dtype((np.void, rows.dtype.itemsize * rows.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    return first, group
+
+
+def smallest(group: np.ndarray, most: int) -> np.ndarray:
+    """The first `most` rows of each group, in the order of rows."""
+    order = np.argsort(group, kind="stable")
+    begins = np.searchsorted(group[order], group[order])
+    return np.sort(order[np.arange(len(order)) - begins < most])
+
+
 def usable(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """vec_id and the vector in double precision, for rows that take part; equal rows once."""
     v = F.col(embedding).cast("array<double>")
@@ -188,8 +202,17 @@ def search(df: DataFrame, every: int = EVERY, k: int = NEIGHBOURS, most: int = S
                 ids, x, norms = ids.to_numpy(zero_copy_only=False), _matrix(v), norms.to_numpy(zero_copy_only=False)
                 codes = np.frombuffer(b"".join(codes.to_pylist()), np.uint8).reshape(len(ids), -1)
                 who, q, key = who.to_numpy(zero_copy_only=False), _matrix(asked_v), key.to_numpy(zero_copy_only=False)
+                # Of equal vectors only the smallest ids can be among the nearest; the shortlist counts distinct codes, so that copies take one place.
+                first, equal = groups(x + 0.0)
+                codes, norms = codes[first][equal], norms[first][equal]
+                kept = smallest(equal, k + 1)
+                ids, x, codes, norms = ids[kept], x[kept], codes[kept], norms[kept]
+                first, code = groups(codes)
                 out = []
-                for i, near in enumerate(shortlist(q, books, codes, norms, most + 1)):
+                for i, chosen in enumerate(shortlist(q, books, codes[first], norms[first], most + 1)):
+                    taken = np.zeros(len(first), bool)
+                    taken[chosen] = True
+                    near = np.flatnonzero(taken[code])
                     near = near[ids[near] != who[i]]
                     exact = np.sqrt(((x[near] - q[i]) ** 2).sum(1))
                     best = np.lexsort((ids[near], exact))[:k]

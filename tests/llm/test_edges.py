@@ -299,3 +299,25 @@ def test_pretokens_match_the_pattern():
     starts, ends, first = pretokens.pretokens(raw, offsets)
     for i, t in enumerate(texts):
         assert [raw[a:b].tobytes().decode() for a, b in zip(starts[first[i] : first[i + 1]], ends[first[i] : first[i + 1]], strict=True)] == pattern.findall(t)
+
+
+def test_additive_many_copies_do_not_fill_the_shortlist(spark):
+    """64 dimensions, a third of the rows one vector, and neighbours of each query a little nearer than that one."""
+    rng = np.random.default_rng(5)
+    common, asked = rng.normal(size=64), rng.normal(size=(30, 64))
+    asked = common + asked
+    near = (asked[:, None] + 0.9 * rng.normal(size=(30, 15, 64))).reshape(-1, 64)
+    x = np.concatenate([near, np.tile(common, (2700, 1)), common + rng.normal(size=(4500, 64))])
+    x = x[rng.permutation(len(x))]
+    ids = np.array([i for i in range(1, 20000) if i % 100][: len(x)])
+    ids, x = np.concatenate([ids, np.arange(30) * 100]), np.concatenate([x, asked])
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in additive.search(df).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for i, q in enumerate(asked):
+        distance = np.sqrt(((x - q) ** 2).sum(1))
+        distance[ids == i * 100] = np.inf
+        hits += len(found[i * 100] & set(ids[np.lexsort((ids, distance))[:10]].tolist()))
+    assert hits >= 0.98 * 300
