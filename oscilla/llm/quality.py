@@ -5,7 +5,7 @@ is one sparse dot product through the logistic function. Nothing but the text en
 
 Defined results: null and empty texts have no features and get the score of the bias alone; texts are scored whole, however
 long; repeated rows get equal scores; a null doc_id is scored but never learnt from; labels that contradict each other for
-one doc_id count as the worse quality; without any usable label each score is 0.5; an empty table gives an empty
+one doc_id count as the worse quality; of different texts under one doc_id one is learnt from; without any usable label each score is 0.5; an empty table gives an empty
 table; extra columns pass through, and columns named like the added ones give way.
 """
 
@@ -23,9 +23,11 @@ from .common import buffer_of, fold, read, slices, without
 from .features import style_grams
 from .words import U
 
-#: Hash space, the most labelled rows that training uses (those with the smallest hash of doc_id), passes over them, and the score from which a document is good.
+#: Hash space, and the bounds of the training sample: labelled documents (those with the smallest hash of doc_id), and features of all of them together.
 DIM = 1 << 18
-TRAIN_ROWS = 6_000
+TRAIN_ROWS = 10_000
+TRAIN_FEATURES = 12_000_000
+#: Passes over the sample, and the score from which a document is good.
 EPOCHS = 6
 THRESHOLD = 0.3
 RUN_BYTES = 512 << 10
@@ -99,15 +101,12 @@ def margins(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
     return total
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
-    """(doc_id, text, label) of at most `most` labelled rows outside the held-out fold; the bound makes the broadcast safe."""
+def training_vectors(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
+    """(doc_id, label, index, value) of at most `most` labelled documents outside the held-out fold; the bound makes the broadcast safe.
+
+    A doc_id counts once, however many rows have it: with the least of their vectors, combined before the shuffle."""
     known = labels.where(F.col("quality").isNotNull() & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-
-
-def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> np.ndarray:
-    """Weights and, last, the bias. Executors make the vectors; the driver gets those of `most` rows at most and updates in one fixed order."""
 
     def run(batches):
         for batch in batches:
@@ -118,15 +117,35 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> np.ndar
                     names=["doc_id", "label", "index", "value"],
                 )
 
-    rows = training_rows(docs, labels, most).mapInArrow(run, "doc_id long, label int, index binary, value binary").toArrow().slice(0, most)
-    rows = rows.sort_by([("doc_id", "ascending"), ("label", "ascending"), ("index", "ascending")])
-    order = np.random.default_rng(7).permutation(len(rows))
-    model = Ftrl()
-    label, index, value = rows["label"].to_pylist(), rows["index"].to_pylist(), rows["value"].to_pylist()
-    for _ in range(EPOCHS):
-        for i in order:
-            model.learn(np.frombuffer(index[i], "<i4").astype(np.int64), np.frombuffer(value[i], "<f4").astype(float), label[i])
-    return model.weights()
+    made = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInArrow(run, "doc_id long, label int, index binary, value binary")
+    return made.groupBy("doc_id").agg(F.min("label").alias("label"), F.min(F.struct("index", "value")).alias("v")).select("doc_id", "label", "v.*")
+
+
+def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, features: int = TRAIN_FEATURES) -> np.ndarray:
+    """Weights and, last, the bias. One task updates over the bounded sample, in one fixed order; the driver gets the weights alone.
+
+    Documents come by the hash of doc_id; one whose vector would take the sample beyond `features` numbers is passed over whole."""
+
+    def run(batches):
+        index, value = np.empty(features, np.int32), np.empty(features, np.float32)
+        spans, used = [], 0
+        for batch in batches:
+            for label, i, v in zip(batch.column("label").to_pylist(), batch.column("index"), batch.column("value"), strict=True):
+                i, v = np.frombuffer(i.as_buffer(), "<i4"), np.frombuffer(v.as_buffer(), "<f4")
+                if used + len(i) <= features:
+                    index[used : used + len(i)], value[used : used + len(i)] = i, v
+                    spans.append((used, used + len(i), label))
+                    used += len(i)
+        order, model = np.random.default_rng(7).permutation(len(spans)), Ftrl()
+        for _ in range(EPOCHS):
+            for k in order:
+                a, b, label = spans[k]
+                model.learn(index[a:b].astype(np.int64), value[a:b].astype(float), label)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights().tobytes()], pa.binary())], names=["weights"])
+
+    sample = training_vectors(docs, labels, most).repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
+    found = sample.mapInArrow(run, "weights binary").first()
+    return np.frombuffer(found["weights"], np.float32) if found else Ftrl().weights()
 
 
 def score(df: DataFrame, weights: np.ndarray, text: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:

@@ -7,7 +7,7 @@ text are learnt, their weights are evidence for toxicity (never below zero), and
 
 Defined results: null and empty texts have no features and get the score of the bias alone; texts are scored whole; repeated
 rows get equal scores; a null doc_id is scored but never learnt from; labels that contradict each other for one doc_id count
-as toxic; without a toxic example each score is 0; an empty table gives an empty table; extra columns pass through, and
+as toxic; of different texts under one doc_id one is learnt from; without a toxic example each score is 0; an empty table gives an empty table; extra columns pass through, and
 columns named like the added ones give way.
 """
 
@@ -25,9 +25,11 @@ from .common import buffer_of, fold, read, slices, without
 from .features import stem_grams
 from .words import U
 
-#: The most rows that training uses of either kind (those with the smallest hash of doc_id), full-gradient steps, and the score from which a text is toxic.
+#: Bounds of the training sample: documents of either kind (those with the smallest hash of doc_id), and features of each kind together.
 TOXIC_ROWS = 4_000
 UNLABELLED_ROWS = 10_000
+TRAIN_FEATURES = 12_000_000
+#: Full-gradient steps and their rate, the weight of the l1 step.
 STEPS = 600
 RATE = 0.5
 L1 = 1e-5
@@ -36,6 +38,7 @@ L1 = 1e-5
 LEAST, LEAST_SHARE = 3, 0.005
 LIFT = 0.5
 DEVIATIONS = 6.0
+#: The score from which a text is toxic.
 THRESHOLD = 0.5
 #: Features of more than this share of unlabelled texts say nothing about copies; orders that are tried.
 COMMON = 0.005
@@ -92,11 +95,13 @@ class Rows:
     """Sparse rows of ones over the kept features."""
 
     def __init__(self, rows: list[np.ndarray], kept: np.ndarray) -> None:
-        whole = np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64)
-        owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        spot = np.minimum(np.searchsorted(kept, whole), max(0, len(kept) - 1))
-        hit = kept[spot] == whole if len(kept) else np.zeros(len(whole), bool)
-        self.n, self.width, self.index, self.owner = len(rows), len(kept), spot[hit], owner[hit]
+        index, owner = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for i, row in enumerate(rows if len(kept) else []):
+            spot = np.minimum(np.searchsorted(kept, row), len(kept) - 1)
+            hit = spot[kept[spot] == row]
+            index.append(hit)
+            owner.append(np.full(len(hit), i))
+        self.n, self.width, self.index, self.owner = len(rows), len(kept), np.concatenate(index), np.concatenate(owner)
 
     def times(self, w: np.ndarray) -> np.ndarray:
         return w[-1] + np.bincount(self.owner, w[self.index], self.n)
@@ -177,8 +182,8 @@ def class_prior(docs: DataFrame, labels: DataFrame) -> float:
     return min(0.9, max(0.001, share + min(3 * (share * (1 - share) / n) ** 0.5, 0.07 * share)))
 
 
-def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, toxic_rows: int = TOXIC_ROWS, unlabelled_rows: int = UNLABELLED_ROWS) -> Model:
-    """Executors find the features of the sampled texts; the driver gets those of the bounded sample and fits."""
+def training_features(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, unlabelled_rows: int = UNLABELLED_ROWS) -> DataFrame:
+    """(doc_id, toxic, index): the features of the bounded sample. A doc_id counts once of each kind, however many rows have it: with the least of their feature lists, combined before the shuffle."""
 
     def run(batches):
         for batch in batches:
@@ -186,11 +191,30 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, toxic_
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("toxic").cast(pa.int32()), pa.array([x.astype("<u4").tobytes() for x in present(part.column("text"))], pa.binary())], names=["doc_id", "toxic", "index"])
 
     picked = training_ids(docs, labels, toxic_rows, unlabelled_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInArrow(run, "doc_id long, toxic int, index binary").toArrow()
-    rows = rows.sort_by([("toxic", "ascending"), ("doc_id", "ascending"), ("index", "ascending")])
-    made = [np.frombuffer(x, "<u4").astype(np.int64) for x in rows["index"].to_pylist()]
-    toxic = rows["toxic"].to_pylist()
-    return fit([x for x, y in zip(made, toxic, strict=True) if y], [x for x, y in zip(made, toxic, strict=True) if not y], class_prior(docs, labels) if prior is None else prior)
+    made = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInArrow(run, "doc_id long, toxic int, index binary")
+    return made.groupBy("doc_id", "toxic").agg(F.min("index").alias("index"))
+
+
+def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, toxic_rows: int = TOXIC_ROWS, unlabelled_rows: int = UNLABELLED_ROWS, features: int = TRAIN_FEATURES) -> Model:
+    """One task fits over the bounded sample; the driver gets the learnt features and their weights alone.
+
+    Documents come by the hash of doc_id; one whose features would take its kind beyond `features` numbers is passed over whole."""
+    prior = class_prior(docs, labels) if prior is None else prior
+
+    def run(batches):
+        rows, used = ([], []), [0, 0]
+        for batch in batches:
+            for toxic, index in zip(batch.column("toxic").to_pylist(), batch.column("index"), strict=True):
+                found = np.frombuffer(index.as_py(), "<u4")
+                if used[toxic] + len(found) <= features:
+                    rows[toxic].append(found)
+                    used[toxic] += len(found)
+        model = fit(rows[1], rows[0], prior)
+        yield pa.RecordBatch.from_arrays([pa.array([model.features.astype("<i8").tobytes()], pa.binary()), pa.array([model.weights.astype("<f8").tobytes()], pa.binary()), pa.array([model.bias])], names=["features", "weights", "bias"])
+
+    sample = training_features(docs, labels, toxic_rows, unlabelled_rows).repartition(1).sortWithinPartitions("toxic", F.xxhash64("doc_id"), "doc_id")
+    found = sample.mapInArrow(run, "features binary, weights binary, bias double").first()
+    return Model(np.frombuffer(found["features"], "<i8"), np.frombuffer(found["weights"], "<f8"), found["bias"]) if found else fit([], [], prior)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
