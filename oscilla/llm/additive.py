@@ -3,10 +3,15 @@
 A vector is approximated by the sum of one codeword from each of CODEBOOKS full-dimensional codebooks. Codebooks start as
 residual k-means and are then refitted by least squares to codes found by beam search; all vectors are encoded by beam
 search and keep the squared norm of their approximation. A query's table of inner products with all codewords scores a
-vector by CODEBOOKS lookups: |x|^2 - 2 <q, x>. The best SHORTLIST of each block are reranked by exact distances.
+vector by CODEBOOKS lookups: |x|^2 - 2 <q, x>. The best share of each block is reranked by exact distances, at any size.
 
-The query set (rows whose vec_id is divisible by `every`) meets all vectors in blocks: a group is one block of queries and
-one block of vectors, both of bounded size, and hands on at most k rows a query.
+Vectors stand in inverted lists by their nearest coarse centroid, and a query looks into the lists nearest to it. How many
+these are, and what share of them is reranked, is measured, not assumed: the exact neighbours of CALIBRATION held-out rows
+show how far down the order of lists, and of lookup scores in a list, neighbours stand (SHARE is the least share). Vectors without structure thus make a query look into most lists, and clusters
+into few. Lists that hold fewer than k rows between them are followed by further ones.
+
+A group is one part of a list and one part of the queries that look into it, both of bounded size, and hands on at most k
+rows a query.
 
 Defined results: vectors that are null, all zero, of another dimension than most, or hold null, NaN or infinite components
 take no part, neither as query nor as candidate; nor do rows without vec_id; rows equal in vec_id and vector count once;
@@ -16,7 +21,7 @@ smaller vec_id; with fewer than k candidates all are returned; an empty table gi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,18 +30,23 @@ from pyspark.sql import functions as F
 
 from .common import read, shared_table
 
-CODEBOOKS = 12
+CODEBOOKS = 16
 WORDS = 256
 BEAM = 8
 ROUNDS = 2
-#: Vectors that the codebooks are fitted on: those with the smallest hash of vec_id.
+#: Vectors that codebooks and centroids are fitted on: those with the smallest hash of vec_id.
 SAMPLE = 8_000
-SHORTLIST = 600
+#: Inverted lists at most, and the rows of one, about, below that.
+LISTS, LIST_ROWS = 1024, 1024
+#: Held-out rows that show how many lists to look into and how much of them to rerank; the share of their neighbours that these lists, and the reranked part, must hold.
+CALIBRATION, IN_LISTS, IN_SHARE = 128, 0.98, 0.95
+#: The part of a block that is reranked at least, counted in distinct codes, and k + 1 of them.
+SHARE = 0.04
 NEIGHBOURS = 10
 EVERY = 100
-#: Vectors of a candidate block, and of a query block.
+#: Vectors of a part of a list, and queries that meet it at once.
 BLOCK = 8192
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 4096
 
 
 def _assign(x: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -107,21 +117,49 @@ def decoded(codes: np.ndarray, books: np.ndarray) -> np.ndarray:
     return sum(books[j][codes[:, j]] for j in range(books.shape[0]))
 
 
-def shortlist(queries: np.ndarray, books: np.ndarray, codes: np.ndarray, norms: np.ndarray, most: int) -> Iterator[np.ndarray]:
-    """For each query the `most` rows of lowest lookup score, ties to the earlier row."""
+def lookups(queries: np.ndarray, books: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """The lookup score of each row for each query: the squared distance to its approximation, less the query's own norm."""
     m, k, d = books.shape
     tables = (-2 * (queries @ books.reshape(m * k, d).T)).astype(np.float32).reshape(len(queries), m, k)
-    columns = [np.ascontiguousarray(codes[:, j]) for j in range(m)]
-    for table in tables:
-        score = norms.copy()
-        for j in range(m):
-            score += table[j][columns[j]]
-        if len(score) <= most:
-            yield np.arange(len(score))
-            continue
-        edge = np.partition(score, most - 1)[most - 1]
-        near = np.flatnonzero(score <= edge)
-        yield np.sort(near[np.argsort(score[near], kind="stable")[:most]])
+    score = np.tile(norms.astype(np.float32), (len(queries), 1))
+    for j in range(m):
+        score += tables[:, j][:, codes[:, j]]
+    return score
+
+
+def nearest(q: np.ndarray, own: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> list[np.ndarray]:
+    """For each query the k nearest rows by exact distance, none of its own id, ties to the smaller id."""
+    out = []
+    for i in range(len(q)):
+        rows = np.flatnonzero(ids != own[i])
+        distance = ((x[rows] - q[i]) ** 2).sum(1)
+        if len(rows) > 4 * k:
+            edge = np.partition(distance, k - 1)[k - 1]
+            keep = distance <= edge * (1 + 1e-9)
+            rows, distance = rows[keep], distance[keep]
+        out.append(rows[np.lexsort((ids[rows], np.sqrt(distance)))[:k]])
+    return out
+
+
+def reranked(q: np.ndarray, own: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norms: np.ndarray, books: np.ndarray, k: int, share: float) -> list[np.ndarray]:
+    """For each query the k nearest rows of those that the lookup scores propose.
+
+    Of equal vectors only the smallest ids can be among the nearest; the shortlist counts distinct codes, so that copies take one place."""
+    first, equal = groups(x + 0.0)
+    codes, norms = codes[first][equal], norms[first][equal]
+    kept = smallest(equal, k + 1)
+    first, code = groups(codes[kept])
+    most = min(len(first), max(k + 1, int(np.ceil(share * len(first)))))
+    out = []
+    for at in range(0, len(q), 64):
+        score = lookups(q[at : at + 64], books, codes[kept][first], norms[kept][first])
+        near = np.argpartition(score, most - 1, axis=1)[:, :most]
+        for i, chosen in enumerate(near):
+            taken = np.zeros(len(first), bool)
+            taken[chosen] = True
+            rows = kept[taken[code]]
+            out.append(rows[nearest(q[at + i : at + i + 1], own[at + i : at + i + 1], ids[rows], x[rows], k)[0]])
+    return out
 
 
 def groups(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,73 +191,161 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
-def train(rows: DataFrame, most: int = SAMPLE) -> np.ndarray:
-    """Codebooks from a bounded sample of usable rows."""
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).toArrow().sort_by("vec_id")
-    return fit(_matrix(sample["v"])) if sample.num_rows else np.zeros((1, 1, 1))
+@dataclass
+class Model:
+    """Codebooks (codebooks, words, dimension) and the centroids of the inverted lists."""
+
+    books: np.ndarray
+    centroids: np.ndarray
+
+    def order(self, x: np.ndarray) -> np.ndarray:
+        """The lists of each row, nearest first."""
+        return np.argsort((self.centroids**2).sum(1) - 2 * (x @ self.centroids.T), axis=1, kind="stable")
+
 
+def _codes(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
-def index(rows: DataFrame, books: np.ndarray) -> DataFrame:
-    """Every usable row with its codes and the squared norm of its approximation."""
-    shared = rows.sparkSession.sparkContext.broadcast(books)
+
+def train(rows: DataFrame, lists: int, most: int = SAMPLE) -> Model:
+    """A model of a bounded sample of usable rows, made in one task; the driver gets the model alone."""
 
     def run(batches):
+        parts = [(b.column("vec_id").to_numpy(), _matrix(b.column("v"))) for b in batches if b.num_rows]
+        if parts:
+            ids, x = (np.concatenate(p) for p in zip(*parts, strict=True))
+            x = x[np.argsort(ids, kind="stable")]
+            centroids = _k_means(x, max(1, min(lists, len(x) // 8)), np.random.default_rng(3))
+            yield pa.RecordBatch.from_arrays([pa.array([fit(x).tobytes()], pa.binary()), pa.array([centroids.tobytes()], pa.binary()), pa.array([x.shape[1]])], names=["books", "centroids", "d"])
+
+    found = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).repartition(1).mapInArrow(run, "books binary, centroids binary, d long").first()
+    if not found:
+        return Model(np.zeros((1, 1, 1)), np.zeros((1, 1)))
+    books, centroids = np.frombuffer(found["books"]), np.frombuffer(found["centroids"])
+    return Model(books.reshape(CODEBOOKS, -1, found["d"]), centroids.reshape(-1, found["d"]))
+
+
+def index(rows: DataFrame, model: Model) -> DataFrame:
+    """Every usable row with its list, its codes and the squared norm of its approximation."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        model = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                codes = beam_encode(_matrix(part.column("v")), shared.value)
-                norms = (decoded(codes, shared.value) ** 2).sum(1).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("v"), pa.array([c.tobytes() for c in codes.astype(np.uint8)], pa.binary()), pa.array(norms)], names=["vec_id", "v", "codes", "norm"])
+                x = _matrix(part.column("v"))
+                codes = beam_encode(x, model.books)
+                norms = (decoded(codes, model.books) ** 2).sum(1).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("v"), pa.array([c.tobytes() for c in codes.astype(np.uint8)], pa.binary()), pa.array(norms), pa.array(_assign(x, model.centroids).astype(np.int32))], names=["vec_id", "v", "codes", "norm", "list"])
+
+    return rows.mapInArrow(run, "vec_id long, v array<double>, codes binary, norm float, list int")
+
 
-    return rows.mapInArrow(run, "vec_id long, v array<double>, codes binary, norm float")
+def calibrated(indexed: DataFrame, model: Model, k: int, asked: int = CALIBRATION, in_lists: float = IN_LISTS, in_share: float = IN_SHARE) -> tuple[int, float]:
+    """How many lists, and what share of a list's best lookup scores, hold so many of the exact neighbours of `asked` rows.
 
+    Two scans of the index: exact neighbours, then how many codes of a neighbour's list score better than it. No model was
+    fitted on the rows asked for, if there are enough rows. The driver gets `asked` times k rows."""
+    spark = indexed.sparkSession
+    sample = indexed.select("vec_id", "v").orderBy(F.xxhash64("vec_id").desc(), "vec_id").limit(asked).collect()
+    own, q = np.array([r["vec_id"] for r in sample], np.int64), np.array([r["v"] for r in sample])
+    shared = spark.sparkContext.broadcast((own, q, model.books))
 
-def search(df: DataFrame, every: int = EVERY, k: int = NEIGHBOURS, most: int = SHORTLIST, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    def neighbours(batches):
+        own, q, books = shared.value
+        m = books.shape[0]
+        kept = [(np.empty(0, np.int64), np.empty((0, q.shape[1])), np.empty(0, np.int32), np.empty((0, m), np.uint8), np.empty(0, np.float32))] * len(own)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                fresh = (part.column("vec_id").to_numpy(), _matrix(part.column("v")), part.column("list").to_numpy(), _codes(part.column("codes")), part.column("norm").to_numpy())
+                for i, best in enumerate(nearest(q, own, fresh[0], fresh[1], k)):
+                    both = [np.concatenate([old, new[best]]) for old, new in zip(kept[i], fresh, strict=True)]
+                    best = nearest(q[i : i + 1], own[i : i + 1], both[0], both[1], k)[0]
+                    kept[i] = tuple(c[best] for c in both)
+        for i, (ids, x, where, codes, norms) in enumerate(kept):
+            score = lookups(q[i : i + 1], books, codes, norms)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), i)), pa.array(ids), pa.array(((x - q[i]) ** 2).sum(1)), pa.array(where), pa.array(score)], names=["i", "vec_id", "distance", "list", "lookup"])
+
+    near = indexed.mapInArrow(neighbours, "i long, vec_id long, distance double, list int, lookup float")
+    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("distance", "vec_id"))).where(F.col("rank") <= k).select("i", "list", "lookup").collect()
+    if not near:
+        return 1, 1.0
+    wanted = spark.sparkContext.broadcast([(r["i"], r["list"], r["lookup"]) for r in near])
+
+    def better(batches):
+        _, q, books = shared.value
+        ahead, seen = np.zeros(len(wanted.value), np.int64), np.zeros(len(wanted.value), np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 8192):
+                part = batch.slice(at, 8192)
+                codes, norms, where = _codes(part.column("codes")), part.column("norm").to_numpy(), part.column("list").to_numpy()
+                first, _ = groups(np.concatenate([codes, where.astype("<i4").view(np.uint8).reshape(-1, 4)], axis=1))
+                score, where = lookups(q, books, codes[first], norms[first]), where[first]
+                rows = {j: np.flatnonzero(where == j) for j in np.unique(where)}
+                for n, (i, j, limit) in enumerate(wanted.value):
+                    if j in rows:
+                        ahead[n] += np.count_nonzero(score[i, rows[j]] < limit)
+                        seen[n] += len(rows[j])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(ahead))), pa.array(ahead), pa.array(seen)], names=["n", "ahead", "seen"])
+
+    counted = indexed.mapInArrow(better, "n long, ahead long, seen long").groupBy("n").agg(F.sum("ahead").alias("ahead"), F.sum("seen").alias("seen")).collect()
+    place = np.argsort(model.order(q), axis=1)
+    depth, share = (np.sort(found)[max(0, int(np.ceil(held * len(near))) - 1)] for held, found in ((in_lists, [place[r["i"], r["list"]] + 1 for r in near]), (in_share, [(r["ahead"] + 1) / r["seen"] for r in counted])))
+    return int(depth), float(share)
+
+
+def search(df: DataFrame, every: int = EVERY, k: int = NEIGHBOURS, share: float = SHARE, vec_id: str = "vec_id", embedding: str = "embedding", list_rows: int = LIST_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest that were found for each query."""
     spark = df.sparkSession
     rows = usable(df, vec_id, embedding)
-    books = train(rows)
-    indexed = shared_table(spark, index(rows, books), "additive")
-    n = indexed.count()
-    blocks = max(1, -(-n // BLOCK))
-    query_rows = indexed.where(F.col("vec_id") % every == 0).select("vec_id", "v")
-    query_blocks = max(1, -(-query_rows.count() // QUERY_BLOCK))
-    shared = spark.sparkContext.broadcast(books)
-
-    # Rows are dealt by vector and id together, so neither a common vector nor a repeated id fills one block.
-    spread = F.xxhash64("vec_id", "v")
-    packed = F.sort_array(F.collect_list(F.struct("vec_id", "v", "codes", "norm"))).alias("rows")
-    candidates = indexed.groupBy(F.pmod(spread, F.lit(blocks)).alias("block")).agg(packed)
-    queries = query_rows.groupBy(F.pmod(spread, F.lit(query_blocks)).alias("asking")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "v", spread.alias("key")))).alias("asked"))
-    met = candidates.join(queries.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))), "block").select("rows", "asked")
-
-    def run(batches):
-        books = shared.value
+    model = train(rows, max(1, min(LISTS, rows.count() // list_rows)))
+    indexed = shared_table(spark, index(rows, model), "additive")
+    if indexed.isEmpty():
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    deep, measured = calibrated(indexed, model, k)
+    share = max(share, measured)
+    # LISTS rows at most.
+    sizes = np.zeros(len(model.centroids), np.int64)
+    for r in indexed.groupBy("list").count().collect():
+        sizes[r["list"]] = r["count"]
+    shared = spark.sparkContext.broadcast((model, sizes))
+
+    def looked(batches):
+        model, sizes = shared.value
         for batch in batches:
-            for one in range(batch.num_rows):
-                ids, v, codes, norms = batch.column("rows")[one].values.flatten()
-                who, asked_v, key = batch.column("asked")[one].values.flatten()
-                ids, x, norms = ids.to_numpy(zero_copy_only=False), _matrix(v), norms.to_numpy(zero_copy_only=False)
-                codes = np.frombuffer(b"".join(codes.to_pylist()), np.uint8).reshape(len(ids), -1)
-                who, q, key = who.to_numpy(zero_copy_only=False), _matrix(asked_v), key.to_numpy(zero_copy_only=False)
-                # Of equal vectors only the smallest ids can be among the nearest; the shortlist counts distinct codes, so that copies take one place.
-                first, equal = groups(x + 0.0)
-                codes, norms = codes[first][equal], norms[first][equal]
-                kept = smallest(equal, k + 1)
-                ids, x, codes, norms = ids[kept], x[kept], codes[kept], norms[kept]
-                first, code = groups(codes)
-                out = []
-                for i, chosen in enumerate(shortlist(q, books, codes[first], norms[first], most + 1)):
-                    taken = np.zeros(len(first), bool)
-                    taken[chosen] = True
-                    near = np.flatnonzero(taken[code])
-                    near = near[ids[near] != who[i]]
-                    exact = np.sqrt(((x[near] - q[i]) ** 2).sum(1))
-                    best = np.lexsort((ids[near], exact))[:k]
-                    out.append((np.full(len(best), who[i]), np.full(len(best), key[i]), ids[near[best]], exact[best]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "key", "vec_id", "score"])
-
-    found = met.mapInArrow(run, "query_id long, key long, vec_id long, score double")
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                order = model.order(_matrix(part.column("v")))
+                enough = (np.cumsum(sizes[order], axis=1) - sizes[order] <= k) | (np.arange(order.shape[1]) < deep)
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("v"), pa.array([o[e] for o, e in zip(order, enough, strict=True)], pa.list_(pa.int32()))], names=["query_id", "v", "lists"])
+
+    # Rows are dealt by vector and id together, so neither a common vector nor a repeated id fills one part.
+    asked = indexed.where(F.col("vec_id") % every == 0).select("vec_id", "v").mapInArrow(looked, "query_id long, v array<double>, lists array<int>")
+    asked = shared_table(spark, asked.withColumn("key", F.xxhash64("query_id", "v")), "asked")
+    wanted = asked.select(F.explode("lists").alias("list")).groupBy("list").count()
+    counts = {r["list"]: r["count"] for r in wanted.collect()}  # LISTS rows at most
+    plan = [(i, int(-(-sizes[i] // BLOCK)), -(-counts[i] // QUERY_BLOCK)) for i in range(len(sizes)) if sizes[i] and i in counts]
+    cells = F.broadcast(spark.createDataFrame(plan, "list int, parts int, chunks int"))
+    ours = indexed.join(cells, "list").select("list", F.pmod(F.xxhash64("vec_id", "v"), "parts").alias("part"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "vec_id", "v", "codes", "norm")
+    theirs = asked.select("query_id", "key", "v", F.explode("lists").alias("list")).join(cells, "list")
+    theirs = theirs.select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"), F.pmod("key", "chunks").cast("int").alias("chunk"), "query_id", "key", "v")
+
+    def run(_, left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ("query_id", "key", "vec_id", "score")
+        if not left.num_rows or not right.num_rows:
+            return pa.table({n: pa.array([], pa.float64() if n == "score" else pa.int64()) for n in names})
+        books = shared.value[0].books
+        left = left.sort_by("vec_id")
+        ids, x, norms = left["vec_id"].to_numpy(), _matrix(left["v"]), left["norm"].to_numpy()
+        codes = _codes(left["codes"])
+        who, key, q = right["query_id"].to_numpy(), right["key"].to_numpy(), _matrix(right["v"])
+        best = reranked(q, who, ids, x, codes, norms, books, k, share)
+        spot, row = np.repeat(np.arange(len(best)), [len(b) for b in best]), np.concatenate(best)
+        return pa.table(dict(zip(names, (who[spot], key[spot], ids[row], np.sqrt(((x[row] - q[spot]) ** 2).sum(1))), strict=True)))
+
+    found = ours.groupBy("list", "part", "chunk").cogroup(theirs.groupBy("list", "part", "chunk")).applyInArrow(run, "query_id long, key long, vec_id long, score double")
     order = Window.partitionBy("query_id", "key").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -139,7 +139,7 @@ def test_neighbours_of_one_common_vector(spark):
     x[::3] = x[0]
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
     got = {}
-    for r in additive.search(df, most=100).collect():
+    for r in additive.search(df).collect():
         got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
     hits = 0
     for q in range(0, 1500, 100):
@@ -321,3 +321,48 @@ def test_additive_many_copies_do_not_fill_the_shortlist(spark):
         distance[ids == i * 100] = np.inf
         hits += len(found[i * 100] & set(ids[np.lexsort((ids, distance))[:10]].tolist()))
     assert hits >= 0.98 * 300
+
+
+def recall(found, ids, x, every=100, k=10):
+    hits = total = 0
+    for i in np.flatnonzero(ids % every == 0):
+        distance = np.sqrt(((x - x[i]) ** 2).sum(1))
+        distance[i] = np.inf
+        hits, total = hits + len(found[int(ids[i])] & set(ids[np.lexsort((ids, distance))[:k]].tolist())), total + k
+    return hits / total
+
+
+@pytest.mark.parametrize("clusters", [0, 40])
+def test_additive_recall_over_lists(spark, clusters):
+    """Eight lists; the shortlist is 4 % of each block, or as calibrated. Vectors without any structure, and clustered ones."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4200, 64)) if not clusters else rng.normal(size=(clusters, 64))[rng.integers(0, clusters, 4200)] + 0.3 * rng.normal(size=(4200, 64))
+    ids, found = np.arange(4200), {}
+    for r in additive.search(spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>"), list_rows=512).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert recall(found, ids, x) >= 0.9
+
+
+def test_additive_scores_by_tables_at_every_size(spark, monkeypatch):
+    """With a share of nearly nothing only k + 1 codes of a block are reranked, so recall must fall: no size is ranked exactly."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 64))
+    books = additive.fit(x, codebooks=2, words=16)
+    codes = additive.beam_encode(x, books)
+    norms = (additive.decoded(codes, books) ** 2).sum(1).astype(np.float32)
+    ids = np.arange(400)
+    exact = additive.nearest(x[:20], ids[:20], ids, x, 10)
+    rough = additive.reranked(x[:20], ids[:20], ids, x, codes.astype(np.uint8), norms, books, 10, 0.0)
+    assert sum(len(set(a) & set(b)) for a, b in zip(exact, rough, strict=True)) < 150
+    assert all((a == b).all() for a, b in zip(exact, additive.reranked(x[:20], ids[:20], ids, x, codes.astype(np.uint8), norms, books, 10, 1.0), strict=True))
+    score = additive.lookups(x[:3], books, codes, norms)
+    assert np.allclose(score, norms - 2 * x[:3] @ additive.decoded(codes, books).T, atol=1e-3)
+
+
+def test_classifiers_pass_over_what_is_beyond_their_bounds(spark):
+    docs = spark.createDataFrame([(i, f"good plain text number {i}") for i in range(40)] + [(1, "good plain text number 1")] * 30, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    assert quality.training_vectors(docs, labels, 20).count() <= 20
+    assert toxicity.training_features(docs, labels, 5, 7).count() <= 12
+    assert (quality.train(docs, labels, features=0) == 0).all()
+    assert toxicity.train(docs, labels, features=0).bias == -35.0
