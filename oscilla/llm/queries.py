@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import minhash, warc
+from . import minhash, sharding, warc
 from .additive import op7_additive_ann
 from .bpe import op3_bpe_words
 from .minhash import op10_minhash_near
@@ -16,4 +16,4 @@ from .warc import op9_warc_seekable
 
 QUERIES = {f.__name__: f for f in (op1_sharding_bytes, op2_quality_ftrl, op3_bpe_words, op4_media_ogg, op5_token_counts, op6_toxicity_nnpu, op7_additive_ann, op8_bestfit_packing, op9_warc_seekable, op10_minhash_near)}
 
-ORACLE_SQL: dict[str, str] = {"op10_minhash_near": minhash.ORACLE, "op9_warc_seekable": warc.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op10_minhash_near": minhash.ORACLE, "op1_sharding_bytes": sharding.ORACLE, "op9_warc_seekable": warc.ORACLE}

@@ -366,3 +366,19 @@ def test_classifiers_pass_over_what_is_beyond_their_bounds(spark):
     assert toxicity.training_features(docs, labels, 5, 7).count() <= 12
     assert (quality.train(docs, labels, features=0) == 0).all()
     assert toxicity.train(docs, labels, features=0).bias == -35.0
+
+
+def test_sharding_against_brute_force(spark):
+    """Ids of all magnitudes and signs, repeated and null ones: the order of the key, shares of the bytes before a row."""
+    rng = np.random.default_rng(12)
+    ids = [None, None, -(2**63), 2**63 - 1, -1, 0] + [int(i) for i in rng.integers(-(2**62), 2**62, 150)] + [int(i) for i in rng.integers(0, 900, 300)] + [77] * 90
+    rows = [(i, "y" * int(n)) for i, n in zip(ids, rng.integers(0, 400, len(ids)), strict=True)]
+    found = sharding.deal(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), shards=7, part=16).collect()
+    order = sorted(range(len(rows)), key=lambda k: (-(2**63) if rows[k][0] is None else rows[k][0], k))
+    total, before, slots, wanted = sum(len(t) + 8 for _, t in rows), 0, {}, []
+    for k in order:
+        shard = before * 7 // total
+        wanted.append((rows[k][0], len(rows[k][1]) + 8, shard, slots.get(shard, 0)))
+        slots[shard] = slots.get(shard, 0) + 1
+        before += len(rows[k][1]) + 8
+    assert [(r["doc_id"], r["size"], r["shard"], r["slot"]) for r in sorted(found, key=lambda r: (r["shard"], r["slot"]))] == wanted
