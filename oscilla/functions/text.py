@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import operator
 import unicodedata
 
 import numpy as np
@@ -18,11 +20,12 @@ WORD = r"[\p{L}\p{N}_]+"
 CONTROLS = r"[\p{Cc}\p{Cf}]"
 #: Thresholds of the quality signals.
 LEAST_ALNUM, LEAST_RATIO, LEAST_MEAN, LEAST_POINT = 12, 0.5, 0.8, 0.6
-#: Secrets in public text.
+#: Secrets and local paths in public text; where a pattern begins with ^, only the text's beginning counts.
 SECRET_ASSIGNMENT = r"(?i)(?:api[_-]?key|password|secret|token|bearer)\s*[:=]\s*\S+"
 SECRET_TOKEN = r"(?i)\b(?:sk|ghp|github_pat)-?[A-Za-z0-9_]{8,}\b"
-URI_CREDENTIAL = r"(?i)[a-z][a-z0-9+.-]*://[^/@:\s]+:[^/@\s]+@"
-WINDOWS_PATH = r"[A-Za-z]:[\\/]"
+URI_CREDENTIAL = r"(?i)^[a-z][a-z0-9+.-]*://[^/@:]+:[^/@]+@"
+WINDOWS_PATH = r"^[A-Za-z]:[\\/]"
+PATH_STARTS, PATH_PARTS = ("/", "~/", "~\\", "\\\\"), ("file://", "/home/", "/users/", "\\users\\")
 #: The closed set of operating states.
 STATES = ("normal", "baseline", "teste", "acelerando", "motor_desligado")
 #: Letters with accents and their plain forms, for engines without Unicode decomposition.
@@ -64,7 +67,9 @@ def unsafe(text: Column) -> Column:
 
 def secrets(text: Column) -> Column:
     """Which kinds of secrets, credentials or machine paths a text shows."""
-    return F.array_compact(F.array(F.when(text.rlike(SECRET_ASSIGNMENT), "assignment"), F.when(text.rlike(SECRET_TOKEN), "token"), F.when(text.rlike(URI_CREDENTIAL), "uri_credential"), F.when(text.rlike(WINDOWS_PATH), "machine_path")))
+    small = F.lower(text)
+    local = functools.reduce(operator.or_, [text.rlike(WINDOWS_PATH), *(text.startswith(p) for p in PATH_STARTS), *(small.contains(p) for p in PATH_PARTS)])
+    return F.array_compact(F.array(F.when(text.rlike(SECRET_ASSIGNMENT), "assignment"), F.when(text.rlike(SECRET_TOKEN), "token"), F.when(text.rlike(URI_CREDENTIAL), "uri_credential"), F.when(local, "machine_path")))
 
 
 def plain(text: Column) -> Column:

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import vectors
 
 TOP_K = 5
-#: Vectors a side of one block of the distance grid.
-BLOCK = 4096
+#: Vectors a side of one block of the distance grid at most, and training vectors of a block at least, where there are idle cores.
+BLOCK, LEAST_BLOCK = 4096, 128
 
 
 def scaler(df: DataFrame, v: str = "v") -> DataFrame:
@@ -32,19 +35,31 @@ def standardized(df: DataFrame, fitted: DataFrame, v: str = "v") -> DataFrame:
 def ranked(queries: DataFrame, train: DataFrame, k: int = TOP_K, exclude_self: bool = False, rows: int | None = None) -> DataFrame:
     """(query_id, rank, ref, label, distance): the k nearest, ties to the smaller ref. queries: (query_id, v); train: (ref, label, v).
 
-    Both sides are dealt into blocks and each two blocks meet in one task (an equi-join on the block pair); a window limit
-    keeps k a query in each task before the last ranking moves anything. Neither side is broadcast."""
-    rows = train.count() if rows is None else rows
-    parts = max(1, -(-rows // BLOCK))
-    own = train.withColumn("block", F.pmod(F.xxhash64("ref"), F.lit(parts)).cast("int"))
-    asked = queries.select("query_id", F.col("v").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("block"))
-    met = asked.join(own, "block")
-    if exclude_self:
-        met = met.where("query_id <> ref")
-    met = met.select("query_id", "block", "ref", "label", vectors.euclidean(F.col("q"), F.col("v")).alias("distance"))
-    near = met.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "block").orderBy("distance", "ref"))).where(F.col("r") <= k)
+    Both sides are dealt into blocks and each two blocks meet in one group of bounded size on either side, which hands on k
+    rows a query. In a group, matrix products find all rows that can be among the k nearest, with room for their rounding;
+    these are measured exactly. Rows without a vector take no part."""
+    spread = train.sparkSession.sparkContext.defaultParallelism
+    parts = lambda n: max(1, -(-n // BLOCK), min(spread, n // LEAST_BLOCK))
+    across, down = parts(train.count() if rows is None else rows), max(1, -(-queries.count() // BLOCK))
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    ours = train.where("v is not null").select(dealt("ref", across).alias("block"), every(down).alias("asking"), "ref", "label", F.col("v").alias("x"))
+    theirs = queries.where("v is not null").select(every(across).alias("block"), dealt("query_id", down).alias("asking"), "query_id", F.col("v").alias("q"))
+
+    kinds = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("ref", train.schema["ref"].dataType), T.StructField("label", train.schema["label"].dataType), T.StructField("distance", T.DoubleType())])
+    nothing = to_arrow_schema(kinds).empty_table()
+
+    def near(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return nothing
+        left = left.sort_by("ref")
+        found = vectors.nearest(vectors.matrix(right["q"]), vectors.matrix(left["x"]), k, *([right["query_id"].to_numpy(), left["ref"].to_numpy()] if exclude_self else []))
+        spot, row = pa.array(found[0]), pa.array(found[1])
+        return pa.table({"query_id": right["query_id"].take(spot), "ref": left["ref"].take(row), "label": left["label"].take(row), "distance": pa.array(found[2])})
+
+    met = ours.groupBy("block", "asking").cogroup(theirs.groupBy("block", "asking")).applyInArrow(near, kinds)
     last = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "ref"))
-    return near.withColumn("rank", last).where(F.col("rank") <= k).select("query_id", "rank", "ref", "label", "distance")
+    return met.withColumn("rank", last).where(F.col("rank") <= k).select("query_id", "rank", "ref", "label", "distance")
 
 
 def voted(found: DataFrame) -> DataFrame:

@@ -36,9 +36,12 @@ def clean_pages(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", F.length(tx.normalize(F.col("html"))).alias("normal_length"), F.length(tx.clean_noise(F.col("html"))).alias("clean_length"))
 
 
-@register("FN-5 FN-30", r"""SELECT doc_id, regexp_matches(translate(text, chr(9) || chr(10) || chr(13), ''), '[\p{Cc}\p{Cf}]') AS is_unsafe, concat_ws(',', CASE WHEN regexp_matches(text, '(?i)(?:api[_-]?key|password|secret|token|bearer)\s*[:=]\s*\S+') THEN 'assignment' END, CASE WHEN regexp_matches(text, '(?i)\b(?:sk|ghp|github_pat)-?[A-Za-z0-9_]{8,}\b') THEN 'token' END, CASE WHEN regexp_matches(text, '(?i)[a-z][a-z0-9+.-]*://[^/@:\s]+:[^/@\s]+@') THEN 'uri_credential' END, CASE WHEN regexp_matches(text, '[A-Za-z]:[\\/]') THEN 'machine_path' END) AS found FROM documents""")
+@register("FN-5 FN-30", r"""WITH t AS (SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 'C:/' || text WHEN 2 THEN 'ftp://user:word@' || text WHEN 3 THEN text || ' file:///x' ELSE text END AS text FROM documents) SELECT doc_id, regexp_matches(translate(text, chr(9) || chr(10) || chr(13), ''), '[\p{Cc}\p{Cf}]') AS is_unsafe, concat_ws(',', CASE WHEN regexp_matches(text, '(?i)(?:api[_-]?key|password|secret|token|bearer)\s*[:=]\s*\S+') THEN 'assignment' END, CASE WHEN regexp_matches(text, '(?i)\b(?:sk|ghp|github_pat)-?[A-Za-z0-9_]{8,}\b') THEN 'token' END, CASE WHEN regexp_matches(text, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/@:]+:[^/@]+@') THEN 'uri_credential' END, CASE WHEN substr(text, 2, 1) = ':' AND substr(text, 3, 1) IN ('/', chr(92)) AND upper(substr(text, 1, 1)) BETWEEN 'A' AND 'Z' OR substr(text, 1, 1) = '/' OR substr(text, 1, 2) IN ('~/', '~' || chr(92), chr(92) || chr(92)) OR contains(lower(text), 'file://') OR contains(lower(text), '/home/') OR contains(lower(text), '/users/') OR contains(lower(text), chr(92) || 'users' || chr(92)) THEN 'machine_path' END) AS found FROM t""")
 def secret_scan_documents(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", tx.unsafe(F.col("text")).alias("is_unsafe"), F.array_join(tx.secrets(F.col("text")), ",").alias("found"))
+    """Documents, some of them with a local path or a credential put before or behind the text."""
+    text, kind = F.col("text"), F.col("doc_id") % 5
+    planted = F.when(kind == 1, F.concat(F.lit("C:/"), text)).when(kind == 2, F.concat(F.lit("ftp://user:word@"), text)).when(kind == 3, F.concat(text, F.lit(" file:///x"))).otherwise(text)
+    return read(spark, sf_dir, "documents").withColumn("text", planted).select("doc_id", tx.unsafe(F.col("text")).alias("is_unsafe"), F.array_join(tx.secrets(F.col("text")), ",").alias("found"))
 
 
 @register("FN-4 FN-6 AG-18 AG-19 JN-2 JN-3 SRC-2", r"WITH n AS (SELECT p_type AS raw, count(*) AS n, trim(regexp_replace(lower(p_type), '[\s\-_/]+', ' ', 'g')) AS normalized FROM part GROUP BY p_type) SELECT raw, n, normalized, replace(normalized, ' ', '-') AS slug, count(*) OVER (PARTITION BY normalized) > 1 AS collides FROM n")
@@ -76,12 +79,27 @@ def chunk_documents(spark, sf_dir):
     return made.select("doc_id", "section_index", "section_chunk_index", "ordinal", "character_start", "character_end", "content_sha256", "section_id", "chunk_id")
 
 
-@register("PRJ-12 FN-8 AG-33", "SELECT doc_id, true AS all_sound, 'completed' AS status FROM documents WHERE length(trim(text)) > 0")
+@register("PRJ-12 FN-8 AG-33", "SELECT doc_id, doc_id % 7 NOT IN (0, 2, 3, 5) AS all_sound, CASE WHEN doc_id % 7 IN (0, 2, 3, 5) THEN 'partial' WHEN doc_id % 7 = 1 THEN 'attention' ELSE 'completed' END AS status FROM documents WHERE length(trim(text)) > 0")
 def chunk_integrity_documents(spark, sf_dir):
-    """Identities recomputed from content; all must agree."""
-    made = doc.identified(doc.chunks(read(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
-    n = F.count(F.lit(1))
-    return made.groupBy("doc_id").agg(F.bool_and(doc.sound("doc_id")).alias("all_sound"), doc.status(n, F.count_if(~doc.sound("doc_id")), F.lit(0)).alias("status"))
+    """Chunks held against their identities, their vectors and the texts that they come from. In four documents of seven the first chunk is damaged: its content, its span, its vector, or its section."""
+    docs = read(spark, sf_dir, "documents")
+    made = doc.identified(doc.chunks(docs, "doc_id", "text"), "doc_id")
+    ill = lambda k: (F.col("ordinal") == 1) & (F.col("doc_id") % 7 == k)
+    vector = F.array(F.length("content").cast("double"), F.when(ill(3), float("nan")).otherwise(0.5))
+    # A shifted span keeps its length: only the text itself can tell. Its identity is made anew, so that it agrees with the span.
+    made = made.withColumn("content", F.when(ill(0), F.concat(F.lit("~"), F.col("content"))).otherwise(F.col("content"))).withColumn("section_index", F.when(ill(5), 99).otherwise(F.col("section_index")))
+    moved = made.where(ill(2)).withColumn("character_start", F.col("character_start") + 1).withColumn("character_end", F.col("character_end") + 1)
+    made = made.where(~ill(2)).unionByName(doc.identified(moved.drop("content_sha256", "section_id", "chunk_id"), "doc_id")).withColumn("vector", vector)
+    sound = F.coalesce(doc.sound("doc_id") & doc.located(F.col("text")) & doc.finite(F.col("vector")), F.lit(False))
+    held = made.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", sound.alias("sound"))
+    return held.groupBy("doc_id").agg(F.bool_and("sound").alias("all_sound"), doc.status(F.count_if("sound") + F.lit(1), F.count_if(~F.col("sound")), F.max(F.when(F.col("doc_id") % 7 == 1, 1).otherwise(0))).alias("status"))
+
+
+@register("FN-12")
+def cleaned_spans_pages(spark, sf_dir):
+    """Pages without technical noise, and where the first and the last character that is left stand in the source."""
+    made = doc.cleaned(read(spark, sf_dir, "pages").select("page_id", "html"), "page_id", "html")
+    return made.select("page_id", F.length("cleaned").alias("length"), F.element_at("starts", 1).alias("first"), F.element_at("ends", -1).alias("last"))
 
 
 @register("FN-15 UX-2")

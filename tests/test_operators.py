@@ -202,9 +202,44 @@ def test_text_measures_and_labels(spark):
     assert noise == "ab\nc\nd\n\n\ne"
 
 
+def plain_chunks(text, most, overlap):
+    """The chunks of a text without titles, from the rules: all candidates are written down, and the best is taken."""
+    import unicodedata
+
+    n = len(text)
+    mark = lambda i: unicodedata.category(text[i])[0] == "M" or "\U0001f3fb" <= text[i] <= "\U0001f3ff"
+    cuts = [i for i in range(n + 1) if i in (0, n) or not (mark(i) or "\u200d" in text[i - 1 : i + 1])]
+    at, out = 0, []
+    while at < n:
+        limit, end = min(n, at + most), n
+        if limit < n:
+            half = at + max((limit - at) // 2, 1)
+            ends = [max((i + len(b) for i in range(half, limit - len(b) + 1) if text.startswith(b, i)), default=0) for b in documents.BREAKS]
+            wish = next((e for e in ends if e), limit)
+            end = max(c for c in cuts if c <= max(wish, at) or c == 0)
+            end = end if end > at else min(c for c in cuts if c >= limit)
+        first, last = at, end
+        while first < last and text[first].isspace():
+            first = min([c for c in cuts if c > first] + [last])
+            first = min(first, last)
+        while last > first and text[last - 1].isspace() and last - 1 in cuts:
+            last -= 1
+        if first < last:
+            out.append((first, last))
+        if end == n:
+            return out
+        at = min([c for c in cuts if c >= max(at + 1, end - overlap)] + [end])
+        at = min(at, end)
+        while at < end and text[at].isspace():
+            at = min(min(c for c in cuts if c > at), end)
+    return out
+
+
 def test_chunks():
+    import random
+
     body = "INTRO\n" + "word " * 700 + "\n# Next part\nshort. "
-    found = list(documents.chunked(body))
+    found = [c[1:] for c in documents.chunked([body])]
     assert [f[1] for f in found][0] == "INTRO" and found[-1][1] == "Next part"
     for _, _, _, _, a, b, content in found:
         assert body[a:b] == content and 0 < b - a <= documents.MOST and not content[0].isspace() and not content[-1].isspace()
@@ -212,10 +247,42 @@ def test_chunks():
     for *_, a, b, _ in found:
         covered[a:b] = True
     assert all(c.isspace() for c, k in zip(body, covered, strict=True) if not k)
-    marks = "é" * 1200
-    assert all(documents.divides(marks, a) and documents.divides(marks, b) for a, b in documents.cuts(marks))
-    assert documents.heading("A FINE TITLE") == "A FINE TITLE" and documents.heading("NO TITLE.") is None and documents.heading("## x y") == "x y" and documents.heading("Mixed Case") is None
-    assert list(documents.chunked("")) == []
+    titles = lambda t: [x[1] for x in documents.Texts([t]).headings()]
+    assert titles("A FINE TITLE") == ["A FINE TITLE"] and titles("NO TITLE.") == [] and titles("## x y") == ["x y"] and titles("Mixed Case") == [] and titles("A " * 13) == [] and titles("#no") == []
+    assert titles("x\rTOP\r\nlow\u2028## z ") == ["TOP", "z"]
+    assert list(documents.chunked(["", "\n \n"])) == [] and list(documents.chunked([])) == []
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab c .;\n\n  \te\u0301\u200d\U0001f600\U0001f3fbx; ") for _ in range(rng.randint(0, 90))) for _ in range(400)]
+    for most, overlap in ((20, 5), (7, 3)):
+        made = {}
+        for i, *_, a, b, _ in documents.chunked(texts, most, overlap):
+            made.setdefault(i, []).append((a, b))
+        assert all(made.get(i, []) == plain_chunks(t, most, overlap) for i, t in enumerate(texts))
+
+
+def test_secrets(spark):
+    rows = {
+        "see https://example.org/a and C:/x": [], "D:\\data": ["machine_path"], "c:/x": ["machine_path"], "/etc/x": ["machine_path"], "~/x": ["machine_path"], "\\\\host\\x": ["machine_path"],
+        "at FILE://x": ["machine_path"], "in /Home/me": ["machine_path"], "a\\Users\\b": ["machine_path"], "https://me:pw@host": ["uri_credential"], "to https://me:pw@host": [], "password = x": ["assignment"], "ghp_0123456789": ["token"],
+    }
+    df = spark.createDataFrame([(t,) for t in rows], "t string").select("t", text.secrets(F.col("t")).alias("s"))
+    assert {r["t"]: r["s"] for r in df.collect()} == rows
+
+
+def test_cleaned_spans(spark):
+    import random
+
+    rng = random.Random(4)
+    texts = ["\n\na\x00b  \r\nc\x0bd\n\n\n\n\ne\n", "", " \t", "\r\n", "\x00", None] + ["".join(rng.choice("ab \t\r\n\n\x0b\x0c\x00\x7f\u00e9\U0001f600") for _ in range(rng.randint(0, 60))) for _ in range(500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    spans = {r["k"]: r for r in documents.cleaned(df, "k", "t").collect()}
+    for r in df.select("k", "t", text.clean_noise(F.col("t")).alias("c")).collect():
+        got = spans[r["k"]]
+        assert got["cleaned"] == r["c"]
+        if r["t"] is not None:
+            assert len(got["starts"]) == len(got["ends"]) == len(r["c"]) and all(a < b <= c for a, b, c in zip(got["starts"], got["ends"], [*got["starts"], len(r["t"])][1:], strict=True))
+            for c, a, b in zip(r["c"], got["starts"], got["ends"], strict=True):
+                assert r["t"][a:b] == c or (c == "\n" and r["t"][a:b] in ("\r\n", "\r", "\x0b", "\x0c"))
 
 
 def test_hash_vector():
@@ -383,3 +450,21 @@ def test_stream_scoring_matches_batch(spark, tmp_path):
     streams.score(stream, train, str(tmp_path / "out"), 2).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).select("query_id", "rank", "ref").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, neighbours.ranked(queries, train, 2).select("query_id", "rank", "ref").collect()))
+
+
+@pytest.mark.parametrize("own", [False, True])
+def test_nearest_against_brute_force(spark, own):
+    """More than one block a side, ties, and fewer rows than k."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 4, (300, 5)).astype(float)
+    q = x[:40]
+    train = spark.createDataFrame([(i, f"l{i % 3}", v.tolist()) for i, v in enumerate(x)] + [(999, "none", None)], "ref long, label string, v array<double>")
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id long, v array<double>")
+    found = neighbours.ranked(asked, train, 7, exclude_self=own).orderBy("query_id", "rank").collect()
+    wanted = []
+    for i, v in enumerate(q):
+        d = [(float(np.sqrt(((x[j] - v) ** 2).sum())), j) for j in range(300) if not (own and i == j)]
+        wanted += [(i, r, j, f"l{j % 3}", e) for r, (e, j) in enumerate(sorted(d)[:7], 1)]
+    assert [tuple(r) for r in found] == wanted
+    few = neighbours.ranked(asked.limit(2), train.where("ref < 3"), 7).collect()
+    assert len(few) == 6 and neighbours.ranked(asked.limit(0), train).count() == 0
