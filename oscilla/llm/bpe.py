@@ -2,9 +2,14 @@
 
 Texts are split into pre-tokens with their positions. Rows of up to BLOCK_BYTES of text form a block; within a block a
 pre-token that comes again is kept as a number into the block's list of distinct ones. These lists are exploded and dealt by
-word over the whole corpus, each distinct word is encoded once, and its ids go back to all blocks that asked for it, where
-the numbers put them together by position. What moves is the words' list of each block, packed, and the numbers, packed; the
-texts never do. A word that every block has costs one entry a block, however often it stands in the texts.
+word over BUCKETS groups for each GROUP_BYTES of the corpus, each distinct word of a group is encoded once, and its ids go
+back to all blocks that asked for it, where the numbers put them together by position. So up to GROUP_BYTES each word is
+encoded once in all; beyond, once for each GROUP_BYTES, which keeps groups, and what a block sends out, the same size at any
+size of the corpus. What moves is the words' list of each block, packed, and the numbers, packed; the texts never do. A word
+that every block has costs one entry a block, however often it stands in the texts.
+
+The scan is read twice, for the words and for the numbers. Blocks are cut by rows alone and named by a digest of their rows,
+so both readings make the same blocks of the same rows in the same order, on whatever executor; a difference stops the job.
 
 Decoding is a lookup join of ids with the token-byte table, which a vocabulary bounds (50,256 rows here).
 
@@ -16,6 +21,7 @@ table gives an empty table; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import buffer_of, large_binary, plan_bytes, read, shared_table, slices
-from .pretokens import hashes, pretokens, rank_encoder, ranks, spread
+from .pretokens import Index, distinct, pretokens, rank_encoder, ranks, spread
 
 BLOCK_BYTES = 8 << 20
-#: Bytes of input for each group that words are dealt to, about.
-GROUP_BYTES = 8 << 20
+#: Parts that the words of a block are dealt to, and bytes of input whose blocks share their groups, about.
+BUCKETS = 32
+GROUP_BYTES = 512 << 20
 BLOCK_SCHEMA = "block binary, rows int, numbers binary, bucket int, words binary"
 
 
@@ -76,8 +83,7 @@ class _Block:
         self.ids: list[pa.Array] = []
         self.numbers: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
-        self.keys = np.empty(0, np.uint64)
-        self.places = np.empty(0, np.int64)
+        self.index = Index()
         self.words: list[bytes] = []
         self.size = 0
         self.digest = hashlib.blake2b(digest_size=16)
@@ -85,20 +91,26 @@ class _Block:
     def add(self, doc_id: pa.Array, texts: pa.Array) -> None:
         raw, offsets = buffer_of(texts)
         starts, ends, first = pretokens(raw, offsets)
-        keys, index, where = np.unique(hashes(raw, starts, ends), return_index=True, return_inverse=True)
-        spot = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), bool)
-        if len(self.keys):
-            known = self.keys[np.minimum(spot, len(self.keys) - 1)] == keys
-        place = np.empty(len(keys), np.int64)
-        place[known] = self.places[spot[known]]
-        new = np.flatnonzero(~known)
-        place[new] = len(self.words) + np.arange(len(new))
-        data = raw.tobytes()
-        self.words += [data[a:b] for a, b in zip(starts[index[new]].tolist(), ends[index[new]].tolist(), strict=True)]
-        self.keys, self.places = np.insert(self.keys, spot[new], keys[new]), np.insert(self.places, spot[new], place[new])
+        data, found = raw.tobytes(), distinct(raw, starts, ends)
+        numbers = None
+        if found is not None:
+            keys, index, where = found
+            words = [data[a:b] for a, b in zip(starts[index].tolist(), ends[index].tolist(), strict=True)]
+            place = self.index.find(keys)
+            if all(p < 0 or self.words[p] == w for p, w in zip(place.tolist(), words, strict=True)):
+                new = np.flatnonzero(place < 0)
+                place[new] = len(self.words) + np.arange(len(new))
+                self.words += [words[i] for i in new.tolist()]
+                self.index.add(keys[new], place[new])
+                numbers = place[where]
+        if numbers is None:
+            # Two different pre-tokens have one hash: these texts are numbered by the bytes themselves.
+            known, numbers = {w: i for i, w in enumerate(self.words)}, np.empty(len(starts), np.int64)
+            for k, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+                numbers[k] = known.setdefault(data[a:b], len(known))
+            self.words = list(known)
         self.ids.append(doc_id)
-        self.numbers.append(place[where])
+        self.numbers.append(numbers)
         self.counts.append(np.diff(first))
         self.size += len(raw)
         for part in (data, offsets.tobytes(), str(doc_id.to_pylist()).encode()):
@@ -108,8 +120,7 @@ class _Block:
         """One row with the numbers, and one for each bucket with its words; words are numbered anew, bucket by bucket, most frequent first."""
         name = self.digest.digest() + salt
         numbers, counts = np.concatenate(self.numbers), np.concatenate(self.counts)
-        bucket = np.empty(len(self.words), np.int64)
-        bucket[self.places] = (self.keys >> np.uint64(20)) % np.uint64(buckets)
+        bucket = np.fromiter(map(zlib.crc32, self.words), np.int64, len(self.words)) % buckets
         order = np.lexsort((-np.bincount(numbers, minlength=len(self.words)), bucket))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
@@ -146,10 +157,17 @@ def _blocks(df: DataFrame, buckets: int, numbers: bool) -> DataFrame:
         schema = pa.schema([("block", pa.binary()), ("rows", pa.int32()), ("numbers", pa.binary()), ("bucket", pa.int32()), ("words", pa.binary())])
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                block.add(part.column("doc_id").cast(pa.int64()), large_binary(part.column("text")))
-                if block.size >= BLOCK_BYTES:
-                    yield from closed()
-                    block = _Block()
+                # A block ends with the row that fills it, wherever batches end.
+                ends, first = block.size + buffer_of(part.column("text"))[1][1:], 0
+                while first < part.num_rows:
+                    last = min(part.num_rows, first + 1 + int(np.searchsorted(ends[first:], BLOCK_BYTES)))
+                    rows = part.slice(first, last - first)
+                    block.add(rows.column("doc_id").cast(pa.int64()), large_binary(rows.column("text")))
+                    if block.size >= BLOCK_BYTES:
+                        yield from closed()
+                        block = _Block()
+                        ends = ends - ends[last - 1]
+                    first = last
         if block.ids:
             yield from closed()
 
@@ -157,8 +175,10 @@ def _blocks(df: DataFrame, buckets: int, numbers: bool) -> DataFrame:
     return made.select("block", "rows", "numbers") if numbers else made.select("block", "bucket", "words")
 
 
-def encoded_words(words: DataFrame, ranks_path: str) -> DataFrame:
-    """(block, bucket, ids): the ids of each word of each block's list, from one encoding of each distinct word of a bucket."""
+def encoded_words(words: DataFrame, ranks_path: str, salts: int = 1) -> DataFrame:
+    """(block, bucket, ids): the ids of each word of each block's list, from one encoding of each distinct word of a group.
+
+    A group is a bucket of the blocks with one salt, so it stays as large as it is, however many blocks there are."""
 
     def run(table: pa.Table) -> pa.Table:
         encode, memory, out = rank_encoder(ranks_path), {}, []
@@ -173,7 +193,7 @@ def encoded_words(words: DataFrame, ranks_path: str) -> DataFrame:
             out.append(_pack(np.fromiter((x for ids in made for x in ids), np.uint32, int(counts.sum())), counts))
         return pa.table({"block": table["block"], "bucket": table["bucket"], "ids": pa.array(out, pa.binary())})
 
-    return words.groupBy("bucket").applyInArrow(run, "block binary, bucket int, ids binary")
+    return words.groupBy("bucket", F.pmod(F.xxhash64("block"), F.lit(salts)).alias("salt")).applyInArrow(run, "block binary, bucket int, ids binary")
 
 
 def _assembled(numbers: pa.Table, ids: pa.Table) -> Iterator[tuple[int | None, np.ndarray]]:
@@ -203,9 +223,8 @@ def encode_corpus(df: DataFrame, ranks_path: str, schema: str, digest, settled:
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if not settled:
         rows = shared_table(df.sparkSession, rows, "texts")
-    buckets = max(4, -(-plan_bytes(df) // GROUP_BYTES))
-    words = encoded_words(_blocks(rows, buckets, False), ranks_path)
-    numbers = _blocks(rows, buckets, True)
+    words = encoded_words(_blocks(rows, BUCKETS, False), ranks_path, max(1, -(-plan_bytes(df) // GROUP_BYTES)))
+    numbers = _blocks(rows, BUCKETS, True)
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         return digest(_assembled(left, right))

@@ -4,7 +4,7 @@ The pattern is the one that byte-level BPE vocabularies of this family are split
 's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+
 Its matches depend only on the classes of neighbouring characters, so numpy finds all of them without a regex loop. A
 pre-token's hash is that of words.py; those of over LONG bytes, where equal polynomial hashes could be built on purpose,
-take a cryptographic one."""
+take a cryptographic one. Equal hashes are no proof: whatever is looked up by them is compared with the bytes it stands for."""
 
 from __future__ import annotations
 
@@ -114,6 +114,15 @@ def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return made
 
 
+def distinct(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Hashes of the distinct pre-tokens, the place of one of each, and which one each pre-token is; None if two different ones have one hash."""
+    keys, index, where = np.unique(hashes(raw, starts, ends), return_index=True, return_inverse=True)
+    lengths, first = ends - starts, index[where]
+    if (lengths != lengths[first]).any() or (raw[spread(starts, lengths)] != raw[spread(starts[first], lengths)]).any():
+        return None
+    return keys, index, where
+
+
 class Memory:
     """ids of each distinct pre-token, encoded once by `encode` and then looked up; bounded, and the same results at any bound."""
 
@@ -122,7 +131,8 @@ class Memory:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.places = np.empty(0, U), np.empty(0, np.int64)
+        self.index = Index()
+        self.words: list[bytes] = []
         self.ids, self.used = np.empty(1 << 16, np.int32), 0
         self.at, self.lengths = np.empty(0, np.int64), np.empty(0, np.int64)
 
@@ -130,33 +140,64 @@ class Memory:
         """All ids in order, and how many each pre-token has."""
         if self.used > self.most:
             self.clear()
-        keys, index, where = np.unique(hashes(raw, starts, ends), return_index=True, return_inverse=True)
-        place = self._find(keys)
+        text, found = raw.tobytes(), distinct(raw, starts, ends)
+        if found is None:
+            return self._plainly(text, starts, ends)
+        keys, index, where = found
+        words = [text[a:b] for a, b in zip(starts[index].tolist(), ends[index].tolist(), strict=True)]
+        place = self.index.find(keys)
+        if any(p >= 0 and self.words[p] != w for p, w in zip(place.tolist(), words, strict=True)):
+            return self._plainly(text, starts, ends)
         new = np.flatnonzero(place < 0)
         if len(new):
-            text = raw.tobytes()
-            encode = self.encode
-            made = [encode(text[a:b]) for a, b in zip(starts[index[new]].tolist(), ends[index[new]].tolist(), strict=True)]
+            fresh = [words[i] for i in new.tolist()]
+            made = [self.encode(w) for w in fresh]
             counts = np.fromiter(map(len, made), np.int64, len(made))
             flat = np.fromiter((x for ids in made for x in ids), np.int32, counts.sum())
-            place[new] = len(self.at) + np.arange(len(new))
+            place[new] = len(self.words) + np.arange(len(new))
+            self.words += fresh
             self.at = np.concatenate([self.at, self.used + np.cumsum(counts) - counts])
             self.lengths = np.concatenate([self.lengths, counts])
             while self.used + len(flat) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.empty(len(self.ids), np.int32)])
             self.ids[self.used : self.used + len(flat)] = flat
             self.used += len(flat)
-            spot = np.searchsorted(self.keys, keys[new])
-            self.keys, self.places = np.insert(self.keys, spot, keys[new]), np.insert(self.places, spot, place[new])
+            self.index.add(keys[new], place[new])
         token = place[where]
         counts = self.lengths[token]
         return self.ids[spread(self.at[token], counts)], counts
 
-    def _find(self, keys: np.ndarray) -> np.ndarray:
-        spot = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
-        if not len(self.keys):
-            return np.full(len(keys), -1, np.int64)
-        return np.where(self.keys[spot] == keys, self.places[spot], -1)
+    def _plainly(self, text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same without the memory, where two different pre-tokens have one hash."""
+        made = [self.encode(text[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        return np.array([x for ids in made for x in ids], np.int32), np.array([len(ids) for ids in made], np.int64)
+
+
+class Index:
+    """Places by 64-bit keys: a large sorted part and a small one that new keys go to, merged when it has grown to an eighth, so that adding stays cheap however many there are."""
+
+    def __init__(self) -> None:
+        self.parts = [(np.empty(0, U), np.empty(0, np.int64)) for _ in range(2)]
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 for one that is not there."""
+        found = np.full(len(keys), -1, np.int64)
+        for own, places in self.parts:
+            if len(own):
+                spot = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+                found = np.where(own[spot] == keys, places[spot], found)
+        return found
+
+    def add(self, keys: np.ndarray, places: np.ndarray) -> None:
+        """Adds sorted keys that are not there."""
+        (large, where), (small, near) = self.parts
+        spot = np.searchsorted(small, keys)
+        small, near = np.insert(small, spot, keys), np.insert(near, spot, places)
+        if 8 * len(small) > len(large):
+            spot = np.searchsorted(large, small)
+            large, where = np.insert(large, spot, small), np.insert(where, spot, near)
+            small, near = small[:0], near[:0]
+        self.parts = [(large, where), (small, near)]
 
 
 def spread(at: np.ndarray, counts: np.ndarray) -> np.ndarray:
