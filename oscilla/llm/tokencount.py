@@ -6,8 +6,9 @@ strictly better, and candidates come by rising start, so among equal scores the
 no piece covers costs the lowest score less UNKNOWN_PENALTY and counts as many tokens as it has bytes (byte fallback).
 
 Spaces are U+2581 and one is put before each text, as the vocabulary's own model says. No piece has that mark after another
-character, so the best path of a text is that of its stretches (spaces and what follows them), and each distinct stretch is
-counted once in a worker's bounded memory. Scores of a piece vocabulary with merge ranks are whole numbers, so sums are exact.
+character (a vocabulary with such a piece is refused), so the best path of a text is that of its stretches (spaces and what
+follows them), and each distinct stretch is counted once in a worker's bounded memory. What the dynamic programme carries
+covers the longest piece, so a stretch of any length takes no more memory than its own text. Scores of a piece vocabulary with merge ranks are whole numbers, so sums are exact.
 
 Defined results: null and empty texts have 0 tokens; texts of any length are counted whole; repeated rows and null doc_ids
 are kept; an empty table gives an empty table; extra columns pass through, and a column named like the count gives way.
@@ -39,7 +40,15 @@ def vocabulary(model_path: str) -> dict[str, float]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_path)
     skip = (model.is_unknown, model.is_control, model.is_byte, model.is_unused)
-    return {model.id_to_piece(i): model.get_score(i) for i in range(model.get_piece_size()) if not any(f(i) for f in skip)}
+    return cuttable({model.id_to_piece(i): model.get_score(i) for i in range(model.get_piece_size()) if not any(f(i) for f in skip)})
+
+
+def cuttable(pieces: dict[str, float]) -> dict[str, float]:
+    """The pieces, if texts may be cut before spaces: ValueError for one that has the mark after another character."""
+    for piece in pieces:
+        if MARK in piece.lstrip(MARK):
+            raise ValueError(f"the piece {piece!r} crosses the beginning of a stretch")
+    return pieces
 
 
 def counter(pieces: dict[str, float]) -> Callable[[str], tuple[float, int]]:
@@ -53,27 +62,35 @@ def counter(pieces: dict[str, float]) -> Callable[[str], tuple[float, int]]:
         automaton.make_automaton()
     unknown = min(pieces.values(), default=0.0) - UNKNOWN_PENALTY
 
+    room = max(map(len, pieces), default=0) + 1
+
     def count(text: str) -> tuple[float, int]:
-        n = len(text)
-        best, tokens = [0.0] * (n + 1), [0] * (n + 1)
-        ends: list[list] = [[] for _ in range(n)]
-        if pieces:
-            for end, found in automaton.iter(text):
-                ends[end].append(found)
-        for end in range(n):
+        # Place p of the text is kept at p modulo `room`.
+        best, tokens = [0.0] * room, [0] * room
+        matches = automaton.iter(text) if pieces else iter(())
+        pending = next(matches, None)
+        for end, letter in enumerate(text):
+            ended = []
+            while pending is not None and pending[0] == end:
+                ended.append(pending[1])
+                pending = next(matches, None)
             top, here, single = None, 0, False
             # Longest first, which is by rising start.
-            for length, score in sorted(ends[end], reverse=True) if len(ends[end]) > 1 else ends[end]:
-                score += best[end + 1 - length]
+            for length, score in sorted(ended, reverse=True) if len(ended) > 1 else ended:
+                at = (end + 1 - length) % room
+                score += best[at]
                 single |= length == 1
                 if top is None or score > top:
-                    top, here = score, tokens[end + 1 - length] + 1
+                    top, here = score, tokens[at] + 1
             if not single:
-                score = best[end] + unknown
+                at = end % room
+                score = best[at] + unknown
                 if top is None or score > top:
-                    top, here = score, tokens[end] + len(text[end].encode())
-            best[end + 1], tokens[end + 1] = top, here
-        return best[n], tokens[n]
+                    top, here = score, tokens[at] + len(letter.encode())
+            at = (end + 1) % room
+            best[at], tokens[at] = top, here
+        at = len(text) % room
+        return (best[at], tokens[at]) if text else (0.0, 0)
 
     return count
 
