@@ -25,8 +25,8 @@ from .pretokens import encode_texts, json_memory
 
 CAPACITY = 1024
 END = 2
-#: Pieces of one length that are ranked together, about.
-PART = 1 << 10
+#: Pieces of one length that are ranked together, about, and parts whose sizes are added up together.
+PART, GROUP = 1 << 10, 1 << 12
 RUN_BYTES = 512 << 10
 
 #: How many bins, and for each the (length, number of pieces) in it.
@@ -209,7 +209,13 @@ def pack(df: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_i
     parts = F.element_at(F.array(*(F.lit(max(1, int(-(-n // PART)))) for n in counts[1:])), F.col("length").cast("int"))
     spread = cut.withColumn("part", F.pmod(F.xxhash64("turn"), parts))
     sizes = spread.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("length", "part", F.coalesce("before", F.lit(0)).alias("before"))
+    # Pieces before each part, in two steps, so that no task orders all parts of a length: within a group of GROUP parts, and before the group.
+    sizes = sizes.withColumn("group", F.floor(F.col("part") / GROUP))
+    earlier = lambda *by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    groups = sizes.groupBy("length", "group").agg(F.sum("n").alias("n"))
+    groups = groups.select("length", "group", F.coalesce(F.sum("n").over(earlier("length", order="group")), F.lit(0)).alias("base"))
+    own = F.coalesce(F.sum("n").over(earlier("length", "group", order="part")), F.lit(0))
+    before = sizes.select("length", "group", "part", own.alias("own")).join(groups, ["length", "group"]).select("length", "part", (F.col("base") + F.col("own")).alias("before"))
     ranked = spread.withColumn("own", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "turn")))
     ranked = ranked.join(before, ["length", "part"]).withColumn("rank", F.col("before") + F.col("own") - 1)
     # At most a few thousand layouts, whatever the corpus: the broadcast's size follows from `capacity`.
