@@ -1,18 +1,23 @@
 """Near-duplicate documents by min-max hashing: banded signatures propose, full shingle sets decide.
 
 Every permutation gives two values, the smallest and the largest, so 128 values cost 64 hash evaluations a shingle
-(Ji et al., 2013). 32 bands of 4 values propose candidates: a pair at the similarity of 0.75 is missed by all bands with a
-probability of (1 - 0.75^4)^32, about 5e-6. No bucket is ever expanded into all its pairs at once:
+(Ji et al., 2013). 32 bands of 4 values propose candidates. No bucket is ever expanded into all its pairs at once:
 
 1. Texts with equal words are one node; only nodes have signatures.
 2. In each bucket every member is held against the bucket's smallest one (a star), over whole shingle sets, and confirmed
    links give components.
-3. Only in buckets that still hold several components are the pairs between different components looked at, in blocks
-   of bounded size whatever the bucket holds; signatures rule out pairs far below the limit, whole sets decide the rest.
-   The pairs never become rows; only links that join components do.
+3. Only in buckets that still hold several components are the pairs between different components looked at, in parts of
+   bounded size whatever the bucket holds: first the pairs within each part, then, with the components that follow, those
+   across parts. Signatures rule out pairs far below the limit and say whose texts are needed at all; whole sets decide the
+   rest. The pairs never become rows; only links that join components do.
 
 A link inside one component changes nothing, so no component is lost.
 
+What can be missed: a pair at the similarity of 0.75 shares no band with a probability of (1 - 0.75^4)^32, about 5e-6, and
+step 3 drops a pair whose signatures agree in less than 0.57 with one of about 3e-6 (less for likelier pairs; a component is
+only split if no other link holds it). `exact` finds every pair instead: buckets are then the shingles of each set's prefix,
+the n - ceil(0.75 n) + 1 of smallest hash, of which two sets at the limit must share one, and signatures rule out nothing.
+
 Defined results: null texts and texts without words have no shingles, n_shingles 0, and are linked with nothing, not even
 each other; a text of 1 to 4 words is one shingle; rows with one doc_id are one node, with whatever texts they carry; a row
 without doc_id takes its group's component_id, null if nothing of the group has an id, and is kept; an empty table gives an
@@ -98,7 +103,12 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return mix(key + np.arange(BANDS, dtype=U))
 
 
-def _signed(df: DataFrame, text: str, doc_id: str) -> DataFrame:
+def prefix(own: np.ndarray) -> np.ndarray:
+    """The shingles of a sorted set of which any set at the limit shares one."""
+    return own[: len(own) - -(-SIMILARITY * len(own) // 100) + 1]
+
+
+def _signed(df: DataFrame, text: str, doc_id: str, exact: bool) -> DataFrame:
     """doc_id, key (words' digest), n_shingles, bands, brief (one byte of each signature value); a text without shingles has null bands."""
 
     def run(batches):
@@ -110,7 +120,7 @@ def _signed(df: DataFrame, text: str, doc_id: str) -> DataFrame:
                 if len(some):
                     signature = signatures([sets[i] for i in some])
                     for i, b, s in zip(some, bands(signature).astype(np.int64), (mix(signature) & U(255)).astype(np.uint8), strict=True):
-                        band[i], brief[i] = b, s.tobytes()
+                        band[i], brief[i] = prefix(sets[i]).astype(np.int64) if exact else b, s.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [part.column(doc_id).cast(pa.int64()), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(band, pa.list_(pa.int64())), pa.array(brief, pa.binary())],
                     names=["doc_id", "key", "n_shingles", "bands", "brief"],
@@ -188,39 +198,67 @@ def _stars(banded: DataFrame) -> DataFrame:
     return members.join(heads, "band").where("node > head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def _crossing(banded: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): confirmed links between components that share a bucket, as many as it takes to join them.
-
-    A bucket is cut into parts of BLOCK members and PART_SHINGLES shingles at most, and each two parts meet in a group of
-    their own, so no task gets more than two parts of any bucket. Within a group all pairs between different components are
-    looked at: in the first bucket that both share, if their signatures are near the limit, over whole shingle sets. Only
-    links that join what was apart leave the group."""
-    placed = banded.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "bands", "brief", "n_shingles")
-    members = placed.select("node", "component", "n_shingles", F.posexplode("bands").alias("place", "band"))
+def _mixed(placed: DataFrame, within: DataFrame | None = None) -> DataFrame:
+    """(band, parts): buckets (of those in `within`) that hold several components, and how many parts of BLOCK members and PART_SHINGLES shingles they need."""
+    members = placed.select("component", "n_shingles", F.explode("bands").alias("band"))
+    if within is not None:
+        members = members.join(within.select("band"), "band", "left_semi")
     parts = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_shingles") / PART_SHINGLES)).cast("int")
-    mixed = cut(members.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), parts.alias("parts")).where("low < high").select("band", "parts"))
-    own = members.join(mixed, "band").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    met = own.select("band", "place", "node", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    met = met.select("node", "band", "place", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
-    full = met.join(placed.join(texts, "node"), "node")
+    return members.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), parts.alias("parts")).where("low < high").select("band", "parts")
+
+
+def _near(table: pa.Table, exact: bool):
+    """(row, other row, ...) of a group's pairs between different components that may be similar enough, best first; `label` may change between the steps."""
+    node, label, size, part, place = (table[c].to_numpy().copy() for c in ("node", "component", "n_shingles", "part", "place"))
+    alone = table["p"][0] == table["q"][0]
+    brief = np.frombuffer(b"".join(table["brief"].to_pylist()), np.uint8).reshape(len(node), 2 * PERMUTATIONS)
+    keys = None if exact else np.stack(table["bands"].to_pylist()).astype(np.int64)
+    for i in range(len(node)):
+        # Two parts meet here: pairs within a part belong to that part's own group.
+        near = (label[i + 1 :] != label[i]) & (alone | (part[i + 1 :] != part[i])) & (100 * np.minimum(size[i + 1 :], size[i]) >= SIMILARITY * np.maximum(size[i + 1 :], size[i]))
+        at = np.flatnonzero(near) + i + 1
+        if not exact:
+            # A pair is looked at in the first bucket that both share.
+            at = at[(keys[at, : place[i]] != keys[i, : place[i]]).all(1)]
+            alike = (brief[at] == brief[i]).sum(1)
+            at = at[np.argsort(-alike, kind="stable")][: np.count_nonzero(alike >= ESTIMATE * 2 * PERMUTATIONS)]
+        yield i, at, label
+
+
+def _crossing(placed: DataFrame, mixed: DataFrame, texts: DataFrame, across: bool, exact: bool) -> DataFrame:
+    """(a, b): confirmed links between components that share a bucket, as many as it takes to join them: within the parts of the buckets, or across them.
+
+    Each part, or two parts, meet in a group of their own, so no task gets more than two parts of any bucket. Signatures
+    come first, and only who has a partner by them comes again with the text."""
+    own = placed.select("node", F.posexplode("bands").alias("place", "band")).join(mixed, "band").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    if across:
+        own = own.where("parts > 1").select("*", F.explode(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("part"))).alias("other"))
+    else:
+        own = own.withColumn("other", F.col("part"))
+    met = own.select("node", "band", "place", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
+
+    def proposed(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        wanted = np.zeros(table.num_rows, bool)
+        for i, at, _ in _near(table, exact):
+            wanted[i] |= len(at) > 0
+            wanted[at] = True
+        return table.filter(pa.array(wanted)).select(["node", "band", "place", "part", "p", "q"])
+
+    rest = placed.select("node", "component", "n_shingles", "brief", *([] if exact else ["bands"]))
+    fields = "node long, band long, place int, part int, p int, q int"
+    asked = met.join(rest, "node").groupBy("band", "p", "q").applyInArrow(proposed, fields)
+    full = cut(asked).join(rest.join(texts, "node"), "node")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("node")
-        node, label, size, part = (table[c].to_numpy().copy() for c in ("node", "component", "n_shingles", "part"))
-        alone, place = table["p"][0] == table["q"][0], table["place"][0].as_py()
-        keys = np.stack(table["bands"].to_pylist()).astype(np.int64)
-        brief = np.frombuffer(b"".join(table["brief"].to_pylist()), np.uint8).reshape(len(node), 2 * PERMUTATIONS)
+        node = table["node"].to_numpy()
         sets: list[np.ndarray] = []
         for at in range(0, len(node), 64):
             sets += shingles(table["text"].slice(at, 64).combine_chunks())
         found = []
-        for i in range(len(node)):
-            # Two parts meet here: pairs within a part belong to that part's own group.
-            near = (label[i + 1 :] != label[i]) & (alone | (part[i + 1 :] != part[i])) & (100 * np.minimum(size[i + 1 :], size[i]) >= SIMILARITY * np.maximum(size[i + 1 :], size[i]))
-            at = np.flatnonzero(near) + i + 1
-            at = at[(keys[at, :place] != keys[i, :place]).all(1)]
-            alike = (brief[at] == brief[i]).sum(1)
-            for j in at[np.argsort(-alike, kind="stable")][: np.count_nonzero(alike >= ESTIMATE * 2 * PERMUTATIONS)].tolist():
+        for i, at, label in _near(table, exact):
+            for j in at.tolist():
                 if label[j] != label[i] and alike_sets(sets[i], sets[j]):
                     label[label == label[j]] = label[i]
                     found.append((node[i], node[j]))
@@ -229,10 +267,10 @@ def _crossing(banded: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFra
     return full.groupBy("band", "p", "q").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): a row for each row of df."""
+def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", exact: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept): a row for each row of df. `exact` leaves no pair to chance, with many more buckets."""
     spark = df.sparkSession
-    signed = shared_table(spark, _signed(df, text, doc_id), "minhash")
+    signed = shared_table(spark, _signed(df, text, doc_id, exact), "minhash")
     named = signed.where("n_shingles > 0 and doc_id is not null")
     # Each table of minima is cut off before it is joined back: a join of two plain exchanges can split a hot key.
     groups = cut(named.groupBy("key").agg(F.min("doc_id").alias("node")))
@@ -253,9 +291,17 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     same = members.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     links = cut(links.unionAll(same))
     labels = components(links)
-    crossing = cut(_crossing(banded, labels, texts))
-    if not crossing.isEmpty():
-        labels = components(cut(links.unionAll(crossing)))
+    mixed = None
+    for across in (False, True):
+        placed = banded.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "bands", "brief", "n_shingles")
+        mixed = cut(_mixed(placed, mixed))
+        crossing = cut(_crossing(placed, mixed, texts, across, exact))
+        if not crossing.isEmpty():
+            links = cut(links.unionAll(crossing))
+            labels = components(links)
+        mixed = cut(mixed.where("parts > 1"))
+        if mixed.isEmpty():
+            break
 
     found = members.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     rows = found.unionAll(signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

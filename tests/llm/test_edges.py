@@ -249,7 +249,10 @@ def plain_components(rows):
     return {(d, len(s)): root(d) if s else d for d, s in sets}
 
 
-def test_near_duplicates_against_brute_force(spark):
+@pytest.mark.parametrize(("exact", "block"), [(False, 512), (True, 512), (False, 8), (True, 8)])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, exact, block):
+    """By signatures and by prefixes; with buckets of one part and of several."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rng = np.random.default_rng(4)
     words = np.array([f"w{i}" for i in range(400)])
     rows, n = [], 0
@@ -265,7 +268,7 @@ def test_near_duplicates_against_brute_force(spark):
     rows += [(n + i, shared + " " + " ".join(rng.choice(words, int(rng.integers(5, 40))))) for i in range(40)]
     rows += [(1000, ""), (1001, ""), (1002, None), (1003, "A b"), (1004, "a  B"), (1005, " \t")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, kept int").repartition(3)
-    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in minhash.near_duplicates(df).collect()}
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in minhash.near_duplicates(df, exact=exact).collect()}
     assert got == plain_components(rows)
 
 
@@ -382,3 +385,46 @@ def test_sharding_against_brute_force(spark):
         slots[shard] = slots.get(shard, 0) + 1
         before += len(rows[k][1]) + 8
     assert [(r["doc_id"], r["size"], r["shard"], r["slot"]) for r in sorted(found, key=lambda r: (r["shard"], r["slot"]))] == wanted
+
+
+def test_equal_hashes_are_told_apart(monkeypatch):
+    """All pre-tokens get one of four hashes; ids must be right all the same."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=pretokens.ranks(path), special_tokens={})
+    texts = ["one two three one four", "two five", "six seven two"]
+    monkeypatch.setattr(pretokens, "hashes", lambda raw, starts, ends: ((ends - starts) % 4).astype(np.uint64))
+    memory = pretokens.Memory(pretokens.rank_encoder(path))
+    block = bpe._Block()
+    for t in texts:
+        ids, cut = pretokens.encode_texts(pa.array([t]), memory)
+        assert ids.tolist() == own.encode_ordinary(t)
+        block.add(pa.array([1], pa.int64()), pa.array([t]))
+    assert b"".join(block.words[i] for i in np.concatenate(block.numbers)).decode() == "".join(texts)
+
+
+def test_index_of_many_keys():
+    rng, index, known = np.random.default_rng(3), pretokens.Index(), {}
+    for _ in range(60):
+        keys = np.unique(rng.integers(0, 5000, 200).astype(np.uint64))
+        found = index.find(keys)
+        assert found.tolist() == [known.get(int(k), -1) for k in keys]
+        new = keys[found < 0]
+        places = len(known) + np.arange(len(new))
+        index.add(new, places)
+        known |= dict(zip(new.tolist(), places.tolist(), strict=True))
+
+
+def test_token_count_of_one_long_stretch_and_refused_pieces():
+    count = tokencount.counter({"a": -1.0, "aa": -1.5, "b": -1.0})
+    assert count("a" * 200_001 + "b") == (-1.5 * 100_000 - 2.0, 100_002) and count("") == (0.0, 0)
+    with pytest.raises(ValueError):
+        tokencount.cuttable({"a▁b": -1.0})
+    assert tokencount.cuttable({"▁▁": -1.0, "▁a": -1.0})
+
+
+def test_pieces_of_many_parts_of_one_length(spark, monkeypatch):
+    """More parts of a length than are added up together."""
+    monkeypatch.setattr(packing, "PART", 4), monkeypatch.setattr(packing, "GROUP", 3)
+    df = spark.createDataFrame([(i, "word") for i in range(300)], "doc_id long, text string")
+    found = packing.pack(df, public_tokenizers.path("byte_bpe_50k.json"), capacity=2 * packing.pack(df.limit(1), public_tokenizers.path("byte_bpe_50k.json")).first()["length"]).toPandas()
+    assert len(found) == 300 and found.sequence_id.nunique() == 150 and (found.groupby("sequence_id").offset.agg(["min", "max"]).to_numpy() == [0, found.length.iloc[0]]).all()
