@@ -46,9 +46,14 @@ def shared_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of a narrow table; Spark removes it when nothing refers to it."""
+#: Rows of a narrow table that one partition holds easily.
+NARROW_ROWS = 50_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Reliable checkpoint of a narrow table; Spark removes it when nothing refers to it. With about `rows` rows it gets as many partitions as they need, and so do the shuffles that read it."""
     spark = df.sparkSession
+    df = df if rows is None else df.coalesce(max(1, -(-rows // NARROW_ROWS)))
     shared_root(spark)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(shared_root(spark))

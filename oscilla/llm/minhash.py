@@ -172,7 +172,7 @@ def components(links: DataFrame) -> DataFrame:
         else:
             both = edges
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        near = both.join(cut(low) if large else low, "u")
+        near = both.join(cut(low, before[0]) if large else low, "u")
         if large:
             return near.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         hung = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
@@ -183,7 +183,7 @@ def components(links: DataFrame) -> DataFrame:
 
     before = state(edges)
     while before[0]:
-        edges = cut(star(star(edges, True), False))
+        edges = cut(star(star(edges, True), False), before[0])
         after = state(edges)
         if after == before:
             break
@@ -191,6 +191,17 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after further links: only the components that they join go through the rounds again."""
+    new = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti")
+    every = labels.unionAll(new.select("node", F.col("node").alias("component")))
+    named = links
+    for end in ("a", "b"):
+        named = named.join(every.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end)
+    tops = components(named.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("top"))
+    return cut(every.join(tops, "component", "left").select("node", F.coalesce("top", "component").alias("component")))
+
+
 def _stars(banded: DataFrame) -> DataFrame:
     """(a, b): each member of a bucket and the bucket's smallest member, each pair once."""
     members = banded.select("node", F.explode("bands").alias("band"))
@@ -297,8 +308,7 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", e
         mixed = cut(_mixed(placed, mixed))
         crossing = cut(_crossing(placed, mixed, texts, across, exact))
         if not crossing.isEmpty():
-            links = cut(links.unionAll(crossing))
-            labels = components(links)
+            labels = joined(labels, crossing)
         mixed = cut(mixed.where("parts > 1"))
         if mixed.isEmpty():
             break

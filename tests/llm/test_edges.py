@@ -428,3 +428,9 @@ def test_pieces_of_many_parts_of_one_length(spark, monkeypatch):
     df = spark.createDataFrame([(i, "word") for i in range(300)], "doc_id long, text string")
     found = packing.pack(df, public_tokenizers.path("byte_bpe_50k.json"), capacity=2 * packing.pack(df.limit(1), public_tokenizers.path("byte_bpe_50k.json")).first()["length"]).toPandas()
     assert len(found) == 300 and found.sequence_id.nunique() == 150 and (found.groupby("sequence_id").offset.agg(["min", "max"]).to_numpy() == [0, found.length.iloc[0]]).all()
+
+
+def test_further_links_join_components(spark):
+    labels = minhash.components(spark.createDataFrame([(5, 6), (6, 7), (1, 2), (20, 21)], "a long, b long"))
+    further = spark.createDataFrame([(7, 9), (9, 2), (30, 31)], "a long, b long")
+    assert {r["node"]: r["component"] for r in minhash.joined(labels, further).collect()} == {1: 1, 2: 1, 5: 1, 6: 1, 7: 1, 9: 1, 20: 20, 21: 20, 30: 30, 31: 30}
