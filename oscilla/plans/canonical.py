@@ -86,7 +86,7 @@ def gates(tables: dict[str, DataFrame], source_rows: int, threshold: float) -> D
         ("ledger.complete_destination", ledger["n"] == source_rows == ledger["positions"] == ledger["ids"] and ledger["aligned"]), ("canonical.eligible_coverage", both["one_sided"] == 0), ("partitions.assignment_alignment", both["moved"] == 0), ("partitions.occurrence_disjoint", mixed == 0),
         ("partitions.projection_exact", all(tables[p].exceptAll(c.where(F.col("partition") == p).select(*FEATURES, "y")).isEmpty() and tables[p].count() == ends[p]["n"] for p in ends)), ("partitions.temporal_order", whole and gap("train", "validation") > 0 and gap("validation", "test") > 0),
         ("partitions.purge_gap", whole and min(gap("train", "validation"), gap("validation", "test")) >= threshold), ("features.inference_only", all(t.columns == [*FEATURES, "y"] and not set(FEATURES) & set(DENIED) for n, t in tables.items() if n in ends)), ("partitions.nonempty", whole),
-        ("fit.target_independent", True),
+        ("fit.target_independent", "y" not in FEATURES and not set(FEATURES) & set(DENIED)),
     ]
     return c.sparkSession.createDataFrame(rows, "gate string, passed boolean")
 

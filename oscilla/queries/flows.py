@@ -12,6 +12,7 @@ from ..streaming import streams
 from . import Register, read
 
 register = Register()
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 _ROWS = "r AS (SELECT epoch_us(ts) AS a, event_id AS p, user_id AS u FROM events WHERE ts IS NOT NULL)"
 
 
@@ -60,27 +61,31 @@ def stream_lifecycle_problems(spark, sf_dir):
 
 @register("SRC-3 SRC-4")
 def source_fingerprints(spark, sf_dir):
-    """Length and digest of the table files, hashed where they are read."""
+    """Length and digest of the files of all tables, hashed where they are read."""
     made = None
-    for table in ("region", "nation", "supplier"):
+    for table in TABLES:
         own = files.fingerprints(spark, f"{sf_dir}/{table}.parquet").select(F.lit(table).alias("table_name"), "length", "sha256")
         made = own if made is None else made.unionAll(own)
     return made
 
 
-@register("SRC-9", "SELECT event_id, CASE WHEN props IS NULL THEN 'missing' END AS problem FROM events")
+@register("SRC-9", "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'missing' WHEN 1 THEN 'duplicate_key' WHEN 2 THEN 'not_finite' WHEN 3 THEN 'root' WHEN 4 THEN 'syntax' ELSE CASE WHEN props IS NULL THEN 'missing' END END AS problem FROM events")
 def strict_json_events(spark, sf_dir):
-    """Repeated keys, non-finite numbers and other roots are problems; these texts have none."""
-    return read(spark, sf_dir, "events").select("event_id", files.json_problem("props").alias("problem"))
+    """Repeated keys, non-finite numbers, other roots, broken and missing texts are problems; five texts of six are given one."""
+    kind = F.col("event_id") % 6
+    props = F.when(kind == 1, '{"a": 1, "a": 2}').when(kind == 2, '{"a": NaN}').when(kind == 3, "[1]").when(kind == 4, '{"a": ').when(kind == 5, F.col("props"))
+    return read(spark, sf_dir, "events").withColumn("props", props).select("event_id", files.json_problem("props").alias("problem"))
 
 
-@register("PRJ-5 SRC-5", "SELECT * FROM (SELECT 'p_name' AS column_name, count(*) - count(p_name) AS nulls FROM part UNION ALL SELECT 'p_size', count(*) - count(p_size) FROM part) WHERE nulls > 0")
+@register("PRJ-5 SRC-5", "SELECT 'p_name' AS column_name, count(*) AS nulls FROM part WHERE p_partkey % 10 = 3")
 def required_columns_part(spark, sf_dir):
-    return files.null_violations(read(spark, sf_dir, "part"), ["p_name", "p_size"])
+    """Columns with nulls where none may be; every tenth name is taken out."""
+    part = read(spark, sf_dir, "part").withColumn("p_name", F.when(F.col("p_partkey") % 10 != 3, F.col("p_name")))
+    return files.null_violations(part, ["p_name", "p_size"])
 
 
-@register("SNK-9", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@register("SNK-9", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey % 3 <> 0)")
 def insert_ignoring_conflicts(spark, sf_dir):
     """Rows that an insert with ON CONFLICT DO NOTHING would add."""
-    stored = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    stored = read(spark, sf_dir, "orders").where("o_custkey % 3 <> 0").select(F.col("o_custkey").alias("c_custkey")).distinct()
     return files.append_new(stored, read(spark, sf_dir, "customer").select("c_custkey"), ["c_custkey"])

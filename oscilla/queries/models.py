@@ -163,11 +163,15 @@ def open_set_policy(spark, sf_dir):
     return evaluation.choose(swept(spark, sf_dir), n["known"], n["unknown"], 0.5, 0.2).select("margin", "distance", "known_accepted", "unknown_accepted", "passes")
 
 
-@register("JN-14 KN-9 KN-10 SNK-7", "SELECT 0::BIGINT AS one_sided, 0::BIGINT AS different_refs, 0::BIGINT AS beyond_tolerance")
+@register("JN-14 KN-9 KN-10 SNK-7", f"""WITH {_NN}, s AS (SELECT vec_id, label, CASE WHEN vec_id % 50 = 3 THEN list_transform(v::DOUBLE[], lambda x, i: CASE WHEN i = 1 THEN x + 0.5 ELSE x END)::DOUBLE[64] ELSE v END AS v FROM t WHERE vec_id % 50 <> 1), d2 AS (SELECT q.vec_id AS query_id, s.vec_id AS ref, array_distance(q.v, s.v) AS distance FROM q, s), n2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, ref) AS rank FROM d2) WHERE rank <= 5),
+r AS (SELECT count(*) FILTER (n.ref <> n2.ref) AS refs, count(*) FILTER (abs(n.distance - n2.distance) > 1e-6) AS far FROM n JOIN n2 USING (query_id, rank)) SELECT (SELECT count(*) FROM t WHERE vec_id % 50 = 1) AS one_sided, refs + (SELECT count(*) FROM t WHERE vec_id % 50 = 2) AS different_refs, far + (SELECT count(*) FROM t WHERE vec_id % 50 = 3) AS beyond_tolerance FROM r""")
 def index_parity_embeddings(spark, sf_dir):
-    """Model and index rank alike, and hold the same ids, labels and vectors in every row: the index's vectors went through text and back. Each count is over ranks and rows together."""
+    """Model and index held against each other, in ranks and in every stored row: the index's vectors went through text and back, and of fifty rows one is missing, one has another label, and one vector is shifted. Each count is over ranks and rows together."""
     train, queries = parts(spark, sf_dir)
-    return index_parity(train, train.withColumn("v", vectors.from_literal(vectors.literal(F.col("v")))), queries)
+    kind, v = F.col("ref") % 50, vectors.from_literal(vectors.literal(F.col("v")))
+    shifted = F.transform(v, lambda x, i: F.when(i == 0, x + 0.5).otherwise(x))
+    index = train.where(kind != 1).withColumn("label", F.when(kind == 2, F.col("label") + 1).otherwise(F.col("label"))).withColumn("v", F.when(kind == 3, shifted).otherwise(v))
+    return index_parity(train, index, queries)
 
 
 def index_parity(train, index, queries):

@@ -77,13 +77,14 @@ def lifecycle_problems(events: DataFrame, key: str) -> DataFrame:
 
 
 def finished(stream: DataFrame, name: str) -> DataFrame:
-    """Runs a stream over all that is there and gives its rows: for batch-sized inputs and tests."""
+    """Runs a stream over all that is there and gives its rows, which go to Parquet files in the shared folder."""
     spark = stream.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="oscilla-stream-")
-    query = stream.writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", f"{root.rstrip('/')}/{name}").trigger(availableNow=True).start()
+    path = f"{root.rstrip('/')}/{name}"
+    query = stream.writeStream.outputMode("append").format("parquet").queryName(name).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start(f"{path}/rows")
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
