@@ -138,3 +138,22 @@ def test_pipeline_on_an_empty_table(spark, small):
     for _, stage in corpus_pipeline.STAGES[:3]:
         made = stage(spark, docs, small)
         assert made.columns == docs.columns and made.count() == 0
+
+
+def test_pipeline_edges(spark, small):
+    """Null and empty texts, rows without an id, a very long text, repeated rows, and columns named like those that stages add."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    body = " ".join(f"The council of town {i} met on a calm evening and agreed to mend the old bridge." for i in range(30))
+    near = body.replace("town 7 ", "village 7 ")
+    rows = [(1, body), (2, near), (None, near + " Yes."), (None, body), (3, None), (3, None), (4, ""), (None, "Quite another text about rivers and hills in the north of the land."), (5, body * 40), (6, "Some words of its own stand here and nowhere else."), (6, "Some words of its own stand here and nowhere else.")]
+    docs = spark.createDataFrame([(*r, 0.5, 1, 2) for r in rows], "doc_id long, text string, score double, kept int, number int")
+    made = corpus_pipeline.no_near_copies(spark, docs, small)
+    assert made.columns == docs.columns
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"] or "") for r in made.collect())
+    # The long text repeats the words of the first, so it is a near copy.
+    assert got == sorted([(1, body), (3, ""), (4, ""), (-1, rows[7][1]), (6, rows[9][1])])
+    for stage in (corpus_pipeline.good_quality, corpus_pipeline.not_toxic):
+        found = stage(spark, docs, small)
+        assert found.columns == docs.columns and {(r["doc_id"], r["text"]) for r in found.collect()} <= set(rows)
+    pieces = corpus_pipeline.packed(spark, docs, small).toPandas()
+    assert (pieces.groupby("sequence_id")["length"].sum() <= packing.CAPACITY).all() and (pieces[pieces.doc_id == 4]["length"] == 1).all()
