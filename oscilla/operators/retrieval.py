@@ -46,12 +46,14 @@ def top(df: DataFrame, by: str, score: str, ties: list[str], k: int) -> DataFram
     return df.withColumn("rank", order).where(F.col("rank") <= k)
 
 
-def budget(df: DataFrame, by: str, length: str) -> DataFrame:
-    """The longest prefix by rank that stays within the budget; `fits` is false for all of a group if one item alone is too long."""
-    order = Window.partitionBy(by).orderBy("rank")
-    whole = Window.partitionBy(by)
-    made = df.withColumn("used", F.sum(length).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("fits", ~F.bool_or(F.col(length) > MOST_ITEM).over(whole))
-    return made.where((F.col("used") <= MOST_CHARACTERS) & (F.col("rank") <= MOST_ITEMS))
+def budget(df: DataFrame, by: str, length: str, score: str, ties: list[str]) -> DataFrame:
+    """The longest prefix of each group, by score, that stays within the budget; `fits` is false for all of a group if one item alone is too long.
+
+    Only the best MOST_ITEMS of a group are ordered; what holds for all of it is one aggregate."""
+    fits = df.groupBy(by).agg((~F.bool_or(F.col(length) > MOST_ITEM)).alias("fits"))
+    ranked = top(df, by, score, ties, MOST_ITEMS)
+    used = F.sum(length).over(Window.partitionBy(by).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    return ranked.withColumn("used", used).where(F.col("used") <= MOST_CHARACTERS).join(fits, by)
 
 
 def answer(df: DataFrame, by: str, content: str) -> DataFrame:

@@ -145,8 +145,8 @@ def answer_or_abstain(spark, sf_dir):
 @register("PRJ-13 WN-12 RT-3", "WITH r AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS rank FROM documents WHERE n_chars >= 200), u AS (SELECT *, sum(n_chars) OVER (PARTITION BY source ORDER BY rank) AS used, NOT bool_or(n_chars > 4000) OVER (PARTITION BY source) AS fits FROM r) SELECT source, doc_id, rank::INT AS rank, used::BIGINT AS used, fits FROM u WHERE used <= 24000 AND rank <= 12")
 def evidence_budget_prefix(spark, sf_dir):
     """Per source the shortest documents as evidence, within the budget of characters and items."""
-    ranked = retrieval.top(read(spark, sf_dir, "documents").where("n_chars >= 200").withColumn("score", -F.col("n_chars")), "source", "score", ["doc_id"], 1 << 30)
-    return retrieval.budget(ranked, "source", "n_chars").select("source", "doc_id", "rank", "used", "fits")
+    found = read(spark, sf_dir, "documents").where("n_chars >= 200").withColumn("score", -F.col("n_chars"))
+    return retrieval.budget(found, "source", "n_chars", "score", ["doc_id"]).select("source", "doc_id", "rank", "used", "fits")
 
 
 @register("JN-6 JN-7 JN-11", "WITH m AS (SELECT source, list(doc_id ORDER BY n_chars DESC, doc_id) AS documents FROM documents WHERE lang = 'en' GROUP BY source), c AS (SELECT DISTINCT source FROM documents UNION SELECT 'nowhere'), x AS (SELECT source, documents IS NOT NULL AS mapped, unnest(range(len(coalesce(documents, [])))) AS place, unnest(coalesce(documents, [])) AS document_id FROM c LEFT JOIN m USING (source)) SELECT source, mapped, place::INT AS place, document_id FROM x UNION ALL SELECT source, documents IS NOT NULL, NULL, NULL FROM c LEFT JOIN m USING (source) WHERE coalesce(len(documents), 0) = 0")
