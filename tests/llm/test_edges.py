@@ -434,3 +434,37 @@ def test_further_links_join_components(spark):
     labels = minhash.components(spark.createDataFrame([(5, 6), (6, 7), (1, 2), (20, 21)], "a long, b long"))
     further = spark.createDataFrame([(7, 9), (9, 2), (30, 31)], "a long, b long")
     assert {r["node"]: r["component"] for r in minhash.joined(labels, further).collect()} == {1: 1, 2: 1, 5: 1, 6: 1, 7: 1, 9: 1, 20: 20, 21: 20, 30: 30, 31: 30}
+
+
+def test_ftrl_against_plain_updates():
+    """The same examples by the published formulas, one coordinate at a time."""
+    import math
+
+    rng, model = np.random.default_rng(14), quality.Ftrl(dim=6)
+    z, n = [0.0] * 7, [0.0] * 7
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= model.l1 else -(z[i] - math.copysign(model.l1, z[i])) / ((model.beta + math.sqrt(n[i])) / model.alpha + model.l2)
+
+    for _ in range(200):
+        index = np.sort(rng.permutation(6)[: int(rng.integers(0, 5))])
+        value, label = rng.random(len(index)), int(rng.integers(0, 2))
+        model.learn(index, value, label)
+        row = [*zip(index.tolist(), value.tolist(), strict=True), (6, 1.0)]
+        p = 1 / (1 + math.exp(-sum(weight(i) * x for i, x in row)))
+        old = {i: weight(i) for i, _ in row}
+        for i, x in row:
+            g = (p - label) * x
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / model.alpha * old[i]
+            n[i] += g * g
+    assert np.allclose(model.weights(), [weight(i) for i in range(7)], atol=1e-5) and np.abs(model.weights()).max() > 0.05
+
+
+def test_unlabelled_toxic_texts_are_not_taken_as_clean():
+    """A toxic word stands in all confirmed texts and in the prior's share of unlabelled ones: it is learnt, ordinary words are not."""
+    rng = np.random.default_rng(15)
+    texts = lambda n, bad: [" ".join([*rng.choice([f"plain{i}" for i in range(60)], 20), *(["venomword"] if k < bad else [])]) for k in range(n)]
+    toxic, free = toxicity.present(pa.array(texts(80, 80))), toxicity.present(pa.array(texts(1000, 50)))
+    model = toxicity.fit(toxic, free, 0.05)
+    score = lambda t: 1 / (1 + np.exp(-toxicity.margins(pa.array([t]), model)[0]))
+    assert score("plain1 plain2 venomword plain3") > 0.5 and score("plain1 plain2 plain3") < 0.1 and score("") < 0.1
