@@ -10,6 +10,8 @@ from ..functions.text import plain
 #: Budget of evidence, threshold and tie width of an answer.
 MOST_ITEMS, MOST_CHARACTERS, MOST_ITEM = 12, 24_000, 4_000
 LEAST_SCORE, TIE = 0.25, 1e-12
+#: Items that a class gives for ranking, features of a ranking, items that it returns.
+CATALOG, FEATURES, ANSWERS = 10, 2_048, 3
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
@@ -77,3 +79,52 @@ def current(snapshots: DataFrame, now: DataFrame, keys: list[str]) -> DataFrame:
 
 def eligible(status: Column, extracted: Column, indexed: Column, is_current: Column) -> Column:
     return (status == "approved") & extracted & indexed & is_current
+
+
+def approved(classes: DataFrame, mapping: DataFrame, states: DataFrame, chunks: DataFrame, by: str, document: str, score: str, ties: list[str]) -> DataFrame:
+    """(by, reason, chunk's columns, place): the CATALOG best sound chunks of eligible documents that each class is mapped to.
+
+    classes: (by); mapping: (by, document); states: (document, is_eligible) by `eligible`; chunks: (document, is_sound, score, ...).
+    A class that gives nothing has one row with the reason: fault_class_unmapped, no_approved_coverage or empty_ranking."""
+    own = mapping.join(states, document, "left").withColumn("is_eligible", F.coalesce("is_eligible", F.lit(False)))
+    covered = own.groupBy(by).agg(F.bool_or("is_eligible").alias("covered"))
+    found = own.where("is_eligible").select(by, document).join(chunks.where("is_sound").drop("is_sound"), document)
+    best = top(found, by, score, ties, CATALOG).withColumnRenamed("rank", "place")
+    reason = F.when(F.col("covered").isNull(), "fault_class_unmapped").when(~F.col("covered"), "no_approved_coverage").when(F.col("place").isNull(), "empty_ranking")
+    return classes.select(by).distinct().join(covered, by, "left").join(best, by, "left").withColumn("reason", reason).drop("covered")
+
+
+def stale(snapshots: DataFrame, now: DataFrame, by: str, keys: list[str]) -> DataFrame:
+    """(by, is_stale): whether any snapshot of a class is no longer among what may be used now with the same keys."""
+    used = snapshots.where("reason is null")
+    gone = current(used, now.select(*keys).distinct(), keys).select(by).distinct().withColumn("is_stale", F.lit(True))
+    return used.select(by).distinct().join(gone, by, "left").select(by, F.coalesce("is_stale", F.lit(False)).alias("is_stale"))
+
+
+def ranked(questions: DataFrame, evidence: DataFrame, question: str, by: str, item: str) -> DataFrame:
+    """(question, item, score, rank) of the ANSWERS best items of the question's class by cosine of term weights that are fitted on the class's own items.
+
+    evidence: (by, item, content), CATALOG items a class at most; questions: (question, by, text). Every join is within a
+    class, so a common term pairs a question with CATALOG items and no more. The FEATURES most frequent terms of a class count, ties by term."""
+    tf = terms(evidence.select(F.struct(by, item).alias("key"), "content"), "key", "content").select(f"key.{by}", f"key.{item}", "term", "tf")
+    vocabulary = tf.groupBy(by, "term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("total"), "term"))
+    sizes = evidence.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    idf = vocabulary.withColumn("place", place).where(F.col("place") <= FEATURES).join(sizes, by).select(by, "term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1).alias("idf"))
+    asked = terms(questions.select(F.struct(question, by).alias("key"), "text"), "key", "text").select(f"key.{question}", f"key.{by}", "term", "tf")
+    a = asked.join(idf, [by, "term"]).select(question, by, "term", (F.col("tf") * F.col("idf")).alias("x"))
+    d = tf.join(idf, [by, "term"]).select(by, item, "term", (F.col("tf") * F.col("idf")).alias("y"))
+    lengths = lambda df, keys, w, name: df.groupBy(*keys).agg(F.sqrt(F.sum(F.col(w) * F.col(w))).alias(name))
+    dots = a.join(d, [by, "term"]).groupBy(question, item).agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    pairs = questions.select(question, by).join(evidence.select(by, item), by).join(dots, [question, item], "left")
+    pairs = pairs.join(lengths(a, [question], "x", "p"), question, "left").join(lengths(d, [by, item], "y", "r"), [by, item], "left")
+    score = F.round(F.coalesce(F.col("dot") / (F.col("p") * F.col("r")), F.lit(0.0)), 12)
+    return top(pairs.select(question, item, score.alias("score")), question, "score", [item], ANSWERS)
+
+
+def replied(questions: DataFrame, ranking: DataFrame, catalog: DataFrame, staleness: DataFrame, question: str, by: str) -> DataFrame:
+    """(question, best, decision): answered, or what stands against it: the catalog's reason, insufficient_stale, insufficient_score, insufficient_tie. ranking: with content_sha256."""
+    reasons = catalog.groupBy(by).agg(F.max("reason").alias("reason"))
+    made = questions.select(question, by).join(reasons, by, "left").join(staleness, by, "left").join(answer(ranking, question, "content_sha256"), question, "left")
+    decision = F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.coalesce("is_stale", F.lit(False)), "insufficient_stale").otherwise(F.col("decision"))
+    return made.select(question, "best", decision.alias("decision"))

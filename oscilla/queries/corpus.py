@@ -130,13 +130,13 @@ def _ranked(spark, sf_dir, k):
     return retrieval.top(found, "item_id", "score", ["doc_id"], k)
 
 
-@register("FN-19 ST-4 ST-5 RT-1 UX-1 UX-5", _TFIDF + " SELECT item_id, rank::INT AS rank, doc_id, round(score, 6) AS score FROM k WHERE rank <= 3")
+@register("ST-4 ST-5 UX-1", _TFIDF + " SELECT item_id, rank::INT AS rank, doc_id, round(score, 6) AS score FROM k WHERE rank <= 3")
 def tfidf_topk(spark, sf_dir):
     """The three best documents of every question."""
     return _ranked(spark, sf_dir, 3).select("item_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
-@register("FN-20 RT-6", _TFIDF + ", b AS (SELECT item_id, max(round(score, 9)) FILTER (rank = 1) AS best, max(round(score, 9)) FILTER (rank = 2) AS second, max(text) FILTER (rank = 1) AS first, max(text) FILTER (rank = 2) AS other FROM k JOIN documents USING (doc_id) WHERE rank <= 2 GROUP BY item_id) SELECT item_id, round(best, 6) AS best, CASE WHEN best < 0.25 THEN 'insufficient_score' WHEN second IS NOT NULL AND best - second <= 1e-12 AND first <> other THEN 'insufficient_tie' ELSE 'answered' END AS decision FROM b")
+@register("FN-20", _TFIDF + ", b AS (SELECT item_id, max(round(score, 9)) FILTER (rank = 1) AS best, max(round(score, 9)) FILTER (rank = 2) AS second, max(text) FILTER (rank = 1) AS first, max(text) FILTER (rank = 2) AS other FROM k JOIN documents USING (doc_id) WHERE rank <= 2 GROUP BY item_id) SELECT item_id, round(best, 6) AS best, CASE WHEN best < 0.25 THEN 'insufficient_score' WHEN second IS NOT NULL AND best - second <= 1e-12 AND first <> other THEN 'insufficient_tie' ELSE 'answered' END AS decision FROM b")
 def answer_or_abstain(spark, sf_dir):
     ranked = _ranked(spark, sf_dir, 2).join(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return retrieval.answer(ranked, "item_id", "text").withColumn("best", F.round("best", 6))
@@ -171,7 +171,7 @@ def page_status_rollup(spark, sf_dir):
     return p.groupBy("source").agg(doc.worst(F.col("status"), ("failed", "review", "ready")).alias("worst"), F.count(F.lit(1)).alias("pages"), F.count_if(F.col("status") == "failed").alias("failed"))
 
 
-@register("SRC-9 FN-9", "SELECT event_id, json_valid(props) AS valid, len(json_keys(props))::INT AS fields, sha256(props) AS digest FROM events WHERE props IS NOT NULL")
+@register("SRC-9", "SELECT event_id, json_valid(props) AS valid, len(json_keys(props))::INT AS fields, sha256(props) AS digest FROM events WHERE props IS NOT NULL")
 def json_props_events(spark, sf_dir):
     keys = F.expr("json_object_keys(props)")
     return read(spark, sf_dir, "events").where("props is not null").select("event_id", keys.isNotNull().alias("valid"), F.size(keys).alias("fields"), F.sha2("props", 256).alias("digest"))
@@ -192,7 +192,7 @@ def _cases(spark, sf_dir):
     return c.withColumn("o", outcomes.orchestration(d | {"refusal": F.col("refusal")}))
 
 
-@register("RT-4 UX-6", f"WITH {_CASES.format(documents='documents')} SELECT doc_id, {_REFUSAL} AS refusal FROM c")
+@register("RT-4", f"WITH {_CASES.format(documents='documents')} SELECT doc_id, {_REFUSAL} AS refusal FROM c")
 def guardrail_decisions(spark, sf_dir):
     """Refusal codes of cases derived from documents."""
     return _cases(spark, sf_dir).select("doc_id", "refusal")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import corpus, flows, ledger, models, profiles, timeline
+from .queries import corpus, flows, governed, ledger, models, profiles, timeline
 
-FAMILIES = (profiles, ledger, timeline, models, corpus, flows)
+FAMILIES = (profiles, ledger, timeline, models, corpus, governed, flows)
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
