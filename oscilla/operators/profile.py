@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import finite, percentage, ratio, within_tolerance
+from . import quantiles, sessions
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -34,13 +35,14 @@ def completeness(df: DataFrame, domains: dict[str, Column] | None = None) -> Dat
 def numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     """A row for each column, over finite values: count, extremes, mean, population deviation, type-7 quartiles, fences at 1.5 IQR, values strictly outside.
 
-    One pass for the statistics; the outliers need a second, against fences that are one row a column."""
+    One pass for the statistics, three for the quartiles, one for the outliers against fences that are one row a column."""
     def over(c: str) -> Column:
         x = F.when(finite(F.col(c)), F.col(c).cast("double"))
-        return F.struct(F.lit(c).alias("column_name"), F.count(x).alias("n"), F.min(x).alias("minimum"), F.max(x).alias("maximum"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("deviation"), F.percentile(x, F.array(*map(F.lit, QUARTILES))).alias("q"))
+        return F.struct(F.lit(c).alias("column_name"), F.count(x).alias("n"), F.min(x).alias("minimum"), F.max(x).alias("maximum"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("deviation"))
 
     stats = df.agg(F.array(*(over(c) for c in columns)).alias("rows")).select(F.explode("rows").alias("r")).select("r.*")
-    stats = stats.select("column_name", "n", "minimum", "maximum", "mean", "deviation", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"))
+    q = quantiles.interpolated(df, {c: F.col(c) for c in columns}, QUARTILES).select("column_name", *(F.get("values", F.lit(i)).alias(n) for i, n in enumerate(("q25", "median", "q75"))))
+    stats = stats.join(F.broadcast(q), "column_name")
     stats = stats.withColumn("iqr", F.col("q75") - F.col("q25")).withColumn("lower_fence", F.col("q25") - 1.5 * F.col("iqr")).withColumn("upper_fence", F.col("q75") + 1.5 * F.col("iqr"))
     fences = F.broadcast(stats.agg(F.map_from_entries(F.collect_list(F.struct("column_name", F.struct("lower_fence", "upper_fence")))).alias("fences")))
     outside = df.crossJoin(fences).agg(F.array(*(F.struct(F.lit(c).alias("column_name"), F.count_if(finite(F.col(c)) & ((F.col(c) < F.col("fences")[c]["lower_fence"]) | (F.col(c) > F.col("fences")[c]["upper_fence"]))).alias("outliers")) for c in columns)).alias("rows"))
@@ -92,9 +94,9 @@ def unit_pair(df: DataFrame, observed: Column, expected: Column) -> DataFrame:
 
 
 def intervals(df: DataFrame, instant: Column) -> DataFrame:
-    """(at, gap) of distinct instants in order; gap is null for the first."""
+    """(at, gap) of distinct instants, whole numbers, in order; gap is null for the first. Ordered inside days only."""
     rows = df.where(instant.isNotNull()).select(instant.alias("at")).distinct()
-    return rows.withColumn("gap", F.col("at") - F.lag("at").over(Window.orderBy("at")))
+    return sessions.gaps(rows, position="at").select("at", "gap")
 
 
 def nominal_cadence(df: DataFrame, instant: Column) -> DataFrame:
@@ -103,10 +105,14 @@ def nominal_cadence(df: DataFrame, instant: Column) -> DataFrame:
     return counts.agg(F.min_by("gap", F.struct(-F.col("n"), F.col("gap"))).alias("cadence"), F.max("n").alias("intervals"))
 
 
-def input_order(df: DataFrame, instant: Column, position: Column) -> DataFrame:
-    """constant, nondecreasing, nonincreasing or unordered, as the rows stand by position."""
-    step = F.sign(instant - F.lag(instant).over(Window.orderBy(position)))
-    made = df.where(instant.isNotNull()).select(step.alias("step")).agg(F.coalesce(F.bool_and(F.col("step") >= 0), F.lit(True)).alias("up"), F.coalesce(F.bool_and(F.col("step") <= 0), F.lit(True)).alias("down"))
+def input_order(df: DataFrame, instant: Column, position: Column, width: int = 1 << 20) -> DataFrame:
+    """constant, nondecreasing, nonincreasing or unordered, as the rows stand by position, a whole number.
+
+    Rows are ordered inside stretches of `width` positions; one row a stretch carries its last instant over."""
+    rows = df.where(instant.isNotNull()).select(instant.alias("at"), position.alias("position"), F.floor(position / width).alias("stretch"))
+    ends = rows.groupBy("stretch").agg(F.max_by("at", "position").alias("end")).withColumn("before", F.lag("end").over(Window.orderBy("stretch"))).select("stretch", "before")
+    step = F.sign(F.col("at") - F.coalesce(F.lag("at").over(Window.partitionBy("stretch").orderBy("position")), F.col("before")))
+    made = rows.join(ends, "stretch").select(step.alias("step")).agg(F.coalesce(F.bool_and(F.col("step") >= 0), F.lit(True)).alias("up"), F.coalesce(F.bool_and(F.col("step") <= 0), F.lit(True)).alias("down"))
     return made.select(F.when(F.col("up") & F.col("down"), "constant").when(F.col("up"), "nondecreasing").when(F.col("down"), "nonincreasing").otherwise("unordered").alias("input_order"))
 
 
@@ -128,17 +134,15 @@ def reconciled(df: DataFrame, checks: dict[str, tuple[Column, Column]]) -> DataF
 
 
 def order_statistic(df: DataFrame, value: str, q: float, side: str) -> DataFrame:
-    """The element at floor or ceil((n - 1) q) of the sorted values: neither interpolation nor nearest rank.
-
-    Distinct values are counted first, so ties are one row; the running count is over distinct values only."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    running = counts.withColumn("upto", F.sum("n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
-    total = F.broadcast(counts.agg(F.sum("n").alias("total")))
-    place = (F.floor if side == "lower" else F.ceil)((F.col("total") - 1) * q)
-    return running.crossJoin(total).where(F.col("upto") > place).agg(F.min(value).alias("value"))
+    """The element at floor or ceil((n - 1) q) of the sorted finite values: neither interpolation nor nearest rank."""
+    return quantiles.elements(df, {value: F.col(value)}, (q,)).select(F.col("low" if side == "lower" else "high").alias("value"))
 
 
 def table_hash(df: DataFrame, columns: list[Column]) -> DataFrame:
-    """Rows and an order-free sum of 32-bit row digests; columns must be texts, integers or fixed decimals."""
-    row = F.md5(F.concat_ws("|", *(F.coalesce(c.cast("string"), F.lit("\\N")) for c in columns)))
-    return df.select(F.conv(F.substring(row, 1, 8), 16, 10).cast("long").alias("h")).agg(F.count(F.lit(1)).alias("row_count"), F.sum("h").alias("digest"))
+    """Rows and a SHA-256 that does not depend on their order: of the count and of eight sums, one for each 32-bit word of the rows' own SHA-256.
+
+    Columns must be texts, integers or fixed decimals. One pass with partial sums; a changed, missing or repeated row changes all sums."""
+    row = F.sha2(F.concat_ws("|", *(F.coalesce(c.cast("string"), F.lit("\\N")) for c in columns)), 256)
+    words = [F.sum(F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")).alias(f"w{i}") for i in range(8)]
+    sums = df.select(row.alias("h")).agg(F.count(F.lit(1)).alias("row_count"), *words)
+    return sums.select("row_count", F.sha2(F.concat_ws(":", F.col("row_count").cast("string"), *(F.coalesce(F.col(f"w{i}").cast("string"), F.lit("0")) for i in range(8))), 256).alias("digest"))

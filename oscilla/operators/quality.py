@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import finite, within_tolerance
 from ..sources.readings import CONTRACT, FEATURES, UNIT_RELATIONS
+from . import quantiles
 
 #: Fixed values: (rule, reason, action, precedence).
 RULES = (
@@ -82,9 +83,10 @@ def resolve(df: DataFrame, rules: str = "rules") -> DataFrame:
 
 def fences(df: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
     """One row: `fences`, a map from column to (low, high) at 1.5 IQR of type-7 quartiles."""
-    made = df.agg(*(F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in columns))
-    pair = lambda c: F.struct((F.col(c)[0] - 1.5 * (F.col(c)[1] - F.col(c)[0])).alias("low"), (F.col(c)[1] + 1.5 * (F.col(c)[1] - F.col(c)[0])).alias("high"))
-    return made.select(F.create_map(*(x for c in columns for x in (F.lit(c), pair(c)))).alias("fences"))
+    q = quantiles.interpolated(df, {c: F.col(c) for c in columns}, (0.25, 0.75))
+    low, high = F.get("values", F.lit(0)), F.get("values", F.lit(1))
+    pair = F.struct((low - 1.5 * (high - low)).alias("low"), (high + 1.5 * (high - low)).alias("high"))
+    return q.agg(F.map_from_entries(F.collect_list(F.struct("column_name", pair))).alias("fences"))
 
 
 def flag_outliers(df: DataFrame, fitted: DataFrame, columns: list[str] = FEATURES, rules: str = "rules") -> DataFrame:

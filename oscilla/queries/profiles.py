@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.instants import micros
 from ..functions.numbers import percentage
-from ..operators import profile
+from ..operators import profile, quantiles
 from . import Register, read
 
 register = Register()
@@ -174,13 +174,17 @@ def baseline_gates_lineitem(spark, sf_dir):
 def quantile_definitions_lineitem(spark, sf_dir):
     """The four definitions side by side; they are never exchanged for each other."""
     df = read(spark, sf_dir, "lineitem").select("l_extendedprice")
-    plain = df.agg(F.round(F.percentile("l_extendedprice", F.lit(0.95)), 6).alias("interpolated"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY l_extendedprice)").alias("nearest_rank"))
-    low = profile.order_statistic(df, "l_extendedprice", 0.95, "lower").withColumnRenamed("value", "lower_element")
-    high = profile.order_statistic(df, "l_extendedprice", 0.95, "higher").withColumnRenamed("value", "higher_element")
-    return plain.crossJoin(low).crossJoin(high).select("interpolated", "lower_element", "higher_element", "nearest_rank")
+    price = {"l_extendedprice": F.col("l_extendedprice")}
+    found = quantiles.elements(df, price, (0.95,)).select("column_name", F.col("low").alias("lower_element"), F.col("high").alias("higher_element"), F.col("nearest").alias("nearest_rank"))
+    plain = quantiles.interpolated(df, price, (0.95,)).select("column_name", F.round(F.get("values", F.lit(0)), 6).alias("interpolated"))
+    return found.join(F.broadcast(plain), "column_name").select("interpolated", "lower_element", "higher_element", "nearest_rank")
 
 
-@register("AG-34 FN-8", "SELECT count(*) AS row_count, sum(('0x' || substr(md5(concat_ws('|', coalesce(o_orderkey::VARCHAR, '\\N'), coalesce(o_custkey::VARCHAR, '\\N'), coalesce(o_orderstatus, '\\N'), coalesce((round(o_totalprice * 100))::BIGINT::VARCHAR, '\\N'))), 1, 8))::BIGINT)::BIGINT AS digest FROM orders")
+_ROW_HASH = "sha256(concat_ws('|', coalesce(o_orderkey::VARCHAR, '\\N'), coalesce(o_custkey::VARCHAR, '\\N'), coalesce(o_orderstatus, '\\N'), coalesce((round(o_totalprice * 100))::BIGINT::VARCHAR, '\\N')))"
+_WORDS = ", ".join(f"sum(('0x' || substr(h, {8 * i + 1}, 8))::BIGINT)::VARCHAR" for i in range(8))
+
+
+@register("AG-34 FN-8", f"WITH r AS (SELECT {_ROW_HASH} AS h FROM orders) SELECT count(*) AS row_count, sha256(concat_ws(':', count(*)::VARCHAR, {_WORDS})) AS digest FROM r")
 def table_hash_orders(spark, sf_dir):
     """Floats enter as whole cents, never as text."""
     return profile.table_hash(read(spark, sf_dir, "orders"), [F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderstatus"), F.round(F.col("o_totalprice") * 100).cast("long")])

@@ -468,3 +468,26 @@ def test_nearest_against_brute_force(spark, own):
     assert [tuple(r) for r in found] == wanted
     few = neighbours.ranked(asked.limit(2), train.where("ref < 3"), 7).collect()
     assert len(few) == 6 and neighbours.ranked(asked.limit(0), train).count() == 0
+
+
+def test_exact_quantiles_inside_brackets(spark, monkeypatch):
+    """The bracketed way, forced on a small table by narrow limits, against numpy on ties, few values, nulls and NaN."""
+    from oscilla.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "SMALL", 100)
+    monkeypatch.setattr(quantiles, "SLACK", 0.01)
+    df = spark.range(5000).select((F.pmod(F.xxhash64("id"), F.lit(3001)) / 7).alias("a"), F.pmod("id", F.lit(3)).cast("double").alias("b"), F.when(F.col("id") < 60, F.col("id").cast("double")).otherwise(float("nan")).alias("c"), F.lit(None).cast("double").alias("d"))
+    local, qs = df.toPandas(), (0.0, 0.25, 0.5, 0.95, 1.0)
+    found = {r["column_name"]: r for r in quantiles.interpolated(df, {c: F.col(c) for c in df.columns}, qs).collect()}
+    for c in "abc":
+        x = local[c].dropna()
+        assert found[c]["n"] == len(x) and np.allclose(found[c]["values"], np.quantile(x, qs), atol=1e-9)
+    assert found["d"]["n"] == 0 and found["d"]["values"] == [None] * 5
+
+
+def test_input_order_across_stretches(spark):
+    df = spark.createDataFrame([(i, i // 2) for i in range(40)], "p long, at long")
+    order = lambda d: profile.input_order(d, F.col("at"), F.col("p"), 8).first()[0]
+    assert order(df) == "nondecreasing" and order(df.withColumn("at", -F.col("at"))) == "nonincreasing"
+    assert order(df.withColumn("at", F.lit(1))) == order(df.limit(0)) == "constant"
+    assert order(df.withColumn("at", F.when(F.col("p") == 16, 0).otherwise(F.col("at")))) == "unordered"
