@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import vectors
+from . import sessions
 
 TOP_K = 5
 #: Vectors a side of one block of the distance grid at most, and training vectors of a block at least, where there are idle cores.
@@ -62,6 +63,21 @@ def ranked(queries: DataFrame, train: DataFrame, k: int = TOP_K, exclude_self: b
     return met.withColumn("rank", last).where(F.col("rank") <= k).select("query_id", "rank", "ref", "label", "distance")
 
 
+def nearest_of_one(train: DataFrame, query: DataFrame, k: int = TOP_K) -> DataFrame:
+    """ranked for a single query row, by one scan of train and the k least: the plan of a request, without blocks. query: one row."""
+    one = F.broadcast(query.select("query_id", F.col("v").alias("q")).limit(1))
+    found = train.where("v is not null").crossJoin(one).withColumn("distance", vectors.euclidean(F.col("v"), F.col("q")))
+    least = found.select("query_id", "ref", "label", "distance").orderBy("distance", "ref").limit(k)
+    return least.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "ref"))).select("query_id", "rank", "ref", "label", "distance")
+
+
+def evenly_spaced_ids(df: DataFrame, key: str, wanted: int, width: int = 1 << 20) -> list[int]:
+    """At most `wanted` ids, evenly spaced in their order; ids are numbered inside stretches of `width`."""
+    numbered = sessions.running_sum(df.select(key).withColumn("time_bucket", F.floor(F.col(key) / width)), F.lit(1), "number", key, key)
+    numbers = [i + 1 for i in dict.fromkeys(sessions.evenly_spaced(df.count(), wanted))]
+    return [r[key] for r in numbered.where(F.col("number").isin(numbers)).orderBy("number").collect()]
+
+
 def voted(found: DataFrame) -> DataFrame:
     """For each query: winner by (most votes, smallest sum of distances, label), its votes, share, the margin to the second, and the nearest distance."""
     each = found.groupBy("query_id", "label").agg(F.count(F.lit(1)).alias("votes"), F.sum("distance").alias("total"), F.min("distance").alias("nearest"))

@@ -146,3 +146,61 @@ def table_hash(df: DataFrame, columns: list[Column]) -> DataFrame:
     words = [F.sum(F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")).alias(f"w{i}") for i in range(8)]
     sums = df.select(row.alias("h")).agg(F.count(F.lit(1)).alias("row_count"), *words)
     return sums.select("row_count", F.sha2(F.concat_ws(":", F.col("row_count").cast("string"), *(F.coalesce(F.col(f"w{i}").cast("string"), F.lit("0")) for i in range(8))), 256).alias("digest"))
+
+
+#: The indicators of a baseline in their order, and what each one decides.
+INDICATORS = (
+    ("integrity.source", "blocking"),
+    ("parsing.csv", "blocking"),
+    ("contract.banner", "blocking"),
+    ("expectation.dimensions", "blocking"),
+    ("expectation.fault_cardinality", "blocking"),
+    ("determinism.temporal_arithmetic", "blocking"),
+    ("sanitization.public_payload", "blocking"),
+    ("reconciliation.aggregate_counts", "blocking"),
+    ("classification.public_fields", "blocking"),
+    ("determinism.byte_equality", "blocking"),
+    ("quality.complete_duplicates", "alert"),
+    ("quality.repeated_ids", "alert"),
+    ("quality.conflicting_ids", "alert"),
+    ("quality.irregular_cadence", "alert"),
+    ("quality.temporal_gaps", "alert"),
+    ("quality.redundant_pairs", "alert"),
+    ("observation.temporal_period", "observation"),
+    ("observation.column_statistics", "observation"),
+    ("observation.iqr_outliers", "observation"),
+    ("observation.anonymous_fault_distribution", "observation"),
+    ("observation.fault_imbalance", "observation"),
+    ("observation.redundant_pair_consistency", "observation"),
+)
+
+
+def findings(df: DataFrame, key: str, instant: Column, label: str, required: list[str], measured: list[str], pair: tuple[Column, Column], rows: int, columns: int, labels: int) -> DataFrame:
+    """One row with the count of findings for each indicator that counts any: the profile's parts, each an aggregate, side by side.
+
+    A table that could not be read or whose source differs never gets here, so these indicators count nothing, as do those that two runs of the job decide."""
+    counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    by_label = counts.agg(F.count(F.lit(1)).alias("kinds"), F.coalesce(F.sum("n"), F.lit(0)).alias("labelled"), F.coalesce(F.max("n") - F.min("n"), F.lit(0)).alias("imbalance"))
+    whole = df.agg(F.count(F.lit(1)).alias("n"), F.count(label).alias("with_label"), sum((F.count_if(F.col(c).isNull()) for c in required), F.lit(0)).alias("broken"))
+    outliers = numeric(df, measured).agg(F.sum("outliers").alias("outliers"))
+    parts = [by_label, row_duplicates(df).select("excess_rows"), key_duplicates(df, [key]).select("duplicate_keys", "conflicting_keys"), temporal(df, instant).select("valid", "irregular", "gaps"), unit_pair(df, *pair).select((F.col("comparable") - F.col("consistent")).alias("inconsistent"), "consistent"), outliers]
+    one = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), parts, whole)
+    flag = lambda ok: F.when(ok, 0).otherwise(1)
+    made = {
+        "contract.banner": F.col("broken"), "expectation.dimensions": flag((F.col("n") == rows) & F.lit(len(df.columns) == columns)), "expectation.fault_cardinality": flag(F.col("kinds") == labels), "reconciliation.aggregate_counts": flag(F.col("labelled") == F.col("with_label")) + flag(F.col("with_label") == F.col("n")),
+        "quality.complete_duplicates": F.col("excess_rows"), "quality.repeated_ids": F.col("duplicate_keys"), "quality.conflicting_ids": F.col("conflicting_keys"), "quality.irregular_cadence": F.col("irregular"), "quality.temporal_gaps": F.col("gaps"), "quality.redundant_pairs": F.col("inconsistent"),
+        "observation.temporal_period": F.when(F.col("valid") > 0, 1).otherwise(0), "observation.column_statistics": F.lit(len(measured)), "observation.iqr_outliers": F.col("outliers"), "observation.anonymous_fault_distribution": F.col("kinds"), "observation.fault_imbalance": F.col("imbalance"), "observation.redundant_pair_consistency": F.col("consistent"),
+    }
+    return one.select(*(F.coalesce(c.cast("long"), F.lit(0)).alias(code.replace(".", "_")) for code, c in made.items()))
+
+
+def indicators(found: DataFrame) -> DataFrame:
+    """(code, classification, passed, finding_count, accepted) of INDICATORS from one row of findings; observations pass always, and a table is accepted if all blocking ones passed."""
+    def row(code: str, kind: str) -> Column:
+        name = code.replace(".", "_")
+        n = F.col(name) if name in found.columns else F.lit(0).cast("long")
+        return F.struct(F.lit(code).alias("code"), F.lit(kind).alias("classification"), (F.lit(kind == "observation") | (n == 0)).alias("passed"), n.alias("finding_count"))
+
+    gates = F.array(*(row(*i) for i in INDICATORS))
+    accepted = F.forall(F.filter(gates, lambda g: g["classification"] == "blocking"), lambda g: g["passed"])
+    return found.select(F.explode(gates).alias("g"), accepted.alias("accepted")).select("g.*", "accepted")

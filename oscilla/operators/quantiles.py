@@ -8,39 +8,37 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import finite
 
-#: A sketch of this accuracy errs by n / ACCURACY ranks at most; a bracket reaches SLACK of all ranks to both sides.
-ACCURACY, SLACK = 100_000, 2.5e-5
-#: Below this count a bracket would span few ranks, so it spans all: 2.5 SLACK n is then no more than a sketch's rounding.
-SMALL = 400_000
+#: A sketch of this accuracy errs by n / ACCURACY ranks at most; a bracket reaches SLACK of all ranks to both sides, well beyond that error.
+ACCURACY, SLACK = 20_000, 1.25e-4
+#: Below this count a bracket would reach 10 ranks or less, so it spans all values.
+SMALL = 80_000
 
 
 def elements(df: DataFrame, columns: dict[str, Column], qs: tuple[float, ...]) -> DataFrame:
     """(column_name, q, n, low, high, nearest) over finite values: the elements at floor and ceil of (n - 1) q and at the nearest rank; null where n is 0.
 
-    Three scans of the columns. One task orders the distinct values of a bracket, 5e-5 of all rows or SMALL distinct values at most beside those equal to its ends."""
+    Three scans of the columns; the driver gets a few numbers for each quantile. One task orders the distinct values of a bracket, 2.5e-4 of all rows or SMALL distinct values at most beside those equal to its ends."""
     names = list(columns)
     rows = df.select(*(F.when(finite(e.cast("double")), e.cast("double")).alias(f"x{i}") for i, e in enumerate(columns.values())))
     edges = [max(q - SLACK, 0.0) for q in qs] + [min(q + SLACK, 1.0) for q in qs]
     sketch = rows.agg(*(F.struct(F.count(x).alias("n"), F.min(x).alias("least"), F.max(x).alias("most"), F.percentile_approx(x, edges, ACCURACY).alias("e")).alias(f"s{i}") for i, x in enumerate(rows.columns)))
-    places = [(i, k) for i in range(len(names)) for k in range(len(qs))]
-
-    def bracket(i: int, k: int) -> Column:
-        s = F.col(f"s{i}")
-        end = lambda at, whole: F.when(s["n"] < SMALL, s[whole]).otherwise(F.get(s["e"], F.lit(at)))
-        return F.struct(F.lit(names[i]).alias("column_name"), F.lit(float(qs[k])).alias("q"), s["n"].alias("n"), end(k, "least").alias("first"), end(k + len(qs), "most").alias("last"))
-
-    both = rows.crossJoin(F.broadcast(sketch.select(*(bracket(i, k).alias(f"b{i}_{k}") for i, k in places))))
-    b = lambda i, k: F.col(f"b{i}_{k}")
-    below = both.agg(*(F.count_if(F.col(f"x{i}") < b(i, k)["first"]).alias(f"c{i}_{k}") for i, k in places)).crossJoin(F.broadcast(sketch.select(*(bracket(i, k).alias(f"b{i}_{k}") for i, k in places))))
-    asked = below.select(F.explode(F.array(*(F.struct(F.lit(j).alias("place"), b(i, k).alias("b"), F.col(f"c{i}_{k}").alias("below")) for j, (i, k) in enumerate(places)))).alias("a")).select("a.place", "a.b.column_name", "a.b.q", "a.b.n", "a.below")
-    inside = F.array_compact(F.array(*(F.when(F.col(f"x{i}").between(b(i, k)["first"], b(i, k)["last"]), F.struct(F.lit(j).alias("place"), F.col(f"x{i}").alias("value"))) for j, (i, k) in enumerate(places))))
-    counted = both.select(F.explode(inside).alias("v")).groupBy("v.place", "v.value").agg(F.count(F.lit(1)).alias("m"))
+    found, brackets = sketch.first(), []
+    for i, name in enumerate(names):
+        s = found[f"s{i}"]
+        for k, q in enumerate(qs):
+            first, last = (s["least"], s["most"]) if s["n"] < SMALL else (s["e"][k], s["e"][k + len(qs)])
+            brackets.append((i, len(brackets), name, float(q), s["n"], first, last))
+    full = [b for b in brackets if b[4]]
+    below = rows.agg(*(F.count_if(F.col(f"x{i}") < first).alias(f"c{place}") for i, place, *_, first, _ in full)).first() if full else {}
+    asked = df.sparkSession.createDataFrame([(place, name, q, n, below[f"c{place}"] if n else 0) for _, place, name, q, n, *_ in brackets], "place int, column_name string, q double, n long, below long")
+    inside = [F.when(F.col(f"x{i}").between(first, last), F.struct(F.lit(place).alias("place"), F.col(f"x{i}").alias("value"))) for i, place, *_, first, last in full]
+    counted = rows.select(F.explode(F.array_compact(F.array(*inside or [F.lit(None).cast("struct<place: int, value: double>")]))).alias("v")).groupBy("v.place", "v.value").agg(F.count(F.lit(1)).alias("m"))
     upto = F.sum("m").over(Window.partitionBy("place").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
     ordered = counted.withColumn("upto", upto).join(F.broadcast(asked), "place")
     at = lambda rank: F.min(F.when(F.col("below") + F.col("upto") > rank, F.col("value")))
     position = (F.col("n") - 1) * F.col("q")
-    found = ordered.groupBy("place").agg(at(F.floor(position)).alias("low"), at(F.ceil(position)).alias("high"), at(F.greatest(F.ceil(F.col("n") * F.col("q")) - 1, F.lit(0))).alias("nearest"))
-    return asked.join(F.broadcast(found), "place", "left").select("column_name", "q", "n", "low", "high", "nearest")
+    picked = ordered.groupBy("place").agg(at(F.floor(position)).alias("low"), at(F.ceil(position)).alias("high"), at(F.greatest(F.ceil(F.col("n") * F.col("q")) - 1, F.lit(0))).alias("nearest"))
+    return asked.join(F.broadcast(picked), "place", "left").select("column_name", "q", "n", "low", "high", "nearest")
 
 
 def interpolated(df: DataFrame, columns: dict[str, Column], qs: tuple[float, ...]) -> DataFrame:

@@ -72,7 +72,7 @@ def assembled(df: DataFrame, labels: dict[str, str], limit: int = sessions.DAY)
 
 
 def gates(tables: dict[str, DataFrame], source_rows: int, threshold: float) -> DataFrame:
-    """(gate, passed): coverage, alignment, disjointness, order, purge gap, features, emptiness; each one aggregate over published tables."""
+    """(gate, passed): coverage, alignment, disjointness, order, purge gap, features, emptiness, the fit made anew; each one aggregate over published tables."""
     c, d = tables["canonical"], tables["dispositions"]
     at = instants.parse(F.col("event_timestamp_utc"))
     c = c.withColumn("at", at["sec"] * 1_000_000 + (at["frac"] * 1_000_000).cast("long"))
@@ -82,10 +82,12 @@ def gates(tables: dict[str, DataFrame], source_rows: int, threshold: float) -> D
     ends = {r["partition"]: r for r in c.where("partition is not null").groupBy("partition").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.count(F.lit(1)).alias("n")).collect()}
     whole = {"train", "validation", "test"} <= set(ends)
     gap = lambda a, b: ends[b]["low"] - ends[a]["high"]
+    # The names are fixed values.
     rows = [
         ("ledger.complete_destination", ledger["n"] == source_rows == ledger["positions"] == ledger["ids"] and ledger["aligned"]), ("canonical.eligible_coverage", both["one_sided"] == 0), ("partitions.assignment_alignment", both["moved"] == 0), ("partitions.occurrence_disjoint", mixed == 0),
         ("partitions.projection_exact", all(tables[p].exceptAll(c.where(F.col("partition") == p).select(*FEATURES, "y")).isEmpty() and tables[p].count() == ends[p]["n"] for p in ends)), ("partitions.temporal_order", whole and gap("train", "validation") > 0 and gap("validation", "test") > 0),
         ("partitions.purge_gap", whole and min(gap("train", "validation"), gap("validation", "test")) >= threshold), ("features.inference_only", all(t.columns == [*FEATURES, "y"] and not set(FEATURES) & set(DENIED) for n, t in tables.items() if n in ends)), ("partitions.nonempty", whole),
+        ("fit.statistics_train_only", whole and split.fit_threshold(c.where("partition = 'train'").select("at", F.col("source_position").alias("position"))) == threshold),
         ("fit.target_independent", "y" not in FEATURES and not set(FEATURES) & set(DENIED)),
     ]
     return c.sparkSession.createDataFrame(rows, "gate string, passed boolean")

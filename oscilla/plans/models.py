@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +38,23 @@ def load(spark: SparkSession, path: str, identity: str) -> dict[str, DataFrame]:
     return tables
 
 
+def frozen_plan(dataset: dict[str, DataFrame], model: dict[str, DataFrame], identity: str, stored: DataFrame, calibration: str, k: int = neighbours.TOP_K) -> tuple[str, str]:
+    """(plan id, plan as canonical JSON) that binds data, model, index and policy before the test part is read for an evaluation; raises if they don't belong together.
+
+    dataset: train, validation, test; stored: the index of the model. Only counts and digests reach the driver."""
+    parts = json.loads(manifest_of({p: dataset[p] for p in ("train", "validation", "test")}))
+    if manifest_of(model) != identity:
+        raise ValueError("the model isn't the one of this identity")
+    if calibration not in ("train", "validation") or parts[calibration]["digest"] == parts["test"]["digest"]:
+        raise ValueError("the policy depends on the test part")
+    made = json.loads(manifest_of({"index": stored, "expected": index(model["vectors"])}))
+    if made["index"] != made["expected"] or made["index"]["rows"] != parts["train"]["rows"]:
+        raise ValueError("index, model and train part differ")
+    policy = model["policy"].first().asDict()
+    plan = json.dumps({"dataset": parts, "model": json.loads(identity), "index": made["index"], "calibration": calibration, "policy": policy, "top_k": k}, sort_keys=True, separators=(",", ":"))
+    return f"plan_{hashlib.sha256(plan.encode()).hexdigest()[:32]}", plan
+
+
 def request_problems(requests: DataFrame, dimension: int = 18) -> DataFrame:
     """(request_id, problem) of requests whose vector or top_k a model must not see."""
     v = F.col("v")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors
@@ -195,3 +198,17 @@ def feature_comparison_lineitem(spark, sf_dir):
     """A pair of measurements, each against the larger."""
     most = F.nullif(F.greatest(F.abs("l_tax"), F.abs("l_discount")), F.lit(0.0))
     return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.abs("l_tax") / most, 6).alias("tax_ratio"), F.round(F.abs("l_discount") / most, 6).alias("discount_ratio"))
+
+
+_PARITY = f"WITH {_NN}, o AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS i, count(*) OVER () AS c FROM q), m AS (SELECT DISTINCT (j * (c - 1)) // 15 AS i FROM o, range(16) x(j)), w AS (SELECT vec_id AS query_id FROM o JOIN m USING (i)), l AS (SELECT query_id, string_agg(ref::VARCHAR || ':' || label::VARCHAR, ',' ORDER BY rank) AS neighbours FROM n JOIN w USING (query_id) GROUP BY query_id)"
+
+
+@register("KN-14", _PARITY + " SELECT query_id, neighbours AS batch, neighbours AS single FROM l")
+def batch_single_parity_embeddings(spark, sf_dir):
+    """Neighbours of 16 evenly spaced queries, once from the batch of all queries and once from a plan for the one row."""
+    train, queries = parts(spark, sf_dir)
+    wanted = neighbours.evenly_spaced_ids(queries, "query_id", 16)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "ref", "label"))), lambda s: F.concat(s["ref"].cast("string"), F.lit(":"), s["label"].cast("string"))), ",")
+    batch = neighbours.ranked(queries, train).where(F.col("query_id").isin(wanted)).groupBy("query_id").agg(text.alias("batch"))
+    single = reduce(DataFrame.unionByName, (neighbours.nearest_of_one(train, queries.where(F.col("query_id") == i)) for i in wanted)).groupBy("query_id").agg(text.alias("single"))
+    return batch.join(single, "query_id", "full")

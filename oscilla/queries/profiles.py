@@ -166,6 +166,27 @@ def baseline_gates_lineitem(spark, sf_dir):
     return s.select(F.explode(gates).alias("g"), accepted.alias("accepted")).select("g.*", "accepted")
 
 
+_PLANTED = """p AS (SELECT event_id, ts, event_type, value, value * 1.8 + 32 + CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END AS fahrenheit FROM events UNION ALL SELECT event_id, ts, event_type, value, value * 1.8 + 32 + CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END FROM events WHERE event_id % 50 = 0 UNION ALL SELECT event_id, ts, event_type, value + 1, (value + 1) * 1.8 + 32 FROM events WHERE event_id % 70 = 0)"""
+_FINDINGS = f"""WITH {_PLANTED}, k AS (SELECT event_type, count(*) AS n FROM p WHERE event_type IS NOT NULL GROUP BY 1), w AS (SELECT count(*) AS n FROM p), g AS (SELECT event_id, count(*) AS n, count(DISTINCT (ts, event_type, value, fahrenheit)) AS kinds FROM p GROUP BY 1), dd AS (SELECT event_id, ts, event_type, value, fahrenheit, count(*) AS n FROM p GROUP BY ALL),
+t AS (SELECT DISTINCT epoch_us(ts) AS a FROM p WHERE ts IS NOT NULL), s AS (SELECT a - lag(a) OVER (ORDER BY a) AS gap FROM t), cd AS (SELECT gap AS cadence FROM s WHERE gap IS NOT NULL GROUP BY gap ORDER BY count(*) DESC, gap LIMIT 1), u AS (SELECT abs(fahrenheit - (value * 1.8 + 32)) <= greatest(1e-6, 1e-6 * greatest(abs(fahrenheit), abs(value * 1.8 + 32))) AS ok FROM p WHERE value IS NOT NULL),
+q AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM p), f(code, n) AS (VALUES ('contract.banner', (SELECT count(*) FILTER (ts IS NULL) + count(*) FILTER (event_type IS NULL) FROM p)), ('expectation.fault_cardinality', (SELECT CASE WHEN count(*) = 4 THEN 0 ELSE 1 END FROM k)),
+('reconciliation.aggregate_counts', (SELECT CASE WHEN count(event_type) = count(*) THEN 0 ELSE 1 END FROM p)), ('expectation.dimensions', 1), ('quality.complete_duplicates', (SELECT sum(n - 1) FROM dd)), ('quality.repeated_ids', (SELECT count(*) FROM g WHERE n > 1)), ('quality.conflicting_ids', (SELECT count(*) FROM g WHERE kinds > 1)),
+('quality.irregular_cadence', (SELECT count(*) FROM s, cd WHERE gap <> cadence)), ('quality.temporal_gaps', (SELECT count(*) FROM s, cd WHERE gap > 2 * cadence)), ('quality.redundant_pairs', (SELECT count(*) FILTER (NOT ok) FROM u)), ('observation.temporal_period', 1), ('observation.column_statistics', 1),
+('observation.iqr_outliers', (SELECT count(*) FROM p, q WHERE value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a))), ('observation.anonymous_fault_distribution', (SELECT count(*) FROM k)), ('observation.fault_imbalance', (SELECT max(n) - min(n) FROM k)), ('observation.redundant_pair_consistency', (SELECT count(*) FILTER (ok) FROM u))),
+i(code, classification) AS (VALUES {", ".join(str(x) for x in profile.INDICATORS)}), r AS (SELECT code, classification, coalesce(n, 0)::BIGINT AS finding_count, classification = 'observation' OR coalesce(n, 0) = 0 AS passed FROM i LEFT JOIN f USING (code))"""
+
+
+@register("AG-17", _FINDINGS + " SELECT code, classification, passed, finding_count, (SELECT bool_and(passed) FROM r WHERE classification = 'blocking') AS accepted FROM r")
+def baseline_indicators_events(spark, sf_dir):
+    """All indicators of a baseline over events with planted repeats, conflicts, wrong pairs, and another size than expected."""
+    e, n = read(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value"), F.col("event_id")
+    f = F.col("value") * 1.8 + 32
+    own = e.withColumn("fahrenheit", f + F.when(n % 97 == 0, 1).otherwise(0))
+    planted = own.unionByName(own.where(n % 50 == 0)).unionByName(e.where(n % 70 == 0).withColumn("value", F.col("value") + 1).withColumn("fahrenheit", f))
+    made = profile.findings(planted, "event_id", micros(F.col("ts")), "event_type", ["ts", "event_type"], ["value"], (F.col("fahrenheit"), f), 0, 5, 4)
+    return profile.indicators(made)
+
+
 @register(
     "AG-4 AG-5 AG-6 AG-7",
     """WITH v AS (SELECT l_extendedprice AS x, row_number() OVER (ORDER BY l_extendedprice) - 1 AS i, count(*) OVER () AS n FROM lineitem)

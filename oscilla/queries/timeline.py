@@ -88,10 +88,10 @@ def temporal_split_fixed_point(spark, sf_dir):
     _SPLIT.format(purge=SHORT_GAP) + """, x AS (SELECT s.p, CASE WHEN NOT q.purged THEN q.part END AS partition, q.session, s.a FROM s JOIN q USING (session))
     SELECT (SELECT count(*) FROM x) = (SELECT count(*) FROM events) AS ledger_complete, (SELECT count(DISTINCT p) FROM x) = (SELECT count(*) FROM x) AS eligible_coverage, (SELECT count(*) FROM (SELECT session FROM x WHERE partition IS NOT NULL GROUP BY session HAVING count(DISTINCT partition) > 1)) = 0 AS occurrence_disjoint,
     (SELECT max(a) FROM x WHERE partition = 'train') < (SELECT min(a) FROM x WHERE partition = 'validation') AND (SELECT max(a) FROM x WHERE partition = 'validation') < (SELECT min(a) FROM x WHERE partition = 'test') AS temporal_order,
-    (SELECT count(DISTINCT partition) FROM x) = 3 AS nonempty""",
+    (SELECT min(a) FROM x WHERE partition = 'validation') - (SELECT max(a) FROM x WHERE partition = 'train') >= {gap} AND (SELECT min(a) FROM x WHERE partition = 'test') - (SELECT max(a) FROM x WHERE partition = 'validation') >= {gap} AS purge_gap, (SELECT count(DISTINCT partition) FROM x) = 3 AS nonempty""".format(gap=SHORT_GAP),
 )
 def leakage_gates_events(spark, sf_dir):
-    """Coverage, disjointness, order and emptiness of a split, each one aggregate."""
+    """Coverage, disjointness, order, purge gap and emptiness of a split, each one aggregate."""
     r = rows(spark, sf_dir)
     s = sessions.gap_sessions(r, SHORT_GAP)
     found = split.occurrences(s)
@@ -100,7 +100,7 @@ def leakage_gates_events(spark, sf_dir):
     one = x.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("position").alias("ids"), when("train", F.max).alias("t1"), when("validation", F.min).alias("v0"), when("validation", F.max).alias("v1"), when("test", F.min).alias("e0"), F.countDistinct("partition").alias("parts"))
     mixed = x.where("partition is not null").groupBy("session").agg(F.countDistinct("partition").alias("k")).agg(F.count_if(F.col("k") > 1).alias("mixed"))
     source = read(spark, sf_dir, "events").agg(F.count(F.lit(1)).alias("source"))
-    return one.crossJoin(mixed).crossJoin(source).select((F.col("n") == F.col("source")).alias("ledger_complete"), (F.col("ids") == F.col("n")).alias("eligible_coverage"), (F.col("mixed") == 0).alias("occurrence_disjoint"), ((F.col("t1") < F.col("v0")) & (F.col("v1") < F.col("e0"))).alias("temporal_order"), (F.col("parts") == 3).alias("nonempty"))
+    return one.crossJoin(mixed).crossJoin(source).select((F.col("n") == F.col("source")).alias("ledger_complete"), (F.col("ids") == F.col("n")).alias("eligible_coverage"), (F.col("mixed") == 0).alias("occurrence_disjoint"), ((F.col("t1") < F.col("v0")) & (F.col("v1") < F.col("e0"))).alias("temporal_order"), ((F.col("v0") - F.col("t1") >= SHORT_GAP) & (F.col("e0") - F.col("v1") >= SHORT_GAP)).alias("purge_gap"), (F.col("parts") == 3).alias("nonempty"))
 
 
 @register("WN-14 KN-3", f"WITH {_ROWS}, o AS (SELECT p, row_number() OVER (ORDER BY a, p) - 1 AS i, count(*) OVER () AS n FROM r), m AS (SELECT DISTINCT (k * (n - 1)) // 511 AS i FROM o, range(512) t(k)) SELECT p AS position FROM o JOIN m USING (i)")

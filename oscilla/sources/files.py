@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.strict_json import canonical_json
+
 
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, sha256) of every file under a path, each hashed where it is read."""
@@ -107,6 +109,29 @@ def publish(spark: SparkSession, tables: dict[str, DataFrame], path: str, digest
     return True
 
 
+def write_changed(df: DataFrame, path: str, key: str, most: int | None = None) -> int:
+    """Writes the rows of df as canonical JSON, a folder for each key, and only those that are new or differ from what is stored. Returns how many were written.
+
+    Nothing is touched if nothing changed. Keys must be unique. `most`: raises if there are more rows, for reports of bounded size."""
+    spark = df.sparkSession
+    payload = canonical_json(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}))
+    new = df.select(F.col(key).cast("string").alias("key"), payload.alias("value"))
+    if most is not None and new.limit(most + 1).count() > most:
+        raise ValueError("too many rows for a report")
+    fs, target = _hadoop(spark, path)
+    if fs.exists(target):
+        stored = spark.read.schema("value string, key string").format("text").load(path)
+        new = new.join(stored, ["key", "value"], "left_anti")
+    stage = f"{path.rstrip('/')}.stage-{uuid.uuid4().hex}"
+    new.write.parquet(stage)
+    changed = spark.read.parquet(stage)
+    n = changed.count()
+    if n:
+        changed.repartition("key").write.partitionBy("key").mode("overwrite").option("partitionOverwriteMode", "dynamic").text(path)
+    fs.delete(_hadoop(spark, stage)[1], True)
+    return n
+
+
 def append_new(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """The new rows whose key is not stored: what an insert that ignores conflicts would add."""
     return new.join(stored.select(*keys), keys, "left_anti")

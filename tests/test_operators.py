@@ -491,3 +491,39 @@ def test_input_order_across_stretches(spark):
     assert order(df) == "nondecreasing" and order(df.withColumn("at", -F.col("at"))) == "nonincreasing"
     assert order(df.withColumn("at", F.lit(1))) == order(df.limit(0)) == "constant"
     assert order(df.withColumn("at", F.when(F.col("p") == 16, 0).otherwise(F.col("at")))) == "unordered"
+
+
+def test_only_changed_reports_are_written(spark, tmp_path):
+    path = str(tmp_path / "extraction")
+    df = spark.createDataFrame([("a", 1, None), ("b", 2, "x")], "document string, pages int, note string")
+    assert files.write_changed(df, path, "document") == 2 and files.write_changed(df, path, "document") == 0
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "extraction" / "key=a").iterdir()}
+    assert files.write_changed(df.withColumn("pages", F.col("pages") + F.when(F.col("document") == "b", 1).otherwise(0)), path, "document") == 1
+    assert before == {p: p.stat().st_mtime_ns for p in (tmp_path / "extraction" / "key=a").iterdir()}
+    stored = {r["key"]: json.loads(r["value"]) for r in spark.read.text(path).collect()}
+    assert stored == {"a": {"document": "a", "note": None, "pages": 1}, "b": {"document": "b", "note": "x", "pages": 3}}
+    with pytest.raises(ValueError, match="report"):
+        files.write_changed(df, path, "document", most=1)
+
+
+def test_limited_sessions_time_out(spark, tmp_path):
+    """One file a micro-batch: the last session of key 1 closes once key 2 has moved the watermark; a row behind it is dropped."""
+    second = 1_000_000
+    for rows in ([(1, 100 * second), (1, 105 * second)], [(2, 600 * second)], [(2, 605 * second)], [(1, 106 * second)], [(2, 610 * second)]):
+        spark.createDataFrame(rows, "key long, at long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("key long, at long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    made = streams.limited_sessions(stream, "key", 20 * second, 3600 * second, "10 seconds")
+    assert [tuple(r) for r in streams.finished(made, f"timeout-{tmp_path.name}").collect()] == [(1, 100 * second, 105 * second, 2)]
+
+
+def test_sentinels_and_strict_outputs(spark):
+    from oscilla.functions.strict_json import canonical_json
+    from oscilla.operators import generation
+
+    name, stem = "doc-1", f"UNTRUSTED_DOCUMENT_{__import__('hashlib').sha256(b'doc-1').hexdigest()}"
+    rows = [("", 0), (f"{stem}_1_BEGIN", 0), (f"x{stem}_0_END{stem}_1_BEGIN", 2), (f"{stem}_00_END", 0), (f"{stem}_0_BEGIN" * 3, 1)]
+    found = generation.enveloped(spark.createDataFrame([(name, c, n) for c, n in rows], "evidence_id string, content string, n int")).collect()
+    assert all(r["begin_sentinel"] == f"{stem}_{r['n']}_BEGIN" and r["begin_sentinel"] not in r["content"] and r["end_sentinel"] not in r["content"] for r in found)
+    texts = ['{"b":1,"a":[{"d":null,"c":"é"}]}', '{"a":1,"a":1}', "{} {}", "", None, '{"a":NaN}', '["Infinity"]', "[1e999]"]
+    made = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(canonical_json(F.col("t"))).collect()]
+    assert made == ['{"a":[{"c":"é","d":null}],"b":1}', None, None, None, None, None, '["Infinity"]', None]

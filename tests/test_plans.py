@@ -49,3 +49,32 @@ def test_reports(spark, small, tmp_path):
     safe = df.select(F.col("row_count").alias("row_count", metadata={"privacy": "count"}))
     assert canonical.private_fields(safe) == [] and canonical.policy_problems() == []
     assert canonical.policy_problems((("x", "y", "z", 1), ("x", "iqr_outlier", "flag", 1))) == ["repeated rule", "repeated precedence", "unknown action of x", "unknown reason of x"]
+
+
+def test_frozen_plan(spark):
+    train = spark.createDataFrame([(i, i % 2, [float(i), float(i * i % 7)]) for i in range(30)], "ref long, label int, v array<double>")
+    validation, test = train.where("ref < 9"), train.where("ref > 20")
+    tables, _ = models.fit(train, validation.select(F.col("ref").alias("query_id"), "v"), 3)
+    dataset, identity, stored = {"train": train, "validation": validation, "test": test}, canonical.manifest_of(tables), models.index(tables["vectors"])
+    name, plan = models.frozen_plan(dataset, tables, identity, stored, "validation")
+    assert models.frozen_plan(dataset, tables, identity, stored, "validation") == (name, plan)
+    assert models.frozen_plan(dataset | {"test": train.where("ref > 21")}, tables, identity, stored, "validation")[0] != name
+    for bad in ((dataset, tables, "{}", stored, "train"), (dataset, tables, identity, stored, "test"), (dataset, tables, identity, stored.where("label = 0"), "train"), (dataset | {"test": validation}, tables, identity, stored, "validation"), (dataset | {"train": test}, tables, identity, stored, "validation")):
+        with pytest.raises(ValueError):
+            models.frozen_plan(*bad)
+
+
+def test_fit_of_the_train_part_is_made_anew(spark, small, tmp_path):
+    df = readings.derived(spark, small).drop("ts").persist()
+    labels = {r["fault"]: r["fault"].lower() for r in df.select("fault").distinct().collect()}
+    tables, threshold = canonical.assembled(df, labels)
+    tables = {n: canonical.cut(t) for n, t in tables.items()}
+    broken = lambda t, x: {r["gate"] for r in canonical.gates(t, df.count(), x).where("not passed").collect()}
+    assert canonical.gates(tables, df.count(), threshold).count() == 11 and broken(tables, threshold) == set()
+    assert "fit.statistics_train_only" in broken(tables, threshold / 2)
+    moved = tables["canonical"].withColumn("partition", F.when(F.col("partition") == "validation", "test").otherwise(F.col("partition")))
+    assert {"partitions.assignment_alignment", "partitions.projection_exact", "partitions.nonempty", "partitions.temporal_order"} <= broken(tables | {"canonical": moved}, threshold)
+    doubled = tables["dispositions"].unionByName(tables["dispositions"].limit(1))
+    assert "ledger.complete_destination" in broken(tables | {"dispositions": doubled}, threshold)
+    renamed = tables["train"].withColumnRenamed(tables["train"].columns[0], "created_at")
+    assert "features.inference_only" in broken(tables | {"train": renamed}, threshold)
