@@ -16,30 +16,46 @@ TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
 def terms(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf): words of two characters or more and pairs of neighbours, small letters without accents."""
+    """(key, term, tf): words of two characters or more and pairs of neighbours, small letters without accents.
+
+    Texts move once, to their key; terms are then counted where they are, and rows of one key stay together."""
     words = F.regexp_extract_all(plain(F.col(text)), F.lit(f"({TOKEN})"), F.lit(1))
     pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))).otherwise(F.array().cast("array<string>"))
-    rows = df.select(key, words.alias("w")).select(key, F.explode(F.concat("w", pairs)).alias("term"))
+    rows = df.select(key, text).repartition(key).select(key, words.alias("w")).select(key, F.explode(F.concat("w", pairs)).alias("term"))
     return rows.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def inverse(corpus: DataFrame, documents: int) -> DataFrame:
+    """(term, idf): ln((1 + n) / (1 + df)) + 1."""
+    return corpus.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", (F.log((1.0 + documents) / (1.0 + F.col("df"))) + 1).alias("idf"))
+
+
 def weights(corpus: DataFrame, key: str, documents: int) -> tuple[DataFrame, DataFrame]:
-    """(key, term, weight) with unit length for each key, and (term, idf): ln((1 + n) / (1 + df)) + 1."""
-    idf = corpus.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", (F.log((1.0 + documents) / (1.0 + F.col("df"))) + 1).alias("idf"))
+    """(key, term, weight) with unit length for each key, and (term, idf)."""
+    idf = inverse(corpus, documents)
     return normed(corpus, idf, key), idf
 
 
-def normed(tf: DataFrame, idf: DataFrame, key: str) -> DataFrame:
-    """Unit term vectors; terms without an idf count for nothing."""
+def raw_weights(tf: DataFrame, idf: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(key, term, raw) and (key, length): term counts by idf, and their Euclidean length. Terms without an idf count for nothing."""
     raw = tf.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("raw"))
-    length = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
+    return raw, raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
+
+
+def normed(tf: DataFrame, idf: DataFrame, key: str) -> DataFrame:
+    """Unit term vectors."""
+    raw, length = raw_weights(tf, idf, key)
     return raw.join(length, key).select(key, "term", (F.col("raw") / F.nullif(F.col("length"), F.lit(0.0))).alias("weight"))
 
 
-def scored(questions: DataFrame, documents: DataFrame, question: str, document: str) -> DataFrame:
-    """(question, document, score): cosine of term vectors, for pairs that share a term."""
-    a = questions.select(question, "term", F.col("weight").alias("x"))
-    return a.join(documents.select(document, "term", F.col("weight").alias("y")), "term").groupBy(question, document).agg(F.sum(F.col("x") * F.col("y")).alias("score"))
+def scored(questions: DataFrame, corpus: DataFrame, idf: DataFrame, question: str, document: str) -> DataFrame:
+    """(question, document, score): cosine of term vectors, for pairs that share a term. questions, corpus: (key, term, tf).
+
+    A document's weights go no further than to the questions' terms: lengths divide the finished sums, not each weight."""
+    asked = normed(questions, idf, question).select(question, "term", F.col("weight").alias("x"))
+    raw, length = raw_weights(corpus, idf, document)
+    dots = asked.join(raw, "term").groupBy(question, document).agg(F.sum(F.col("x") * F.col("raw")).alias("dot"))
+    return dots.join(length, document).select(question, document, (F.col("dot") / F.nullif(F.col("length"), F.lit(0.0))).alias("score"))
 
 
 def top(df: DataFrame, by: str, score: str, ties: list[str], k: int) -> DataFrame:

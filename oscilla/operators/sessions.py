@@ -35,9 +35,13 @@ def running_sum(df: DataFrame, value: Column, name: str, instant: str = "at", po
 
 def gap_sessions(df: DataFrame, threshold: float, instant: str = "at", position: str = "position", width: int = DAY) -> DataFrame:
     """Adds `session`, from 1: a new one begins where the gap is strictly beyond the threshold."""
-    rows = gaps(df, instant, position, width)
+    return broken(gaps(df, instant, position, width), threshold, instant, position)
+
+
+def broken(spaced: DataFrame, threshold: float, instant: str = "at", position: str = "position") -> DataFrame:
+    """The same from rows that have their gaps, which no threshold changes."""
     starts = F.when(F.col("gap").isNull() | (F.col("gap") > threshold), 1).otherwise(0)
-    return running_sum(rows, starts, "session", instant, position)
+    return running_sum(spaced, starts, "session", instant, position)
 
 
 def keyed_gap_sessions(df: DataFrame, keys: list[str], threshold: float, instant: str = "at", position: str = "position") -> DataFrame:

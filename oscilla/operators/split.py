@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import sessions
+from . import quantiles, sessions
 
 RATIOS = (0.7, 0.15)
 GAP_MULTIPLIER = 5
@@ -60,13 +60,24 @@ def assign(found: DataFrame, at: Boundaries, threshold: float, session: str = "s
 
 def fit_threshold(rows: DataFrame, width: int = sessions.DAY) -> float:
     """max(5 x median, 95th percentile) of the positive gaps between train rows; 0 if there is none."""
-    made = sessions.gaps(rows, width=width).where("gap > 0").agg(F.percentile("gap", F.array(F.lit(0.5), F.lit(GAP_QUANTILE))).alias("q")).first()["q"]
-    return 0.0 if made is None else max(GAP_MULTIPLIER * made[0], made[1])
+    return _fitted(sessions.gaps(rows, width=width))
+
+
+def _fitted(spaced: DataFrame) -> float:
+    gaps = spaced.where("gap > 0").select("gap").persist()
+    found = quantiles.interpolated(gaps, {"gap": F.col("gap")}, (0.5, GAP_QUANTILE)).first()
+    gaps.unpersist()
+    return 0.0 if not found["n"] else max(GAP_MULTIPLIER * found["values"][0], found["values"][1])
 
 
 def sessioned(rows: DataFrame, threshold: float, limit: int | None, width: int = sessions.DAY) -> DataFrame:
     """Rows with the ordinal of their session, broken by gap and, if wanted, by duration."""
-    made = sessions.gap_sessions(rows, threshold, width=width).select(*rows.columns, "session")
+    return _sessioned(sessions.gaps(rows, width=width), threshold, limit, width).select(*rows.columns, "session")
+
+
+def _sessioned(spaced: DataFrame, threshold: float, limit: int | None, width: int) -> DataFrame:
+    rows = spaced.drop("time_bucket")
+    made = sessions.broken(spaced, threshold).drop("time_bucket")
     if limit is None:
         return made
     folded = sessions.limit_duration(made, limit)
@@ -79,19 +90,22 @@ def fixed_point(rows: DataFrame, limit: int | None = sessions.DAY, width: int =
     """(threshold, occurrences with their parts). rows: (at in microseconds, position). Begins with every row on its own.
 
     Each round plans anew from the source with another literal, so nothing piles up; only thresholds and cuts reach the
-    driver. A round's sessions are read several times, so they are kept for the round."""
+    driver. A round's sessions are read several times, so they are kept for the round; gaps are kept for all rounds. Train
+    is what comes first in time, so its rows have the gaps that they have among all rows."""
     threshold, seen = -1.0, set()
+    spaced = sessions.gaps(rows, width=width).persist()
     for _ in range(ROUNDS):
-        sessioned_rows = sessioned(rows, threshold, limit, width).persist()
+        sessioned_rows = _sessioned(spaced, threshold, limit, width).persist()
         found = occurrences(sessioned_rows, width=width).persist()
         made = assign(found, boundaries(found), max(threshold, 0.0))
         left = made.agg(F.max(F.when(F.col("partition") == "train", F.col("session"))).alias("train"), F.count_if(F.col("partition") == "validation").alias("validation")).first()
         last_train = left["train"]
         if last_train is None or not left["validation"]:
             raise ValueError("the purge emptied a part")
-        fitted = fit_threshold(sessioned_rows.where(F.col("session") <= last_train).select("at", "position"), width)
+        fitted = _fitted(sessioned_rows.where(F.col("session") <= last_train))
         sessioned_rows.unpersist()
         if fitted == threshold:
+            spaced.unpersist()
             return threshold, made
         found.unpersist()
         if (fitted, last_train) in seen:

@@ -124,9 +124,9 @@ s AS (SELECT item_id, doc_id, sum(qr.r / qn.l * dr.r / dn.l) AS score FROM qr JO
 def _ranked(spark, sf_dir, k):
     docs, questions = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
     corpus = retrieval.terms(docs, "doc_id", "text")
-    weighted, idf = retrieval.weights(corpus, "doc_id", docs.count())
-    asked = retrieval.normed(retrieval.terms(questions, "item_id", "text"), idf, "item_id")
-    found = retrieval.scored(asked, weighted, "item_id", "doc_id").withColumn("score", F.round("score", 9))
+    idf = retrieval.inverse(corpus, docs.count())
+    asked = retrieval.terms(questions, "item_id", "text")
+    found = retrieval.scored(asked, corpus, idf, "item_id", "doc_id").withColumn("score", F.round("score", 9))
     return retrieval.top(found, "item_id", "score", ["doc_id"], k)
 
 
