@@ -36,6 +36,8 @@ BLOCK_BYTES = 8 << 20
 #: Parts that the words of a block are dealt to, and bytes of input whose blocks share their groups, about.
 BUCKETS = 32
 GROUP_BYTES = 512 << 20
+#: Bytes of input whose packed words, or whose blocks, share a partition of an exchange, about.
+PART_BYTES = 32 << 20
 BLOCK_SCHEMA = "block binary, rows int, numbers binary, bucket int, words binary"
 
 
@@ -175,7 +177,7 @@ def _blocks(df: DataFrame, buckets: int, numbers: bool) -> DataFrame:
     return made.select("block", "rows", "numbers") if numbers else made.select("block", "bucket", "words")
 
 
-def encoded_words(words: DataFrame, ranks_path: str, salts: int = 1) -> DataFrame:
+def encoded_words(words: DataFrame, ranks_path: str) -> DataFrame:
     """(block, bucket, ids): the ids of each word of each block's list, from one encoding of each distinct word of a group.
 
     A group is a bucket of the blocks with one salt, so it stays as large as it is, however many blocks there are."""
@@ -193,7 +195,7 @@ def encoded_words(words: DataFrame, ranks_path: str, salts: int = 1) -> DataFram
             out.append(_pack(np.fromiter((x for ids in made for x in ids), np.uint32, int(counts.sum())), counts))
         return pa.table({"block": table["block"], "bucket": table["bucket"], "ids": pa.array(out, pa.binary())})
 
-    return words.groupBy("bucket", F.pmod(F.xxhash64("block"), F.lit(salts)).alias("salt")).applyInArrow(run, "block binary, bucket int, ids binary")
+    return words.groupBy("bucket", "salt").applyInArrow(run, "block binary, bucket int, ids binary")
 
 
 def _assembled(numbers: pa.Table, ids: pa.Table) -> Iterator[tuple[int | None, np.ndarray]]:
@@ -223,8 +225,13 @@ def encode_corpus(df: DataFrame, ranks_path: str, schema: str, digest, settled:
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if not settled:
         rows = shared_table(df.sparkSession, rows, "texts")
-    words = encoded_words(_blocks(rows, BUCKETS, False), ranks_path, max(1, -(-plan_bytes(df) // GROUP_BYTES)))
-    numbers = _blocks(rows, BUCKETS, True)
+    size = plan_bytes(df)
+    # Partitions in proportion to the input, whatever the session's number of them: groups and blocks stay as large as they are.
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    salt = F.pmod(F.xxhash64("block"), F.lit(max(1, -(-size // GROUP_BYTES)))).alias("salt")
+    dealt = _blocks(rows, BUCKETS, False).select("*", salt).repartition(parts, "bucket", "salt")
+    words = encoded_words(dealt, ranks_path).repartition(parts, "block")
+    numbers = _blocks(rows, BUCKETS, True).repartition(parts, "block")
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         return digest(_assembled(left, right))
