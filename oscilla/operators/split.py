@@ -64,10 +64,15 @@ def fit_threshold(rows: DataFrame, width: int = sessions.DAY) -> float:
 
 
 def _fitted(spaced: DataFrame) -> float:
-    gaps = spaced.where("gap > 0").select("gap").persist()
-    found = quantiles.interpolated(gaps, {"gap": F.col("gap")}, (0.5, GAP_QUANTILE)).first()
+    """Up to quantiles.SMALL gaps fit in one buffer, which takes one job; more are bracketed. Both are exact by the same rule."""
+    gaps, qs = spaced.where("gap > 0").select("gap").persist(), (0.5, GAP_QUANTILE)
+    n = gaps.count()
+    if n <= quantiles.SMALL:
+        values = gaps.agg(F.percentile("gap", F.array(*map(F.lit, qs))).alias("values")).first()["values"]
+    else:
+        values = quantiles.interpolated(gaps, {"gap": F.col("gap")}, qs).first()["values"]
     gaps.unpersist()
-    return 0.0 if not found["n"] else max(GAP_MULTIPLIER * found["values"][0], found["values"][1])
+    return max(GAP_MULTIPLIER * values[0], values[1]) if n else 0.0
 
 
 def sessioned(rows: DataFrame, threshold: float, limit: int | None, width: int = sessions.DAY) -> DataFrame:
@@ -90,10 +95,10 @@ def fixed_point(rows: DataFrame, limit: int | None = sessions.DAY, width: int =
     """(threshold, occurrences with their parts). rows: (at in microseconds, position). Begins with every row on its own.
 
     Each round plans anew from the source with another literal, so nothing piles up; only thresholds and cuts reach the
-    driver. A round's sessions are read several times, so they are kept for the round; gaps are kept for all rounds. Train
+    driver. A round's sessions are read several times, so they are kept for the round; gaps come with them. Train
     is what comes first in time, so its rows have the gaps that they have among all rows."""
     threshold, seen = -1.0, set()
-    spaced = sessions.gaps(rows, width=width).persist()
+    spaced = sessions.gaps(rows, width=width)
     for _ in range(ROUNDS):
         sessioned_rows = _sessioned(spaced, threshold, limit, width).persist()
         found = occurrences(sessioned_rows, width=width).persist()
@@ -105,7 +110,6 @@ def fixed_point(rows: DataFrame, limit: int | None = sessions.DAY, width: int =
         fitted = _fitted(sessioned_rows.where(F.col("session") <= last_train))
         sessioned_rows.unpersist()
         if fitted == threshold:
-            spaced.unpersist()
             return threshold, made
         found.unpersist()
         if (fitted, last_train) in seen:

@@ -527,3 +527,15 @@ def test_sentinels_and_strict_outputs(spark):
     texts = ['{"b":1,"a":[{"d":null,"c":"é"}]}', '{"a":1,"a":1}', "{} {}", "", None, '{"a":NaN}', '["Infinity"]', "[1e999]"]
     made = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(canonical_json(F.col("t"))).collect()]
     assert made == ['{"a":[{"c":"é","d":null}],"b":1}', None, None, None, None, None, '["Infinity"]', None]
+
+
+def test_threshold_by_brackets_equals_one_buffer(spark, monkeypatch):
+    """Few gaps are fitted in one buffer, many by brackets: the same number."""
+    steps = [(7 * i * i) % 101 for i in range(400)]
+    rows = spark.createDataFrame([(sum(steps[: i + 1]) * 1_000, i) for i in range(400)], "at long, position long")
+    plain = split.fit_threshold(rows)
+    gaps = sorted(1_000 * s for s in steps[1:] if s)
+    at = lambda q: gaps[math.floor((len(gaps) - 1) * q)] + ((len(gaps) - 1) * q % 1) * (gaps[math.ceil((len(gaps) - 1) * q)] - gaps[math.floor((len(gaps) - 1) * q)])
+    assert abs(plain - max(5 * at(0.5), at(0.95))) < 1e-6
+    monkeypatch.setattr(quantiles, "SMALL", 0)
+    assert split.fit_threshold(rows) == plain
