@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from oscilla.functions import instants, numbers, text, vectors
-from oscilla.operators import contract, documents, evaluation, lifecycle, neighbours, outcomes, profile, quality, retrieval, sessions, split
+from oscilla.operators import contract, documents, evaluation, lifecycle, neighbours, outcomes, profile, quality, quantiles, retrieval, sessions, split
 from oscilla.sources import files, readings
 from oscilla.streaming import streams
 
@@ -472,8 +472,6 @@ def test_nearest_against_brute_force(spark, own):
 
 def test_exact_quantiles_inside_brackets(spark, monkeypatch):
     """The bracketed way, forced on a small table by narrow limits, against numpy on ties, few values, nulls and NaN."""
-    from oscilla.operators import quantiles
-
     monkeypatch.setattr(quantiles, "SMALL", 100)
     monkeypatch.setattr(quantiles, "SLACK", 0.01)
     df = spark.range(5000).select((F.pmod(F.xxhash64("id"), F.lit(3001)) / 7).alias("a"), F.pmod("id", F.lit(3)).cast("double").alias("b"), F.when(F.col("id") < 60, F.col("id").cast("double")).otherwise(float("nan")).alias("c"), F.lit(None).cast("double").alias("d"))
