@@ -7,7 +7,9 @@ ranks are dealt to layouts in order. So the result is that of packing the whole
 ranked in parts of bounded size and never meet in one task or on the driver.
 
 Defined results: a null text counts as empty, and an empty text is the end token alone; a text of any length is cut whole,
-the remainder first; repeated rows are packed each on its own; a null doc_id is carried along; an empty table gives an
+the remainder first; an added token of the
+vocabulary (such as <|endoftext|>) in a text is its own id, wherever it stands, as in the library; pieces of one length take
+their places by doc_id and piece; repeated rows are packed each on its own; a null doc_id is carried along; an empty table gives an
 empty table; extra columns are ignored.
 """
 
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import large_binary, read, shared_table, slices
-from .pretokens import encode_texts, json_memory
+from .pretokens import added_tokens, encode_texts, json_memory
 
 CAPACITY = 1024
 END = 2
@@ -174,10 +176,10 @@ def pieces(df: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc
     """doc_id, piece, start, length, ids_crc32, turn (a number that spreads rows), and ids if wanted."""
 
     def run(batches):
-        memory, turn = json_memory(tokenizer), 0
+        memory, added, turn = json_memory(tokenizer), added_tokens(tokenizer), 0
         for batch in batches:
             for part in slices(batch, text, RUN_BYTES):
-                ids, cut = encode_texts(large_binary(part.column(text)), memory)
+                ids, cut = encode_texts(large_binary(part.column(text)), memory, added)
                 row, piece, start, length, crc, raw = [], [], [], [], [], []
                 for i, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
                     own = np.append(ids[a:b], end).astype("<u4")

@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import re
 import sys
 import unicodedata
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import buffer_of
 from .words import U, running, span_hash
@@ -208,12 +210,33 @@ def spread(at: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total[-1]) + np.repeat(at - total + counts, counts)
 
 
-def encode_texts(texts: pa.Array, memory: Memory) -> tuple[np.ndarray, np.ndarray]:
-    """ids of all texts in order, and cut[i]..cut[i+1] are those of text i."""
+def encode_texts(texts: pa.Array, memory: Memory, added: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """ids of all texts in order, and cut[i]..cut[i+1] are those of text i. Texts are cut at `added` tokens first, each of which is its own id."""
+    last = None
+    if added and any(pc.any(pc.match_substring(texts, token)).as_py() for token in added):
+        texts, last, tokens = _cut_at(texts, added)
     raw, offsets = buffer_of(texts)
     starts, ends, first = pretokens(raw, offsets)
     ids, counts = memory(raw, starts, ends)
-    return ids, np.concatenate([[0], np.cumsum(counts)])[first]
+    cut = np.concatenate([[0], np.cumsum(counts)])[first]
+    if last is not None:
+        follows = tokens >= 0
+        ids = np.insert(ids, cut[1:][follows], tokens[follows])
+        cut[1:] += np.cumsum(follows)
+        cut = cut[last]
+    return ids, cut
+
+
+def _cut_at(texts: pa.Array, added: dict[str, int]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Stretches between added tokens, which of them end a text (with a 0 before), and the id of the token after each, -1 at a text's end. Of tokens that begin at one place the longest counts."""
+    pattern = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+    stretches, tokens, last = [], [], [0]
+    for text in texts.to_pylist():
+        parts = pattern.split(text or "")
+        stretches += parts[::2]
+        tokens += [*(added[t] for t in parts[1::2]), -1]
+        last.append(len(stretches))
+    return pa.array(stretches, pa.large_string()), np.array(last), np.array(tokens)
 
 
 @functools.lru_cache(maxsize=4)
@@ -272,3 +295,16 @@ def json_encoder(path: str) -> Callable[[bytes], list[int]]:
 def json_memory(path: str) -> Memory:
     """The memory of this Python worker for a JSON file."""
     return Memory(json_encoder(path))
+
+
+@functools.lru_cache(maxsize=4)
+def added_tokens(path: str) -> dict[str, int]:
+    """The tokens of a tokenizer's JSON file that are matched in a text as they stand, before anything else; ValueError for those that would need more than that."""
+    import json
+
+    with open(path, encoding="utf-8") as file:
+        whole = json.load(file)
+    for token in whole.get("added_tokens") or []:
+        if token["lstrip"] or token["rstrip"] or token["single_word"] or token["normalized"] and whole.get("normalizer") or not token["content"]:
+            raise ValueError(f"{path}: the added token {token['content']!r} is not matched literally")
+    return {token["content"]: token["id"] for token in whole.get("added_tokens") or []}
