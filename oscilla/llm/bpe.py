@@ -1,265 +1,47 @@
 """Byte-level BPE over a whole corpus: every distinct pre-token is encoded once.
 
-Texts are split into pre-tokens with their positions. Rows of up to BLOCK_BYTES of text form a block; within a block a
-pre-token that comes again is kept as a number into the block's list of distinct ones. These lists are exploded and dealt by
-word over BUCKETS groups for each GROUP_BYTES of the corpus, each distinct word of a group is encoded once, and its ids go
-back to all blocks that asked for it, where the numbers put them together by position. So up to GROUP_BYTES each word is
-encoded once in all; beyond, once for each GROUP_BYTES, which keeps groups, and what a block sends out, the same size at any
-size of the corpus. What moves is the words' list of each block, packed, and the numbers, packed; the texts never do. A word
-that every block has costs one entry a block, however often it stands in the texts.
-
-The scan is read twice, for the words and for the numbers. Blocks are cut by rows alone and named by a digest of their rows,
-so both readings make the same blocks of the same rows in the same order, on whatever executor; a difference stops the job.
-
-Decoding is a lookup join of ids with the token-byte table, which a vocabulary bounds (50,256 rows here).
+Texts are cut into pre-tokens with their positions, the distinct ones of the whole corpus are encoded once, and their ids
+come back by a join and are laid out by position (see corpus_words.py). Decoding joins the ids of each distinct pre-token
+with the token-byte table and puts the bytes together by position.
 
 Defined results: a null text counts as empty and has no ids; a text of any length is encoded whole; a lone long run of
-characters is one pre-token, as the pattern says; repeated rows and null doc_ids are kept, each row on its own; an empty
-table gives an empty table; extra columns are ignored.
+characters is one pre-token, as the pattern says; of equal merges in a pre-token the leftmost comes first, as in the library;
+repeated rows and null doc_ids are kept, each row on its own; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
-import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from .common import buffer_of, large_binary, plan_bytes, read, shared_table, slices
-from .pretokens import Index, distinct, pretokens, rank_encoder, ranks, spread
-
-BLOCK_BYTES = 8 << 20
-#: Parts that the words of a block are dealt to, and bytes of input whose blocks share their groups, about.
-BUCKETS = 32
-GROUP_BYTES = 512 << 20
-#: Bytes of input whose packed words, or whose blocks, share a partition of an exchange, about.
-PART_BYTES = 32 << 20
-BLOCK_SCHEMA = "block binary, rows int, numbers binary, bucket int, words binary"
-
-
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Integer arrays, transposed into planes of bytes (of which the high ones are mostly zero) and compressed."""
-    import zstandard
-
-    planes = b"".join(np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(np.array([len(a) for a in arrays], "<u4").tobytes() + planes)
-
-
-def _unpack(data: bytes, n: int) -> list[np.ndarray]:
-    import zstandard
-
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    out, at = [], 4 * n
-    for length in np.frombuffer(raw, "<u4", n).tolist():
-        planes = np.frombuffer(raw, np.uint8, 4 * length, at).reshape(4, length)
-        out.append(np.ascontiguousarray(planes.T).view("<u4").reshape(-1))
-        at += 4 * length
-    return out
-
-
-def _pack_words(words: list[bytes]) -> bytes:
-    import zstandard
-
-    lengths = np.array([len(w) for w in words], "<u4")
-    return zstandard.ZstdCompressor(level=1).compress(np.array([len(words)], "<u4").tobytes() + lengths.tobytes() + b"".join(words))
-
-
-def _unpack_words(data: bytes) -> list[bytes]:
-    import zstandard
-
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    n = int(np.frombuffer(raw, "<u4", 1)[0])
-    ends = np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.int64) + 4 + 4 * n
-    starts = np.concatenate([[4 + 4 * n], ends[:-1]]) if n else ends
-    return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-
-
-class _Block:
-    """Texts in reading order, their pre-tokens as numbers, and the distinct pre-tokens by number."""
-
-    def __init__(self) -> None:
-        self.ids: list[pa.Array] = []
-        self.numbers: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
-        self.index = Index()
-        self.words: list[bytes] = []
-        self.size = 0
-        self.digest = hashlib.blake2b(digest_size=16)
-
-    def add(self, doc_id: pa.Array, texts: pa.Array) -> None:
-        raw, offsets = buffer_of(texts)
-        starts, ends, first = pretokens(raw, offsets)
-        data, found = raw.tobytes(), distinct(raw, starts, ends)
-        numbers = None
-        if found is not None:
-            keys, index, where = found
-            words = [data[a:b] for a, b in zip(starts[index].tolist(), ends[index].tolist(), strict=True)]
-            place = self.index.find(keys)
-            if all(p < 0 or self.words[p] == w for p, w in zip(place.tolist(), words, strict=True)):
-                new = np.flatnonzero(place < 0)
-                place[new] = len(self.words) + np.arange(len(new))
-                self.words += [words[i] for i in new.tolist()]
-                self.index.add(keys[new], place[new])
-                numbers = place[where]
-        if numbers is None:
-            # Two different pre-tokens have one hash: these texts are numbered by the bytes themselves.
-            known, numbers = {w: i for i, w in enumerate(self.words)}, np.empty(len(starts), np.int64)
-            for k, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
-                numbers[k] = known.setdefault(data[a:b], len(known))
-            self.words = list(known)
-        self.ids.append(doc_id)
-        self.numbers.append(numbers)
-        self.counts.append(np.diff(first))
-        self.size += len(raw)
-        for part in (data, offsets.tobytes(), str(doc_id.to_pylist()).encode()):
-            self.digest.update(part)
-
-    def rows(self, buckets: int, salt: bytes) -> Iterator[dict]:
-        """One row with the numbers, and one for each bucket with its words; words are numbered anew, bucket by bucket, most frequent first."""
-        name = self.digest.digest() + salt
-        numbers, counts = np.concatenate(self.numbers), np.concatenate(self.counts)
-        bucket = np.fromiter(map(zlib.crc32, self.words), np.int64, len(self.words)) % buckets
-        order = np.lexsort((-np.bincount(numbers, minlength=len(self.words)), bucket))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        # The ids' order of arrival is (bucket, place), the same on both sides.
-        doc_id = pa.concat_arrays(self.ids)
-        known = np.array(doc_id.is_valid().to_pylist(), np.uint32)
-        whole = np.array(doc_id.fill_null(0), np.int64).view(np.uint64)
-        yield {"block": name, "rows": len(counts), "numbers": _pack(rank[numbers], counts, known, (whole & np.uint64(0xFFFFFFFF)), whole >> np.uint64(32)), "bucket": None, "words": None}
-        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for b in range(buckets):
-            if edges[b] < edges[b + 1]:
-                yield {"block": name, "rows": None, "numbers": None, "bucket": b, "words": _pack_words([self.words[i] for i in order[edges[b] : edges[b + 1]].tolist()])}
-
-
-def _blocks(df: DataFrame, buckets: int, numbers: bool) -> DataFrame:
-    """Blocks as packed rows: their numbers, or their words. A block's name is a digest of its rows, so both sides name the same block alike.
-
-    Both kinds come from the same function of the same scan; words of a block that is missing on one side stop the job
-    (see `assembled`), they can't be mixed up with another's."""
-
-    def run(batches):
-        block, seen = _Block(), {}
-
-        def closed():
-            key = block.digest.digest()
-            seen[key] = seen.get(key, 0) + 1
-            kept = [r for r in block.rows(buckets, seen[key].to_bytes(4, "little") + task) if (r["numbers"] is not None) == numbers]
-            for r in kept:
-                yield pa.RecordBatch.from_pylist([r], schema)
-
-        from pyspark import TaskContext
-
-        task = TaskContext.get().partitionId().to_bytes(4, "little")
-        schema = pa.schema([("block", pa.binary()), ("rows", pa.int32()), ("numbers", pa.binary()), ("bucket", pa.int32()), ("words", pa.binary())])
-        for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                # A block ends with the row that fills it, wherever batches end.
-                ends, first = block.size + buffer_of(part.column("text"))[1][1:], 0
-                while first < part.num_rows:
-                    last = min(part.num_rows, first + 1 + int(np.searchsorted(ends[first:], BLOCK_BYTES)))
-                    rows = part.slice(first, last - first)
-                    block.add(rows.column("doc_id").cast(pa.int64()), large_binary(rows.column("text")))
-                    if block.size >= BLOCK_BYTES:
-                        yield from closed()
-                        block = _Block()
-                        ends = ends - ends[last - 1]
-                    first = last
-        if block.ids:
-            yield from closed()
-
-    made = df.mapInArrow(run, BLOCK_SCHEMA)
-    return made.select("block", "rows", "numbers") if numbers else made.select("block", "bucket", "words")
-
-
-def encoded_words(words: DataFrame, ranks_path: str) -> DataFrame:
-    """(block, bucket, ids): the ids of each word of each block's list, from one encoding of each distinct word of a group.
-
-    A group is a bucket of the blocks with one salt, so it stays as large as it is, however many blocks there are."""
-
-    def run(table: pa.Table) -> pa.Table:
-        encode, memory, out = rank_encoder(ranks_path), {}, []
-        for data in table["words"]:
-            made = []
-            for word in _unpack_words(data.as_py()):
-                ids = memory.get(word)
-                if ids is None:
-                    ids = memory[word] = encode(word)
-                made.append(ids)
-            counts = np.fromiter(map(len, made), np.uint32, len(made))
-            out.append(_pack(np.fromiter((x for ids in made for x in ids), np.uint32, int(counts.sum())), counts))
-        return pa.table({"block": table["block"], "bucket": table["bucket"], "ids": pa.array(out, pa.binary())})
-
-    return words.groupBy("bucket", "salt").applyInArrow(run, "block binary, bucket int, ids binary")
-
-
-def _assembled(numbers: pa.Table, ids: pa.Table) -> Iterator[tuple[int | None, np.ndarray]]:
-    """(doc_id, ids) of each row of a block."""
-    if numbers.num_rows != 1:
-        raise RuntimeError("words and numbers of a block were not made from the same rows; run again")
-    rank, counts, known, low, high = _unpack(numbers["numbers"][0].as_py(), 5)
-    lists = [_unpack(x.as_py(), 2) for x in ids.sort_by("bucket")["ids"]]
-    flat = np.concatenate([np.empty(0, np.uint32), *(x[0] for x in lists)])
-    lengths = np.concatenate([np.empty(0, np.int64), *(x[1].astype(np.int64) for x in lists)])
-    if len(rank) and int(rank.max()) + 1 != len(lengths):
-        raise RuntimeError("words of a block are missing; run again")
-    at = np.cumsum(lengths) - lengths
-    own = lengths[rank]
-    joined = flat[spread(at[rank], own)]
-    cuts = np.concatenate([[0], np.cumsum(own)])[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]
-    doc_id = (low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))).view(np.int64)
-    for i in range(len(counts)):
-        yield (int(doc_id[i]) if known[i] else None), joined[cuts[i] : cuts[i + 1]]
-
-
-def encode_corpus(df: DataFrame, ranks_path: str, schema: str, digest, settled: bool = False) -> DataFrame:
-    """`digest` turns (doc_id, ids) pairs of a block into a table of `schema`. df needs doc_id and text.
-
-    df is read twice and must give the same rows in the same order; unless it is `settled` (a plain scan of files), it is
-    written to the shared folder first."""
-    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if not settled:
-        rows = shared_table(df.sparkSession, rows, "texts")
-    size = plan_bytes(df)
-    # Partitions in proportion to the input, whatever the session's number of them: groups and blocks stay as large as they are.
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
-    salt = F.pmod(F.xxhash64("block"), F.lit(max(1, -(-size // GROUP_BYTES)))).alias("salt")
-    dealt = _blocks(rows, BUCKETS, False).select("*", salt).repartition(parts, "bucket", "salt")
-    words = encoded_words(dealt, ranks_path).repartition(parts, "block")
-    numbers = _blocks(rows, BUCKETS, True).repartition(parts, "block")
-
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        return digest(_assembled(left, right))
 
-    return numbers.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(run, schema)
+from .common import buffer_of, read
+from .corpus_words import Laid, encode
+from .pretokens import pretokens, rank_encoder, ranks
 
 
-def decode(ids: np.ndarray, table: list[bytes]) -> bytes:
-    """The bytes of the tokens, by a lookup in the token-byte table."""
-    return b"".join(map(table.__getitem__, ids.tolist()))
+def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The pre-tokens of texts."""
+    raw, offsets = buffer_of(texts)
+    return raw, *pretokens(raw, offsets)
 
 
-def token_table(ranks_path: str) -> list[bytes]:
-    found = ranks(ranks_path)
-    table = [b""] * (max(found.values()) + 1)
-    for token, i in found.items():
-        table[i] = token
-    return table
+def token_bytes(ranks_path: str) -> dict[int, bytes]:
+    """The bytes of each id."""
+    return {i: token for token, i in ranks(ranks_path).items()}
 
 
-def encode_documents(df: DataFrame, ranks_path: str) -> DataFrame:
-    """doc_id and the ids of each row."""
+def encode_documents(df: DataFrame, ranks_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, the ids of each row, and the bytes that they decode to."""
 
-    def digest(rows):
-        made = list(rows)
-        return pa.table({"doc_id": pa.array([d for d, _ in made], pa.int64()), "ids": pa.array([x.astype(np.int32) for _, x in made], pa.list_(pa.int32()))})
+    def made(rows: Laid) -> pa.Table:
+        both = list(rows)
+        return pa.table({"doc_id": rows.doc_id, "ids": pa.array([i for i, _ in both], pa.list_(pa.int32())), "decoded": pa.array([d for _, d in both], pa.binary())})
 
-    return encode_corpus(df, ranks_path, "doc_id long, ids array<int>", digest)
+    return encode(df, split, functools.partial(rank_encoder, ranks_path), token_bytes(ranks_path), made, "doc_id long, ids array<int>, decoded binary", doc_id, text)
 
 
 def op3_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,11 +50,9 @@ def op3_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
-    def digest(rows):
-        table, out = token_table(path), []
-        for doc_id, ids in rows:
-            out.append((doc_id, len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decode(ids, table)).hexdigest()))
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
-        return pa.table({n: pa.array([r[k] for r in out], kind) for k, (n, kind) in enumerate(zip(("doc_id", "n_tokens", "ids_sha256", "decoded_sha256"), kinds, strict=True))})
+    def made(rows: Laid) -> pa.Table:
+        out = [(len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(data).hexdigest()) for ids, data in rows]
+        counts, ids, texts = zip(*out, strict=True)
+        return pa.table({"doc_id": rows.doc_id, "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(ids), "decoded_sha256": pa.array(texts)})
 
-    return encode_corpus(read(spark, sf_dir, "documents"), path, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", digest, settled=True)
+    return encode(read(spark, sf_dir, "documents"), split, functools.partial(rank_encoder, path), token_bytes(path), made, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
