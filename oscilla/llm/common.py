@@ -116,8 +116,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 
-
 def without(df: DataFrame, *names: str) -> DataFrame:
     """Without the columns that an operator is about to add: a clashing column gives way to the operator's own."""
     taken = {n.lower() for n in names}
     return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in taken))
+
+
+#: The 256 remainders of CRC-32 in DuckDB SQL, as a common table t with the list crc.
+SQL_CRC_TABLE = "t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc)"
+
+
+def sql_crc(text: str) -> str:
+    """CRC-32 of a text of ASCII letters in DuckDB SQL, where t is at hand."""
+    return f"xor(list_reduce(list_concat([4294967295], list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i, 1))::BIGINT)), lambda c, x: xor(c >> 8, t.crc[(xor(c, x) & 255) + 1])), 4294967295)"
