@@ -1,8 +1,8 @@
 """Byte-level BPE over a whole corpus: every distinct pre-token is encoded once.
 
 Texts are cut into pre-tokens with their positions, the distinct ones of the whole corpus are encoded once, and their ids
-come back by a join and are laid out by position (see corpus_words.py). Decoding joins the ids of each distinct pre-token
-with the token-byte table and puts the bytes together by position.
+go back to where they are asked for and are laid out by position (see corpus_words.py). Decoding joins the ids of each
+distinct pre-token with the token-byte table and puts the bytes together by position.
 
 Defined results: a null text counts as empty and has no ids; a text of any length is encoded whole; a lone long run of
 characters is one pre-token, as the pattern says; of equal merges in a pre-token the leftmost comes first, as in the library;
@@ -41,7 +41,7 @@ def encode_documents(df: DataFrame, ranks_path: str, doc_id: str = "doc_id", tex
         both = list(rows)
         return pa.table({"doc_id": rows.doc_id, "ids": pa.array([i for i, _ in both], pa.list_(pa.int32())), "decoded": pa.array([d for _, d in both], pa.binary())})
 
-    return encode(df, split, functools.partial(rank_encoder, ranks_path), token_bytes(ranks_path), made, "doc_id long, ids array<int>, decoded binary", doc_id, text)
+    return encode(df, split, functools.partial(rank_encoder, ranks_path), functools.partial(token_bytes, ranks_path), made, "doc_id long, ids array<int>, decoded binary", doc_id, text)
 
 
 def op3_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def op3_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def made(rows: Laid) -> pa.Table:
         out = [(len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(data).hexdigest()) for ids, data in rows]
-        counts, ids, texts = zip(*out, strict=True)
-        return pa.table({"doc_id": rows.doc_id, "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(ids), "decoded_sha256": pa.array(texts)})
+        counts, ids, texts = zip(*out, strict=True) if out else ((), (), ())
+        return pa.table({"doc_id": rows.doc_id, "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(texts, pa.string())})
 
-    return encode(read(spark, sf_dir, "documents"), split, functools.partial(rank_encoder, path), token_bytes(path), made, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encode(read(spark, sf_dir, "documents"), split, functools.partial(rank_encoder, path), functools.partial(token_bytes, path), made, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", settled=True)

@@ -1,31 +1,37 @@
 """Encodes every distinct word of a whole corpus once, and puts texts together again from words.
 
-1. Texts are cut into words with their positions. Rows of up to BLOCK_BYTES of text form a block: its distinct words, and
-   for each word of its texts, in order, the word's number among them. Blocks are written once to the shared folder.
-2. Blocks' words are exploded into rows. Those of the whole corpus are made distinct in one exchange, which combines before
-   it sends, and each is encoded once: the table of words. A vocabulary's table joins the ids of each word for its bytes.
-3. The rows of step 2 take ids and bytes from the table of words by a join (a word that all blocks have is one row a block
-   there, a hot key that adaptive execution splits: both sides are plain exchanges), and go back to their blocks, which are
-   dealt over partitions by their rank, so that each gets as many. A block's rows arrive by number and are laid out by the
-   positions that the block kept.
+Texts are cut into words with their positions. Rows of up to BLOCK_BYTES of text form a block; within it a word that comes
+again is kept as a number into the block's list of distinct words. One pass over the texts makes both, and one exchange deals
+them: the lists by word over buckets, in proportion to the corpus, and the numbers by block. In a bucket, which has all blocks'
+words of one hash, each distinct word is encoded once for the whole corpus; the ids go back, by a second exchange, to every
+block that asked for the word, where the numbers put them together by position. The numbers are read from the first exchange
+again. What moves are lists and numbers, packed; the texts never do. A hot word costs one entry a block, however often it
+stands in texts. A block and a bucket share a packet, so there are never more of these than entries.
 
-No step depends on the size of the input. Memory in a task: one block, or one text where that is longer."""
+Decoding joins the ids of each distinct word of a block with the token-byte table, which a vocabulary bounds and each worker
+holds, and puts the bytes together by position. An id that the table lacks is an error.
+
+No step depends on the size of the input, but for the number of buckets. Memory in a task: one block (or one text where that
+is longer), or one bucket. A block is named by its rows, so that a task that runs again after a loss makes the same blocks of
+the same rows; rows that are not a plain scan of files are written once first."""
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import buffer_of, large_binary, plan_bytes, shared_table, slices
 from .pretokens import Index, distinct, spread
 
 BLOCK_BYTES = 8 << 20
-#: Bytes of input whose blocks share a partition, about.
-PART_BYTES = 32 << 20
+#: Bytes of input for each bucket of words, and for each partition of an exchange, about; and buckets at least.
+BUCKET_BYTES, PART_BYTES, BUCKETS = 8 << 20, 8 << 20, 32
 
 #: Cuts texts (a large Arrow array) into words: joined bytes, starts, ends, and first[i]..first[i+1] are the words of text i.
 Split = Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
@@ -34,7 +40,7 @@ Encoder = Callable[[], Callable[[bytes], list[int]]]
 
 
 class Laid:
-    """The rows of one block: ids[cut[i]:cut[i+1]] and data[place[i]:place[i+1]] are those of row i."""
+    """The rows of one block, with their ids and the bytes that these decode to: ids[cut[i]:cut[i+1]] and data[place[i]:place[i+1]] are those of row i."""
 
     def __init__(self, doc_id: pa.Array, ids: np.ndarray, cut: np.ndarray, data: np.ndarray, place: np.ndarray) -> None:
         self.doc_id, self.ids, self.cut, self.data, self.place = doc_id, ids, cut, data, place
@@ -44,6 +50,23 @@ class Laid:
             yield self.ids[a:b], self.data[x:y].tobytes()
 
 
+def _pack_words(words: list[bytes]) -> bytes:
+    import zstandard
+
+    lengths = np.array([len(w) for w in words], "<u4")
+    return zstandard.ZstdCompressor(level=1).compress(np.array([len(words)], "<u4").tobytes() + lengths.tobytes() + b"".join(words))
+
+
+def _unpack_words(data: bytes) -> list[bytes]:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    ends = np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.int64) + 4 + 4 * n
+    starts = np.concatenate([[4 + 4 * n], ends[:-1]]) if n else ends
+    return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     """Integer arrays, transposed into planes of bytes (of which the high ones are mostly zero) and compressed."""
     import zstandard
@@ -74,6 +97,7 @@ class _Block:
         self.index = Index()
         self.words: list[bytes] = []
         self.size = 0
+        self.digest = hashlib.blake2b(digest_size=16)
 
     def add(self, doc_id: pa.Array, texts: pa.Array, split: Split) -> None:
         raw, starts, ends, first = split(texts)
@@ -98,25 +122,45 @@ class _Block:
         self.ids.append(doc_id)
         self.numbers.append(numbers)
         self.counts.append(np.diff(first))
-        self.size += int(buffer_of(texts)[1][-1])
-
-    def closed(self, task: int, place: int) -> pa.RecordBatch:
-        """One row; words are numbered anew, most frequent first."""
+        kept, at = buffer_of(texts)
+        self.size += len(kept)
+        for part in (kept.tobytes(), at.tobytes(), str(doc_id.to_pylist()).encode()):
+            self.digest.update(part)
+
+    def rows(self, buckets: int, salt: bytes) -> Iterator[dict]:
+        """One row with the numbers, and one for each bucket with its words; words are numbered anew, bucket by bucket, most frequent first."""
+        name = self.digest.digest() + salt
         numbers, counts = np.concatenate(self.numbers), np.concatenate(self.counts)
-        order = np.argsort(-np.bincount(numbers, minlength=len(self.words)), kind="stable")
+        bucket = np.fromiter(map(zlib.crc32, self.words), np.int64, len(self.words)) % buckets
+        order = np.lexsort((-np.bincount(numbers, minlength=len(self.words)), bucket))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        row = {"task": task, "place": place, "doc_ids": pa.concat_arrays(self.ids).to_pylist(), "numbers": _pack(rank[numbers], counts), "words": [self.words[i] for i in order.tolist()]}
-        return pa.RecordBatch.from_pylist([row], pa.schema([("task", pa.int32()), ("place", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("numbers", pa.binary()), ("words", pa.list_(pa.binary()))]))
+        yield {"route": name, "block": name, "bucket": None, "doc_ids": pa.concat_arrays(self.ids).to_pylist(), "packed": _pack(rank[numbers], counts)}
+        sorted_ = bucket[order]
+        edges = np.flatnonzero(np.diff(sorted_, prepend=-1, append=-1)) if len(order) else np.zeros(1, np.int64)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            own = int(sorted_[a])
+            yield {"route": own.to_bytes(8, "big"), "block": name, "bucket": own, "doc_ids": None, "packed": _pack_words([self.words[i] for i in order[a:b].tolist()])}
+
 
+_ROWS = pa.schema([("route", pa.binary()), ("block", pa.binary()), ("bucket", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("packed", pa.binary())])
 
-def blocks(df: DataFrame, split: Split, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(task, place, doc_ids, numbers, words): one row a block, written once."""
+
+def blocks(df: DataFrame, split: Split, buckets: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(route, block, bucket, doc_ids, packed): for each block a row of numbers, without bucket, and its packets of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, place, block = TaskContext.get().partitionId(), 0, _Block()
+        # Equal blocks of one task are told apart by a number, those of different tasks by the tasks'.
+        block, seen, task = _Block(), {}, TaskContext.get().partitionId().to_bytes(4, "big")
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            key = block.digest.digest()
+            seen[key] = seen.get(key, 0) + 1
+            for row in block.rows(buckets, seen[key].to_bytes(4, "big") + task):
+                yield pa.RecordBatch.from_pylist([row], _ROWS)
+
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 # A block ends with the row that fills it, wherever batches end.
@@ -126,98 +170,93 @@ def blocks(df: DataFrame, split: Split, doc_id: str = "doc_id", text: str = "tex
                     rows = part.slice(first, last - first)
                     block.add(rows.column("doc_id"), large_binary(rows.column("text")), split)
                     if block.size >= BLOCK_BYTES:
-                        yield block.closed(task, place)
-                        ends, block, place = ends - ends[last - 1], _Block(), place + 1
+                        yield from closed()
+                        ends, block = ends - ends[last - 1], _Block()
                     first = last
         if block.ids:
-            yield block.closed(task, place)
+            yield from closed()
 
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return shared_table(df.sparkSession, rows.mapInArrow(run, "task int, place int, doc_ids array<long>, numbers binary, words array<binary>"), "blocks")
-
-
-def encoded(words: DataFrame, encoder: Encoder) -> DataFrame:
-    """(word, ids) for a table of distinct words, each encoded once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder()
-        for batch in batches:
-            made = [encode(w) for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(made, pa.list_(pa.int32()))], names=["word", "ids"])
-
-    return words.select("word").mapInArrow(run, "word binary, ids array<int>")
-
-
-def token_table(spark: SparkSession, tokens: dict[int, bytes]) -> DataFrame:
-    """(id, bytes) of a vocabulary, which bounds its size."""
-    return spark.createDataFrame(pa.table({"id": pa.array(tokens.keys(), pa.int32()), "bytes": pa.array(tokens.values(), pa.binary())}))
-
-
-def decoded(df: DataFrame, key: str, tokens: DataFrame) -> DataFrame:
-    """(key, bytes): ids, one array for each key, joined with the token-byte table and put together by position; an id that the table lacks is an error."""
-    each = df.select(key, F.posexplode("ids").alias("position", "id")).join(F.broadcast(tokens), "id", "left")
-    known = F.when(F.col("bytes").isNull(), F.raise_error(F.concat(F.lit("no token has the id "), F.col("id").cast("string"))).cast("binary")).otherwise(F.col("bytes"))
-    lists = each.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("position", known.alias("bytes")))).alias("parts"))
-    return lists.select(key, F.aggregate("parts", F.lit(b"").cast("binary"), lambda done, part: F.concat(done, part["bytes"])).alias("bytes"))
-
-
-def encode(df: DataFrame, split: Split, encoder: Encoder, tokens: dict[int, bytes], made: Callable[[Laid], pa.Table], schema: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`made` turns the rows of a block, encoded and decoded, into rows of `schema`."""
+    return rows.mapInArrow(run, "route binary, block binary, bucket long, doc_ids array<long>, packed binary")
+
+
+def encoded(dealt: DataFrame, encoder: Encoder) -> DataFrame:
+    """(block, bucket, ids): the ids of each word of each packet, from one encoding of each distinct word of a bucket."""
+
+    def run(table: pa.Table) -> pa.Table:
+        encode, known, out = encoder(), {}, []
+        table = table.filter(table["bucket"].is_valid())
+        for data in table["packed"]:
+            made = []
+            for word in _unpack_words(data.as_py()):
+                ids = known.get(word)
+                if ids is None:
+                    ids = known[word] = encode(word)
+                made.append(ids)
+            counts = np.fromiter(map(len, made), np.uint32, len(made))
+            out.append(_pack(np.fromiter((x for ids in made for x in ids), np.uint32, int(counts.sum())), counts))
+        return pa.table({"block": table["block"], "bucket": table["bucket"], "ids": pa.array(out, pa.binary())})
+
+    return dealt.groupBy("route").applyInArrow(run, "block binary, bucket long, ids binary")
+
+
+class Tokens:
+    """The token-byte table."""
+
+    def __init__(self, tokens: dict[int, bytes]) -> None:
+        size = max(tokens, default=-1) + 1
+        lengths = np.full(size + 1, -1, np.int64)
+        for i, data in tokens.items():
+            lengths[i] = len(data)
+        self.lengths, self.at = lengths, np.cumsum(np.maximum(lengths, 0)) - np.maximum(lengths, 0)
+        self.data = np.frombuffer(b"".join(tokens[i] for i in sorted(tokens)), np.uint8)
+
+    def decoded(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the ids joined with the table, and how many each group of counts[i] ids has."""
+        ids = np.minimum(ids.astype(np.int64), len(self.lengths) - 1)
+        lengths = self.lengths[ids]
+        if (lengths < 0).any():
+            raise ValueError("an id stands for no token")
+        whole = np.concatenate([[0], np.cumsum(lengths)])
+        ends = np.cumsum(counts)
+        return self.data[spread(self.at[ids], lengths)], whole[ends] - whole[ends - counts]
+
+
+def encode(df: DataFrame, split: Split, encoder: Encoder, tokens: Callable[[], dict[int, bytes]], made: Callable[[Laid], pa.Table], schema: str, doc_id: str = "doc_id", text: str = "text", settled: bool = False) -> DataFrame:
+    """`made` turns the rows of a block, encoded and decoded, into rows of `schema`. `settled`: df is a plain scan of files."""
     spark = df.sparkSession
-    kept = blocks(df, split, doc_id, text)
-    asked = kept.select("task", "place", F.posexplode("words").alias("number", "word"))
-    once = shared_table(spark, encoded(asked.select("word").distinct(), encoder), "words")
-    table = once.join(decoded(once, "word", token_table(spark, tokens)), "word", "left")
-    table = shared_table(spark, table.select("word", "ids", F.coalesce("bytes", F.lit(b"")).alias("bytes")), "word-table")
-    # One row for each task of the scan; the window is over these.
-    tasks = kept.groupBy("task").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rank = tasks.select("task", before.alias("before"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-plan_bytes(df) // PART_BYTES))
-    nothing = F.lit(None)
-    answers = asked.join(table, "word").select("task", "place", "number", "ids", "bytes", nothing.cast("array<long>").alias("doc_ids"), nothing.cast("binary").alias("numbers"))
-    heads = kept.select("task", "place", F.lit(-1).alias("number"), nothing.cast("array<int>").alias("ids"), nothing.cast("binary").alias("bytes"), "doc_ids", "numbers")
-    dealt = answers.unionByName(heads).join(F.broadcast(rank), "task").withColumn("block", F.col("before") + F.col("place")).drop("task", "place", "before")
-    dealt = dealt.repartitionById(parts, F.pmod("block", F.lit(parts)).cast("int")).sortWithinPartitions("block", "number")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches):
-            yield from made(_laid(group)).to_batches()
-
-    return dealt.mapInArrow(run, schema)
-
-
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of each block, which come one after another."""
-    open_parts: list[pa.RecordBatch] = []
-    for batch in batches:
-        block = batch.column("block").to_numpy()
-        edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if a == b:
-                continue
-            if open_parts and open_parts[-1].column("block")[0].as_py() != block[a]:
-                yield pa.Table.from_batches(open_parts)
-                open_parts = []
-            open_parts.append(batch.slice(a, b - a))
-    if open_parts:
-        yield pa.Table.from_batches(open_parts)
-
-
-def _laid(group: pa.Table) -> Laid:
-    """The texts of a block: its first row holds their words' numbers, the others the words in order of number."""
-    rank, counts = _unpack(group["numbers"][0].as_py(), 2)
-    words = group.slice(1)
-    if words["number"].to_pylist() != list(range(len(words))) or len(rank) and int(rank.max()) + 1 != len(words):
+    rows = df if settled else shared_table(spark, df.select(doc_id, text), "texts")
+    size = plan_bytes(df)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    # Read twice: by the encoding of words, and where texts are put together.
+    dealt = blocks(rows, split, max(BUCKETS, size // BUCKET_BYTES), doc_id, text).repartition(parts, "route")
+    words = encoded(dealt, encoder).repartition(parts, "block")
+    held: list[Tokens] = []  # one table a worker
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not held:
+            held.append(Tokens(tokens()))
+        return made(_laid(left.filter(left["bucket"].is_null()), right, held[0]))
+
+    return dealt.groupBy("route").cogroup(words.groupBy("block")).applyInArrow(run, schema)
+
+
+def _laid(heads: pa.Table, words: pa.Table, tokens: Tokens) -> Laid:
+    """The texts of a block: its row of numbers, and the ids of its words in order of bucket and place. Without the row, as for the route of a bucket, there are none."""
+    if not len(heads):
+        if len(words):
+            raise RuntimeError("a block's words came without its texts")
+        return Laid(pa.array([], pa.int64()), np.empty(0, np.uint32), np.zeros(1, np.int64), np.empty(0, np.uint8), np.zeros(1, np.int64))
+    rank, counts = _unpack(heads["packed"][0].as_py(), 2)
+    lists = [_unpack(x.as_py(), 2) for x in words.sort_by("bucket")["ids"]]
+    ids = np.concatenate([np.empty(0, np.uint32), *(x[0] for x in lists)])
+    lengths = np.concatenate([np.empty(0, np.int64), *(x[1].astype(np.int64) for x in lists)])
+    if len(heads) != 1 or (int(rank.max()) + 1 if len(rank) else 0) != len(lengths):
         raise RuntimeError("words of a block are missing")
     first = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
 
-    def placed(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own = np.diff(at)[rank]
-        return values[spread(at[:-1][rank], own)], np.concatenate([[0], np.cumsum(own)])[first]
+    def placed(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = sizes[rank]
+        return values[spread((np.cumsum(sizes) - sizes)[rank], own)], np.concatenate([[0], np.cumsum(own)])[first]
 
-    ids = words["ids"].combine_chunks() if len(words) else pa.array([], pa.list_(pa.int32()))
-    ids = pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids
-    at = ids.offsets.to_numpy().astype(np.int64)
-    data, place = buffer_of(words["bytes"]) if len(words) else (np.empty(0, np.uint8), np.zeros(1, np.int64))
-    return Laid(pa.array(group["doc_ids"][0].as_py(), pa.int64()), *placed(ids.flatten().to_numpy(), at - at[0]), *placed(data, place))
+    return Laid(pa.array(heads["doc_ids"][0].as_py(), pa.int64()), *placed(ids, lengths), *placed(*tokens.decoded(ids, lengths)))

@@ -96,7 +96,7 @@ def encode_documents(df: DataFrame, path: str, doc_id: str = "doc_id", text: str
         both = [(np.append(ids, end), data[1:].decode()) for ids, data in rows]
         return pa.table({"doc_id": rows.doc_id, "ids": pa.array([i for i, _ in both], pa.list_(pa.int32())), "decoded": pa.array([t for _, t in both], pa.string())})
 
-    return encode(df, split, encoder(path), piece_bytes(path), made, "doc_id long, ids array<int>, decoded string", doc_id, text)
+    return encode(df, split, encoder(path), functools.partial(piece_bytes, path), made, "doc_id long, ids array<int>, decoded string", doc_id, text)
 
 
 def op12_piece_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +108,7 @@ def op12_piece_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def made(rows: Laid) -> pa.Table:
         out = [(len(ids) + 1, hashlib.sha256(" ".join(map(str, [*ids.tolist(), end])).encode()).hexdigest(), hashlib.sha256(data[1:]).hexdigest()) for ids, data in rows]
-        counts, ids, texts = zip(*out, strict=True)
-        return pa.table({"doc_id": rows.doc_id, "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(ids), "decoded_sha256": pa.array(texts)})
+        counts, ids, texts = zip(*out, strict=True) if out else ((), (), ())
+        return pa.table({"doc_id": rows.doc_id, "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(texts, pa.string())})
 
-    return encode(read(spark, sf_dir, "documents"), split, encoder(path), piece_bytes(path), made, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encode(read(spark, sf_dir, "documents"), split, encoder(path), functools.partial(piece_bytes, path), made, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", settled=True)

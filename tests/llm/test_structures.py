@@ -87,15 +87,36 @@ def test_pieces(spark, monkeypatch):
 
 def test_words_are_encoded_once_and_unknown_ids_are_errors(spark):
     docs = spark.createDataFrame([(i, f"the same words {i % 3}") for i in range(50)], "doc_id long, text string").repartition(5)
-    kept = corpus_words.blocks(docs, bpe.split)
-    assert kept.count() == 5
-    asked = kept.select(F.explode("words").alias("word"))
-    assert asked.count() >= 5 * 4 and asked.distinct().count() == 6
-    tokens = corpus_words.token_table(spark, {0: b"a", 1: b"\xff"})
-    lists = spark.createDataFrame([("x", [1, 0, 0]), ("y", [0])], "k string, ids array<int>")
-    assert {r["k"]: bytes(r["bytes"]) for r in corpus_words.decoded(lists, "k", tokens).collect()} == {"x": b"\xffaa", "y": b"a"}
-    with pytest.raises(Exception, match="no token has the id"):
-        corpus_words.decoded(spark.createDataFrame([("x", [5])], "k string, ids array<int>"), "k", tokens).collect()
+    kept = corpus_words.blocks(docs, bpe.split, 4).cache()
+    assert kept.where("bucket is null").count() == 5 and kept.where("bucket is not null").count() <= 20
+    asked = []
+
+    def encoder():
+        def encode(word):
+            asked.append(word)
+            return [len(word)]
+
+        return encode
+
+    run = corpus_words.encoded(kept, encoder).collect()
+    assert sum(len(corpus_words._unpack(bytes(r["ids"]), 2)[1]) for r in run) == 30 and {r["bucket"] for r in run} <= {0, 1, 2, 3}
+    words = [w for r in kept.where("bucket is not null").collect() for w in corpus_words._unpack_words(bytes(r["packed"]))]
+    assert len(words) == 30 and set(words) == {b"the", b" same", b" words", b" 0", b" 1", b" 2"}
+    # A word is in one bucket only, whatever its block.
+    assert all(len({r["bucket"] for r in kept.where("bucket is not null").collect() if w in corpus_words._unpack_words(bytes(r["packed"]))}) == 1 for w in set(words))
+    tokens = corpus_words.Tokens({0: b"a", 2: b"\xff\x01"})
+    data, sizes = tokens.decoded(np.array([2, 0, 0, 2]), np.array([2, 0, 2]))
+    assert data.tobytes() == b"\xff\x01aa\xff\x01" and sizes.tolist() == [3, 0, 3]
+    for wrong in (1, 3, 99):
+        with pytest.raises(ValueError):
+            tokens.decoded(np.array([wrong]), np.array([1]))
+
+
+def test_texts_are_cut_once_and_read_from_one_exchange(spark, small):
+    plan = QUERIES["op12_piece_words"](spark, small)
+    plan.collect()
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.split("== Initial Plan ==")[0].count("ReusedExchange") == 1
 
 
 def cheapest(signs: bytes) -> tuple[int, str]:
