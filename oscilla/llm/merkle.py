@@ -35,7 +35,7 @@ from .common import SQL_CRC_TABLE, cut, read, shared_table, sql_crc
 
 #: Leaves of a run, and rows of a dataset that are tampered with: those whose checksum this divides.
 RUN, TAMPER = 1 << 14, 7
-NODES = "grp string, level int, index long, digest string"
+NODES = "grp string, level int, index long, digest string, total long, root boolean"
 
 Node = tuple[int, int, str]  # level, index, digest
 
@@ -133,17 +133,19 @@ def _peaks(runs: DataFrame, fanout: int) -> DataFrame:
                 for i, leaf in enumerate(leaves.as_py()):
                     for _ in range_.push((0, first + i, leaf)):
                         pass
-                yield _records(group.as_py(), range_.stack)
+                yield _records(group.as_py(), range_.stack, total.as_py(), range_.counts)
 
     return runs.select("grp", "base", "total", "leaf").mapInArrow(run, NODES)
 
 
-def _records(group: str, nodes: list[Node]) -> pa.RecordBatch:
-    levels, indexes, digests = ([n[k] for n in nodes] for k in range(3))
-    return pa.RecordBatch.from_arrays([pa.array([group] * len(nodes), pa.string()), pa.array(levels, pa.int32()), pa.array(indexes, pa.int64()), pa.array(digests, pa.string())], names=["grp", "level", "index", "digest"])
+def _records(group: str, nodes: list[Node], total: int, counts: list[int]) -> pa.RecordBatch:
+    n = len(nodes)
+    levels, indexes, digests = ([x[k] for x in nodes] for k in range(3))
+    columns = [pa.array([group] * n, pa.string()), pa.array(levels, pa.int32()), pa.array(indexes, pa.int64()), pa.array(digests, pa.string()), pa.array([total] * n, pa.int64()), pa.array([x == len(counts) - 1 for x in levels], pa.bool_())]
+    return pa.RecordBatch.from_arrays(columns, names=["grp", "level", "index", "digest", "total", "root"])
 
 
-def _merged(nodes: DataFrame, totals: DataFrame, fanout: int, top: int | None) -> DataFrame:
+def _merged(nodes: DataFrame, fanout: int, top: int | None) -> DataFrame:
     """Nodes that neighbours make together: below each node of level `top`, or in the whole of each group."""
     if top is None:
         keys = ["grp"]
@@ -156,9 +158,9 @@ def _merged(nodes: DataFrame, totals: DataFrame, fanout: int, top: int | None) -
         rows = zip(*(table[c].to_pylist() for c in ("level", "index", "digest")), strict=True)
         for node in sorted(rows, key=lambda n: n[1] * fanout ** n[0]):
             made += range_.push(node)
-        return pa.Table.from_batches([_records(table["grp"][0].as_py(), made)])
+        return pa.Table.from_batches([_records(table["grp"][0].as_py(), made, table["total"][0].as_py(), range_.counts)])
 
-    return nodes.join(totals, "grp").groupBy(*keys).applyInArrow(run, NODES)
+    return nodes.groupBy(*keys).applyInArrow(run, NODES)
 
 
 def forest(df: DataFrame, group: Column, order: list[Column], leaf: Column, payload: dict[str, Column] | None = None, fanout: int = 2, size: int = RUN) -> Forest:
@@ -175,21 +177,14 @@ def forest(df: DataFrame, group: Column, order: list[Column], leaf: Column, payl
     before = Window.partitionBy("grp").orderBy("task", "place").rowsBetween(Window.unboundedPreceding, -1)
     meta = meta.select("task", "place", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.sum("n").over(Window.partitionBy("grp")).alias("total"))
     placed = runs.join(cut(meta), ["task", "place"])
-    totals = runs.groupBy("grp").agg(F.sum("n").alias("total"))
     peaks = cut(_peaks(placed, fanout))
-    # A subtree of level `top` covers about as many runs as there are such subtrees.
-    top = math.ceil(math.log(size * max(1.0, runs.count() ** 0.5), fanout))
-    inner = cut(_merged(peaks, totals, fanout, top))
-    high = peaks.where(F.col("level") > top).unionByName(_highest(peaks, inner, totals, fanout, top))
-    nodes = cut(peaks.unionByName(inner).unionByName(_merged(high, totals, fanout, None)))
-    levels = F.udf(lambda total: len(level_counts(total, fanout)) - 1, "int")
-    roots = nodes.join(totals.withColumn("level", levels("total")), ["grp", "level"]).select("grp", "digest", "total")
-    return Forest(placed, nodes, cut(roots), fanout)
-
-
-def _highest(peaks: DataFrame, inner: DataFrame, totals: DataFrame, fanout: int, top: int) -> DataFrame:
-    """Nodes of level `top`, or roots below it, that runs or merges have made."""
-    return peaks.unionByName(inner).where(F.col("level") == top)
+    # A subtree of level `top` covers about as many runs as there are such subtrees: leaves of a run, times the root of the number of runs.
+    seen = runs.agg(F.count(F.lit(1)).alias("runs"), F.coalesce(F.sum("n"), F.lit(0)).alias("leaves")).first()
+    top = math.ceil(math.log(max(1.0, seen["leaves"] / max(1, seen["runs"]) ** 0.5), fanout))
+    inner = cut(_merged(peaks, fanout, top))
+    high = peaks.where(F.col("level") >= top).unionByName(inner.where(F.col("level") == top))
+    nodes = cut(peaks.unionByName(inner).unionByName(_merged(high, fanout, None)))
+    return Forest(placed, nodes, nodes.where("root").select("grp", "digest", "total"), fanout)
 
 
 class Paths:
@@ -255,7 +250,7 @@ def with_outside(made: Forest) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([row["grp"]] * n, pa.string()), pa.array([row["task"]] * n, pa.int32()), pa.array([row["place"]] * n, pa.int32()), pa.array([k for k, _ in out], pa.int32()), pa.array([j for _, j in out], pa.int64())], names=["grp", "task", "place", "level", "index"])
 
     asked = made.runs.select("grp", "task", "place", "n", "base", "total").mapInArrow(needs, "grp string, task int, place int, level int, index long")
-    found = asked.join(made.nodes, ["grp", "level", "index"]).groupBy("task", "place").agg(F.collect_list(F.struct("level", "index", "digest")).alias("outside"))
+    found = asked.join(made.nodes.drop("total", "root"), ["grp", "level", "index"]).groupBy("task", "place").agg(F.collect_list(F.struct("level", "index", "digest")).alias("outside"))
     return made.runs.join(cut(found), ["task", "place"], "left")
 
 
