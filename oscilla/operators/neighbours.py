@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import vectors
-from . import sessions
+from . import ordering, sessions
 
 TOP_K = 5
 #: Vectors a side of one block of the distance grid at most, and training vectors of a block at least, where there are idle cores.
@@ -71,9 +71,9 @@ def nearest_of_one(train: DataFrame, query: DataFrame, k: int = TOP_K) -> DataFr
     return least.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "ref"))).select("query_id", "rank", "ref", "label", "distance")
 
 
-def evenly_spaced_ids(df: DataFrame, key: str, wanted: int, width: int = 1 << 20) -> list[int]:
-    """At most `wanted` ids, evenly spaced in their order; ids are numbered inside stretches of `width`."""
-    numbered = sessions.running_sum(df.select(key).withColumn("time_bucket", F.floor(F.col(key) / width)), F.lit(1), "number", key, key)
+def evenly_spaced_ids(df: DataFrame, key: str, wanted: int) -> list[int]:
+    """At most `wanted` ids, evenly spaced in their order."""
+    numbered = ordering.running_sum(ordering.stretched(df.select(key), key, key), F.lit(1), "number", key, key)
     numbers = [i + 1 for i in dict.fromkeys(sessions.evenly_spaced(df.count(), wanted))]
     return [r[key] for r in numbered.where(F.col("number").isin(numbers)).orderBy("number").collect()]
 

@@ -94,7 +94,7 @@ def unit_pair(df: DataFrame, observed: Column, expected: Column) -> DataFrame:
 
 
 def intervals(df: DataFrame, instant: Column) -> DataFrame:
-    """(at, gap) of distinct instants, whole numbers, in order; gap is null for the first. Ordered inside days only."""
+    """(at, gap) of distinct instants, whole numbers, in order; gap is null for the first."""
     rows = df.where(instant.isNotNull()).select(instant.alias("at")).distinct()
     return sessions.gaps(rows, position="at").select("at", "gap")
 

@@ -1,47 +1,32 @@
-"""Sessions in time. One global order without one task: rows are ordered inside buckets of time, and one row a bucket carries
-what passes over the buckets' edges."""
+"""Sessions in time, in one global order that no task holds (see ordering.py)."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DAY = 86_400_000_000
-
-
-def _bucketed(df: DataFrame, instant: str, width: int) -> DataFrame:
-    return df.withColumn("time_bucket", F.floor(F.col(instant) / width))
+from ..shared import cut
+from . import ordering
 
-
-def gaps(df: DataFrame, instant: str = "at", position: str = "position", width: int = DAY) -> DataFrame:
-    """Adds `gap`, the time since the row before in the order of (instant, position), null for the first, and time_bucket."""
-    rows = _bucketed(df, instant, width)
-    edges = rows.groupBy("time_bucket").agg(F.max(instant).alias("last_at")).withColumn("before_at", F.lag("last_at").over(Window.orderBy("time_bucket"))).select("time_bucket", "before_at")
-    inside = Window.partitionBy("time_bucket").orderBy(instant, position)
-    return rows.join(edges, "time_bucket").withColumn("gap", F.col(instant) - F.coalesce(F.lag(instant).over(inside), F.col("before_at"))).drop("before_at")
+DAY = 86_400_000_000
 
 
-def running_sum(df: DataFrame, value: Column, name: str, instant: str = "at", position: str = "position") -> DataFrame:
-    """Adds the sum of `value` over all rows up to each, in the order of (instant, position). df has time_bucket."""
-    inside = Window.partitionBy("time_bucket").orderBy(instant, position).rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.withColumn(name, F.sum(value).over(inside))
-    totals = df.groupBy("time_bucket").agg(F.sum(value).alias("own_total"))
-    before = totals.withColumn("total_before", F.sum("own_total").over(Window.orderBy("time_bucket").rowsBetween(Window.unboundedPreceding, -1))).select("time_bucket", F.coalesce("total_before", F.lit(0)).alias("total_before"))
-    return rows.join(before, "time_bucket").withColumn(name, F.col(name) + F.col("total_before")).drop("total_before")
+def gaps(df: DataFrame, instant: str = "at", position: str = "position", stretch: int | None = None) -> DataFrame:
+    """Adds `gap`, the time since the row before in the order of (instant, position), null for the first, and the row's stretch."""
+    return ordering.lagged(df, instant, position, "gap", stretch).withColumn("gap", F.col(instant) - F.col("gap"))
 
 
-def gap_sessions(df: DataFrame, threshold: float, instant: str = "at", position: str = "position", width: int = DAY) -> DataFrame:
+def gap_sessions(df: DataFrame, threshold: float, instant: str = "at", position: str = "position", stretch: int | None = None) -> DataFrame:
     """Adds `session`, from 1: a new one begins where the gap is strictly beyond the threshold."""
-    return broken(gaps(df, instant, position, width), threshold, instant, position)
+    return broken(gaps(df, instant, position, stretch), threshold, instant, position)
 
 
 def broken(spaced: DataFrame, threshold: float, instant: str = "at", position: str = "position") -> DataFrame:
     """The same from rows that have their gaps, which no threshold changes."""
     starts = F.when(F.col("gap").isNull() | (F.col("gap") > threshold), 1).otherwise(0)
-    return running_sum(spaced, starts, "session", instant, position)
+    return ordering.running_sum(spaced, starts, "session", instant, position)
 
 
 def keyed_gap_sessions(df: DataFrame, keys: list[str], threshold: float, instant: str = "at", position: str = "position") -> DataFrame:
@@ -51,27 +36,44 @@ def keyed_gap_sessions(df: DataFrame, keys: list[str], threshold: float, instant
     return rows.withColumn("session", F.sum(F.when(F.col("gap").isNull() | (F.col("gap") > threshold), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def limit_duration(df: DataFrame, limit: int, instant: str = "at", position: str = "position") -> DataFrame:
+def limit_duration(df: DataFrame, limit: int, instant: str = "at", position: str = "position", stretch: int | None = None) -> DataFrame:
     """Breaks sessions again where a row is `limit` or more after its session's current start; adds `part`, from 1 in each session.
 
-    Which start is current depends on all breaks before, so this is a fold over each gap session's rows: a jump from break to
-    break over sorted instants. Sessions are independent of each other, and those shorter than the limit need no fold."""
-    long = df.groupBy("session").agg((F.max(instant) - F.min(instant) >= limit).alias("folds")).where("folds").select("session")
-    short = df.join(long, "session", "left_anti").withColumn("part", F.lit(1).cast("long")).select(*df.columns, "part")
-    kind = f"{df.schema.simpleString()[7:-1]},part:long"
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([instant, position], kind="stable")
-        at = rows[instant].to_numpy()
-        part, first, n = pd.Series(0, index=rows.index), 0, 0
-        while first < len(at):
-            n += 1
-            end = max(first + 1, int(at.searchsorted(at[first] + limit, side="left")))
-            part.iloc[first:end] = n
-            first = end
-        return rows.assign(part=part)
-
-    return short.unionByName(df.join(long, "session", "left_semi").select(*df.columns).groupBy("session").applyInPandas(fold, kind))
+    Which start is current depends on all breaks before. But the break after any instant, were it a start, is the first instant
+    `limit` or more later, whatever came before: a link that one ordered pass finds for all instants. From each session's first
+    instant the links are followed by doubling: links of 2^k breaks join themselves to links of 2^(k+1), and the starts known so
+    far take one more link each, so rounds are the logarithm of the most breaks, and a session of all rows is spread like any
+    other. Sessions shorter than the limit need none of this. `session` is a whole number that rises with time."""
+    df = cut(df)  # read several times
+    long = cut(df.groupBy("session").agg((F.max(instant) - F.min(instant) >= limit).alias("folds")).where("folds").select("session"))
+    short = df.join(long, "session", "left_anti").select(*df.columns, F.lit(1).cast("long").alias("part"))
+    if long.isEmpty():
+        return short
+    rows = df.join(long, "session", "left_semi").select(*df.columns)
+    starts = _starts(rows.select("session", F.col(instant).alias("at")).distinct(), limit, stretch)
+    both = rows.withColumn("kind", F.lit(1)).unionByName(starts.select("session", F.col("at").alias(instant), F.col("part").alias("begun"), F.lit(0).alias("kind")), allowMissingColumns=True)
+    order = [F.col("session"), F.col(instant), F.col("kind"), F.col(position)]
+    placed = ordering.latest(ordering.stretched(both, "session", instant, stretch), F.col("begun"), "part", order)
+    return short.unionByName(placed.where("kind = 1").select(*df.columns, "part"))
+
+
+def _starts(points: DataFrame, limit: int, stretch: int | None) -> DataFrame:
+    """(session, at, part): where each part of each session starts. points: distinct (session, at)."""
+    none = F.lit(None).cast("long")
+    asked = points.select("session", (F.col("at") + limit).alias("at"), F.col("at").alias("asking"), F.lit(0).alias("kind"))
+    both = ordering.stretched(asked.unionByName(points.select("session", "at", none.alias("asking"), F.lit(1).alias("kind"))), "session", "at", stretch)
+    # From the end backwards, instants before the questions that fall on them: the last instant seen is the first one due.
+    backwards = [-F.col("session"), -F.col("at"), -F.col("kind")]
+    due = ordering.latest(both, F.when(F.col("kind") == 1, F.struct("session", "at")), "due", backwards, rising=False)
+    links = cut(due.where("kind = 0 and due.session = session").select("session", F.col("asking").alias("at"), F.col("due.at").alias("next_at")))
+    starts, length = cut(points.groupBy("session").agg(F.min("at").alias("at")).withColumn("part", F.lit(1).cast("long"))), 1
+    while True:
+        fresh = cut(starts.join(links, ["session", "at"]).select("session", F.col("next_at").alias("at"), (F.col("part") + length).alias("part")))
+        if fresh.isEmpty():
+            return starts
+        starts, length = cut(starts.unionByName(fresh)), 2 * length
+        onwards = links.select("session", F.col("at").alias("next_at"), F.col("next_at").alias("after_at"))
+        links = cut(links.join(onwards, ["session", "next_at"]).select("session", "at", F.col("after_at").alias("next_at")))
 
 
 def summary(df: DataFrame, by: list[str], instant: str = "at") -> DataFrame:

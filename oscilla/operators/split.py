@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import quantiles, sessions
+from . import ordering, quantiles, sessions
 
 RATIOS = (0.7, 0.15)
 GAP_MULTIPLIER = 5
@@ -26,11 +26,10 @@ class Boundaries:
     test_start: int
 
 
-def occurrences(rows: DataFrame, session: str = "session", instant: str = "at", width: int = sessions.DAY) -> DataFrame:
+def occurrences(rows: DataFrame, session: str = "session", instant: str = "at", stretch: int | None = None) -> DataFrame:
     """session (ordinals from 1), n, start_at, end_at, and the running number of rows."""
     made = rows.groupBy(session).agg(F.count(F.lit(1)).alias("n"), F.min(instant).alias("start_at"), F.max(instant).alias("end_at"))
-    made = made.withColumn("time_bucket", F.floor(F.col("start_at") / width))
-    return sessions.running_sum(made, F.col("n"), "cumulative", "start_at", session)
+    return ordering.running_sum(ordering.stretched(made, "start_at", session, stretch), F.col("n"), "cumulative", "start_at", session).drop("stretch")
 
 
 def boundaries(found: DataFrame, session: str = "session") -> Boundaries:
@@ -58,9 +57,9 @@ def assign(found: DataFrame, at: Boundaries, threshold: float, session: str = "s
     return found.withColumn("partition", F.when(~purged, part)).withColumn("exclusion", F.when(purged, "purge"))
 
 
-def fit_threshold(rows: DataFrame, width: int = sessions.DAY) -> float:
+def fit_threshold(rows: DataFrame, stretch: int | None = None) -> float:
     """max(5 x median, 95th percentile) of the positive gaps between train rows; 0 if there is none."""
-    return _fitted(sessions.gaps(rows, width=width))
+    return _fitted(sessions.gaps(rows, stretch=stretch))
 
 
 def _fitted(spaced: DataFrame) -> float:
@@ -75,33 +74,34 @@ def _fitted(spaced: DataFrame) -> float:
     return max(GAP_MULTIPLIER * values[0], values[1]) if n else 0.0
 
 
-def sessioned(rows: DataFrame, threshold: float, limit: int | None, width: int = sessions.DAY) -> DataFrame:
+def sessioned(rows: DataFrame, threshold: float, limit: int | None, stretch: int | None = None) -> DataFrame:
     """Rows with the ordinal of their session, broken by gap and, if wanted, by duration."""
-    return _sessioned(sessions.gaps(rows, width=width), threshold, limit, width).select(*rows.columns, "session")
+    return _sessioned(sessions.gaps(rows, stretch=stretch), threshold, limit, stretch).select(*rows.columns, "session")
 
 
-def _sessioned(spaced: DataFrame, threshold: float, limit: int | None, width: int) -> DataFrame:
-    rows = spaced.drop("time_bucket")
-    made = sessions.broken(spaced, threshold).drop("time_bucket")
+def _sessioned(spaced: DataFrame, threshold: float, limit: int | None, stretch: int | None) -> DataFrame:
+    kept = [c for c in spaced.columns if c != "stretch"]
+    made = sessions.broken(spaced, threshold).drop("stretch")
     if limit is None:
         return made
-    folded = sessions.limit_duration(made, limit)
-    parts = folded.groupBy("session").agg(F.max("part").alias("parts"), F.min("at").alias("start_at")).withColumn("time_bucket", F.floor(F.col("start_at") / width))
-    before = sessions.running_sum(parts, F.col("parts"), "upto", "start_at", "session").select("session", (F.col("upto") - F.col("parts")).alias("before"))
-    return folded.join(before, "session").select(*rows.columns, (F.col("before") + F.col("part")).alias("session"))
+    folded = sessions.limit_duration(made, limit, stretch=stretch)
+    parts = folded.groupBy("session").agg(F.max("part").alias("parts"), F.min("at").alias("start_at"))
+    upto = ordering.running_sum(ordering.stretched(parts, "start_at", "session", stretch), F.col("parts"), "upto", "start_at", "session")
+    before = upto.select("session", (F.col("upto") - F.col("parts")).alias("before"))
+    return folded.join(before, "session").select(*kept, (F.col("before") + F.col("part")).alias("session"))
 
 
-def fixed_point(rows: DataFrame, limit: int | None = sessions.DAY, width: int = sessions.DAY) -> tuple[float, DataFrame]:
+def fixed_point(rows: DataFrame, limit: int | None = sessions.DAY, stretch: int | None = None) -> tuple[float, DataFrame]:
     """(threshold, occurrences with their parts). rows: (at in microseconds, position). Begins with every row on its own.
 
     Each round plans anew from the source with another literal, so nothing piles up; only thresholds and cuts reach the
     driver. A round's sessions are read several times, so they are kept for the round; gaps come with them. Train
     is what comes first in time, so its rows have the gaps that they have among all rows."""
     threshold, seen = -1.0, set()
-    spaced = sessions.gaps(rows, width=width)
+    spaced = sessions.gaps(rows, stretch=stretch)
     for _ in range(ROUNDS):
-        sessioned_rows = _sessioned(spaced, threshold, limit, width).persist()
-        found = occurrences(sessioned_rows, width=width).persist()
+        sessioned_rows = _sessioned(spaced, threshold, limit, stretch).persist()
+        found = occurrences(sessioned_rows, stretch=stretch).persist()
         made = assign(found, boundaries(found), max(threshold, 0.0))
         left = made.agg(F.max(F.when(F.col("partition") == "train", F.col("session"))).alias("train"), F.count_if(F.col("partition") == "validation").alias("validation")).first()
         last_train = left["train"]

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import instants
-from ..operators import contract, quality, sessions, split
+from ..operators import contract, ordering, quality, sessions, split
+from ..shared import cut
 from ..sources import files
 from ..sources.readings import FEATURES, SCHEMA
 
@@ -31,21 +31,11 @@ def policy_problems(rules: tuple = quality.RULES) -> list[str]:
     return out + [f"unknown action of {r[0]}" for r in rules if r[2] not in dict(quality.ACTIONS)] + [f"unknown reason of {r[0]}" for r in rules if r[1] not in quality.REASONS]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of spark.checkpoint.dir; only a local session without one gets a folder of its own."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        if not context.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="oscilla-shared-"))
-    return df.checkpoint()
-
-
 def numbered(df: DataFrame) -> DataFrame:
     """Adds the instant in microseconds, source_position (1..n in time order) and record_id."""
     at = instants.parse(F.col("created_at"))
     rows = df.withColumn("at", at["sec"] * 1_000_000 + (at["frac"] * 1_000_000).cast("long")).withColumn("tie", F.xxhash64(*df.columns))
-    placed = sessions.running_sum(sessions.gaps(rows, position="tie"), F.lit(1), "source_position", position="tie").drop("gap", "time_bucket", "tie")
+    placed = ordering.running_sum(ordering.stretched(rows, "at", "tie"), F.lit(1), "source_position", "at", "tie").drop("stretch", "tie")
     return placed.withColumn("record_id", F.sha2(F.concat_ws(":", F.col("source_position").cast("string"), F.col("id").cast("string"), "created_at"), 256))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.instants import micros
-from ..operators import sessions, split
+from ..operators import ordering, sessions, split
 from . import Register, read
 
 register = Register()
@@ -105,9 +105,9 @@ def leakage_gates_events(spark, sf_dir):
 
 @register("WN-14 KN-3", f"WITH {_ROWS}, o AS (SELECT p, row_number() OVER (ORDER BY a, p) - 1 AS i, count(*) OVER () AS n FROM r), m AS (SELECT DISTINCT (k * (n - 1)) // 511 AS i FROM o, range(512) t(k)) SELECT p AS position FROM o JOIN m USING (i)")
 def evenly_spaced_sample_events(spark, sf_dir):
-    """512 rows, evenly spaced in the global order; the running number comes from the bucketed sum."""
+    """512 rows, evenly spaced in the global order; the running number is a sum over stretches."""
     r = rows(spark, sf_dir)
-    numbered = sessions.running_sum(sessions.gaps(r), F.lit(1), "number")
+    numbered = ordering.running_sum(ordering.stretched(r, "at", "position"), F.lit(1), "number", "at", "position")
     total = r.count()
     wanted = spark.createDataFrame([(i + 1,) for i in sorted(set(sessions.evenly_spaced(total, 512)))], "number long")
     return numbered.join(F.broadcast(wanted), "number").select("position")

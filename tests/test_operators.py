@@ -107,7 +107,7 @@ def test_identical_rows_differing_in_label_only_are_mapped(spark):
 
 def test_gap_equal_to_threshold_joins_and_duration_breaks(spark):
     df = spark.createDataFrame([(0, 0), (10, 1), (20, 2), (31, 3), (41, 4), (41, 5)], "at long, position long")
-    got = [r["session"] for r in sessions.gap_sessions(df, 10, width=15).orderBy("position").collect()]
+    got = [r["session"] for r in sessions.gap_sessions(df, 10, stretch=2).orderBy("position").collect()]
     assert got == [1, 1, 1, 2, 2, 2]
     limited = sessions.limit_duration(df.withColumn("session", F.lit(1).cast("long")), 20).orderBy("position").collect()
     assert [r["part"] for r in limited] == [1, 1, 2, 2, 3, 3]
