@@ -13,7 +13,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..functions import vectors
 from . import ordering, sessions
 
-TOP_K = 5
+#: Neighbours of a prediction, and rows that a policy is fitted on at most.
+TOP_K, CALIBRATION = 5, 512
 #: Vectors a side of one block of the distance grid at most, and training vectors of a block at least, where there are idle cores.
 BLOCK, LEAST_BLOCK = 4096, 128
 

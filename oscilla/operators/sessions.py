@@ -66,14 +66,14 @@ def _starts(points: DataFrame, limit: int, stretch: int | None) -> DataFrame:
     backwards = [-F.col("session"), -F.col("at"), -F.col("kind")]
     due = ordering.latest(both, F.when(F.col("kind") == 1, F.struct("session", "at")), "due", backwards, rising=False)
     links = cut(due.where("kind = 0 and due.session = session").select("session", F.col("asking").alias("at"), F.col("due.at").alias("next_at")))
-    starts, length = cut(points.groupBy("session").agg(F.min("at").alias("at")).withColumn("part", F.lit(1).cast("long"))), 1
-    while True:
-        fresh = cut(starts.join(links, ["session", "at"]).select("session", F.col("next_at").alias("at"), (F.col("part") + length).alias("part")))
-        if fresh.isEmpty():
-            return starts
+    starts, length, known = cut(points.groupBy("session").agg(F.min("at").alias("at")).withColumn("part", F.lit(1).cast("long"))), 1, -1
+    while starts.count() > known:
+        known = starts.count()
+        fresh = starts.join(links, ["session", "at"]).select("session", F.col("next_at").alias("at"), (F.col("part") + length).alias("part"))
         starts, length = cut(starts.unionByName(fresh)), 2 * length
         onwards = links.select("session", F.col("at").alias("next_at"), F.col("next_at").alias("after_at"))
         links = cut(links.join(onwards, ["session", "next_at"]).select("session", "at", F.col("after_at").alias("next_at")))
+    return starts
 
 
 def summary(df: DataFrame, by: list[str], instant: str = "at") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.instants import micros
 from ..sources import files
-from ..streaming import streams
+from ..streaming import stateful, streams
 from . import Register, read
 
 register = Register()
@@ -40,13 +40,18 @@ def stream_distinct_users(spark, sf_dir):
     return made.agg(F.countDistinct("user_id").alias("ids"), F.count(F.lit(1)).alias("n"))
 
 
-@register("SX-2", f"""WITH RECURSIVE {_ROWS}, g AS (SELECT *, a - lag(a) OVER (PARTITION BY u ORDER BY a, p) AS gap FROM r), s AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 172800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY u ORDER BY a, p ROWS UNBOUNDED PRECEDING) AS session FROM g),
+@register("SX-2 SX-3", f"""WITH RECURSIVE {_ROWS}, g AS (SELECT *, a - lag(a) OVER (PARTITION BY u ORDER BY a, p) AS gap FROM r), s AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 172800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY u ORDER BY a, p ROWS UNBOUNDED PRECEDING) AS session FROM g),
 f AS (SELECT u, session, min(a) AS start_at FROM s GROUP BY ALL UNION ALL SELECT u, session, (SELECT min(a) FROM s WHERE s.u = f.u AND s.session = f.session AND s.a >= f.start_at + 432000000000) FROM f WHERE EXISTS (SELECT 1 FROM s WHERE s.u = f.u AND s.session = f.session AND s.a >= f.start_at + 432000000000)),
-w AS (SELECT u, start_at, lead(start_at) OVER (PARTITION BY u ORDER BY start_at) AS next_at FROM f) SELECT w.u AS user_id, w.start_at, max(r.a) AS end_at, count(*) AS n FROM w JOIN r ON r.u = w.u AND r.a >= w.start_at AND r.a < w.next_at GROUP BY ALL""")
+w AS (SELECT u, start_at, lead(start_at) OVER (PARTITION BY u ORDER BY start_at) AS next_at FROM f), o AS (SELECT w.u AS user_id, 'session' AS kind, w.start_at, max(r.a) AS end_at, count(*) AS n FROM w JOIN r ON r.u = w.u AND r.a >= w.start_at AND (r.a < w.next_at OR w.next_at IS NULL) GROUP BY ALL)
+SELECT * FROM o UNION ALL SELECT u, 'late', a, a, 1 FROM r WHERE p % 100 = 7 AND a < (SELECT max(a) FROM r) - 7200000000""")
 def stream_limited_sessions(spark, sf_dir):
-    """Closed sessions by user, of two days' gap and five days at most; the open one stays in the state."""
-    events = _stream(spark, sf_dir, "events").where("ts is not null").select("user_id", micros(F.col("ts")).alias("at"))
-    return streams.finished(streams.limited_sessions(events, "user_id", 172_800_000_000, 432_000_000_000), _name())
+    """All sessions by user, of two days' gap and five days at most, the last ones too as the stream is ended; every hundredth row comes once more, more than two hours late, and is told apart."""
+    rows = lambda df: df.where("ts is not null and user_id is not null").select("user_id", micros(F.col("ts")).alias("at"), "event_id")
+    table = rows(read(spark, sf_dir, "events"))
+    end = table.agg(F.max("at").alias("end")).first()["end"]
+    again = table.where((F.col("event_id") % 100 == 7) & (F.col("at") < F.lit(end) - 7_200_000_000))
+    made = lambda df: stateful.limited_sessions(df, "user_id", 172_800_000_000, 432_000_000_000, "1 hour")
+    return stateful.flushed(spark, lambda: rows(_stream(spark, sf_dir, "events")), "user_id", made, again)
 
 
 @register("SX-5 LC-1", "WITH n AS (SELECT conv_id, turn, role, min(turn) OVER (PARTITION BY conv_id) AS base FROM conversations), e AS (SELECT conv_id, turn AS sequence, CASE WHEN turn = base THEN 'received' WHEN role = 'user' THEN 'processing' WHEN role = 'assistant' THEN 'pending_approval' ELSE 'failed' END AS t FROM n), l AS (SELECT *, lag(t) OVER (PARTITION BY conv_id ORDER BY sequence) AS s FROM e) SELECT conv_id, sequence, s AS source_status, t AS target_status FROM l WHERE s IS NOT NULL AND (s, t) NOT IN (('received', 'processing'), ('processing', 'pending_approval'), ('processing', 'failed'), ('failed', 'processing'))")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..functions.numbers import rate, wilson
-from ..operators import evaluation, neighbours
+from ..operators import evaluation, neighbours, pruning
 from . import Register, read
 
 register = Register()
@@ -50,6 +50,21 @@ def knn_top5_embeddings(spark, sf_dir):
     return neighbours.ranked(queries, train).select("query_id", "rank", "ref", "label", F.round("distance", 6).alias("distance"))
 
 
+@register("JN-8 KN-2 KN-8", f"WITH {_NN} SELECT query_id, rank::INT AS rank, ref, label, round(distance, 6) AS distance FROM n")
+def knn_pruned_embeddings(spark, sf_dir):
+    """The same rows by pivots and radii; what the triangle inequality rules out is not measured."""
+    train, queries = parts(spark, sf_dir)
+    found, _ = pruning.nearest(queries, train)
+    return found.select("query_id", "rank", "ref", "label", F.round("distance", 6).alias("distance"))
+
+
+@register("JN-8 KN-2")
+def knn_pruned_pairs_embeddings(spark, sf_dir):
+    """How many pairs of queries and training rows pruning measured, of how many; the tests hold it to a tenth on clustered vectors."""
+    train, queries = parts(spark, sf_dir)
+    return pruning.nearest(queries, train)[1]
+
+
 @register("PRJ-14 KN-8", f"WITH {_E}, d AS (SELECT q.vec_id AS query_id, t.vec_id AS ref, t.label, array_distance(q.v, t.v) AS distance FROM q, t WHERE t.label IN (1, 3, 5)) SELECT query_id, rank::INT AS rank, ref, label FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, ref) AS rank FROM d) WHERE rank <= 3")
 def knn_filtered_classes(spark, sf_dir):
     """Neighbours of listed classes only; the filter lies below the distances."""
@@ -78,10 +93,12 @@ def abstention_flags(spark, sf_dir):
     return d.select("query_id", "candidate", "abstention", F.round(neighbours.support_score(F.col("vote_share"), F.col("nearest_distance"), POLICY.distance), 6).alias("support_score"), disposition.alias("disposition"))
 
 
-@register("KN-3 AG-5", f"WITH {_VOTE}, i AS (SELECT nearest_distance, vote_margin, row_number() OVER (ORDER BY nearest_distance) - 1 AS a, row_number() OVER (ORDER BY vote_margin) - 1 AS b, count(*) OVER () AS n FROM v) SELECT round(max(nearest_distance) FILTER (a = ceil((n - 1) * 0.95)), 6) AS distance, max(vote_margin) FILTER (b = floor((n - 1) * 0.10)) AS margin FROM i")
+@register("KN-3 AG-5", f"WITH {_VOTE}, o AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS i, count(*) OVER () AS n FROM q), m AS (SELECT vec_id FROM o WHERE i IN (SELECT (k * (n - 1)) // 511 FROM range(512) r(k))), i AS (SELECT nearest_distance, vote_margin, row_number() OVER (ORDER BY nearest_distance) - 1 AS a, row_number() OVER (ORDER BY vote_margin) - 1 AS b, count(*) OVER () AS n FROM v WHERE query_id IN (SELECT vec_id FROM m)) SELECT round(max(nearest_distance) FILTER (a = ceil((n - 1) * 0.95)), 6) AS distance, max(vote_margin) FILTER (b = floor((n - 1) * 0.10)) AS margin FROM i")
 def abstention_policy_fit(spark, sf_dir):
+    """Fitted on at most 512 evenly spaced rows."""
     train, queries = parts(spark, sf_dir)
-    p = neighbours.fit_policy(neighbours.voted(neighbours.ranked(queries, train)).persist())
+    chosen = queries.where(F.col("query_id").isin(neighbours.evenly_spaced_ids(queries, "query_id", neighbours.CALIBRATION)))
+    p = neighbours.fit_policy(neighbours.voted(neighbours.ranked(chosen, train)).persist())
     return spark.createDataFrame([(round(p.distance, 6), p.margin)], "distance double, margin double")
 
 

@@ -1,4 +1,4 @@
-"""Streams over files of events: gap sessions, limited sessions, repeated ids, scoring, illegal life-cycle steps."""
+"""Streams over files of events: gap sessions, repeated ids, scoring, illegal life-cycle steps. Sessions with timers are in stateful.py."""
 
 from __future__ import annotations
 
@@ -24,37 +24,6 @@ def gap_sessions(events: DataFrame, gap: str, watermark: str, at: str = "ts") ->
     return events.withWatermark(at, watermark).groupBy(F.session_window(at, gap).alias("w"), one).agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("start_at"), F.max(at).alias("end_at")).drop("w", "stream")
 
 
-def limited_sessions(events: DataFrame, key: str, gap_us: int, limit_us: int, watermark: str | None = None) -> DataFrame:
-    """Sessions by key, broken by gap or duration; state is the open session alone. events: (key, at in microseconds), at rising within a key and a micro-batch order.
-
-    With a watermark, a key's last session closes and its state goes once the watermark is beyond its end and the gap; rows
-    behind the watermark are dropped. Without one it stays open for rows to come."""
-
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, last, n = state.get if state.exists else (None, None, 0)
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([(k[0], start, last, n)], columns=[key, "start_at", "end_at", "n"])
-            return
-        closed = []
-        rows = pd.concat(list(frames))["at"].sort_values(kind="stable")
-        for at in rows:
-            if start is not None and (at - last > gap_us or at - start >= limit_us):
-                closed.append((k[0], start, last, n))
-                start, n = None, 0
-            start, last, n = (at if start is None else start), at, n + 1
-        if start is not None:
-            state.update((start, last, n))
-            if watermark:
-                state.setTimeoutTimestamp(max((last + gap_us) // 1000, state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame(closed, columns=[key, "start_at", "end_at", "n"])
-
-    kind = events.schema[key].dataType.simpleString()
-    rows = events.withColumn("event_time", F.timestamp_micros("at")).withWatermark("event_time", watermark) if watermark else events
-    timeout = GroupStateTimeout.EventTimeTimeout if watermark else GroupStateTimeout.NoTimeout
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, start_at long, end_at long, n long", "start_at long, end_at long, n long", "append", timeout)
-
-
 def distinct_ids(events: DataFrame, key: str, watermark: str, at: str = "ts") -> DataFrame:
     """The first row of each id within the watermark; batch flags all repeated rows instead."""
     return events.withWatermark(at, watermark).dropDuplicatesWithinWatermark([key])

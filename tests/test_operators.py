@@ -504,16 +504,6 @@ def test_only_changed_reports_are_written(spark, tmp_path):
         files.write_changed(df, path, "document", most=1)
 
 
-def test_limited_sessions_time_out(spark, tmp_path):
-    """One file a micro-batch: the last session of key 1 closes once key 2 has moved the watermark; a row behind it is dropped."""
-    second = 1_000_000
-    for rows in ([(1, 100 * second), (1, 105 * second)], [(2, 600 * second)], [(2, 605 * second)], [(1, 106 * second)], [(2, 610 * second)]):
-        spark.createDataFrame(rows, "key long, at long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("key long, at long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    made = streams.limited_sessions(stream, "key", 20 * second, 3600 * second, "10 seconds")
-    assert [tuple(r) for r in streams.finished(made, f"timeout-{tmp_path.name}").collect()] == [(1, 100 * second, 105 * second, 2)]
-
-
 def test_sentinels_and_strict_outputs(spark):
     from oscilla.functions.strict_json import canonical_json
     from oscilla.operators import generation
