@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import corpus, flows, governed, ledger, models, profiles, timeline
+from .queries import corpus, flows, governed, ledger, models, profiles, timeline, written
 
-FAMILIES = (profiles, ledger, timeline, models, corpus, governed, flows)
+FAMILIES = (profiles, ledger, timeline, models, corpus, governed, flows, written)
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
