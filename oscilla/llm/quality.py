@@ -124,15 +124,17 @@ def training_vectors(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS)
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, features: int = TRAIN_FEATURES) -> np.ndarray:
     """Weights and, last, the bias. One task updates over the bounded sample, in one fixed order; the driver gets the weights alone.
 
-    Documents come by the hash of doc_id; one whose vector would take the sample beyond `features` numbers is passed over whole."""
+    Documents come by the hash of doc_id; the sample ends with the first one that would take it beyond `features` numbers, so no
+    length is preferred."""
 
     def run(batches):
         index, value = np.empty(features, np.int32), np.empty(features, np.float32)
-        spans, used = [], 0
+        spans, used, full = [], 0, False
         for batch in batches:
             for label, i, v in zip(batch.column("label").to_pylist(), batch.column("index"), batch.column("value"), strict=True):
                 i, v = np.frombuffer(i.as_buffer(), "<i4"), np.frombuffer(v.as_buffer(), "<f4")
-                if used + len(i) <= features:
+                full |= used + len(i) > features
+                if not full:
                     index[used : used + len(i)], value[used : used + len(i)] = i, v
                     spans.append((used, used + len(i), label))
                     used += len(i)

@@ -198,15 +198,17 @@ def training_features(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXI
 def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, toxic_rows: int = TOXIC_ROWS, unlabelled_rows: int = UNLABELLED_ROWS, features: int = TRAIN_FEATURES) -> Model:
     """One task fits over the bounded sample; the driver gets the learnt features and their weights alone.
 
-    Documents come by the hash of doc_id; one whose features would take its kind beyond `features` numbers is passed over whole."""
+    Documents come by the hash of doc_id; a kind's sample ends with the first one that would take it beyond `features` numbers,
+    so no length is preferred."""
     prior = class_prior(docs, labels) if prior is None else prior
 
     def run(batches):
-        rows, used = ([], []), [0, 0]
+        rows, used, full = ([], []), [0, 0], [False, False]
         for batch in batches:
             for toxic, index in zip(batch.column("toxic").to_pylist(), batch.column("index"), strict=True):
                 found = np.frombuffer(index.as_py(), "<u4")
-                if used[toxic] + len(found) <= features:
+                full[toxic] |= used[toxic] + len(found) > features
+                if not full[toxic]:
                     rows[toxic].append(found)
                     used[toxic] += len(found)
         model = fit(rows[1], rows[0], prior)
