@@ -44,7 +44,7 @@ def secret_scan_documents(spark, sf_dir):
     return read(spark, sf_dir, "documents").withColumn("text", planted).select("doc_id", tx.unsafe(F.col("text")).alias("is_unsafe"), F.array_join(tx.secrets(F.col("text")), ",").alias("found"))
 
 
-@register("FN-4 FN-6 AG-18 AG-19 JN-2 JN-3 SRC-2", r"WITH n AS (SELECT p_type AS raw, count(*) AS n, trim(regexp_replace(lower(p_type), '[\s\-_/]+', ' ', 'g')) AS normalized FROM part GROUP BY p_type) SELECT raw, n, normalized, replace(normalized, ' ', '-') AS slug, count(*) OVER (PARTITION BY normalized) > 1 AS collides FROM n")
+@register("FN-4 FN-6 AG-18 AG-19 JN-2 JN-3", r"WITH n AS (SELECT p_type AS raw, count(*) AS n, trim(regexp_replace(lower(p_type), '[\s\-_/]+', ' ', 'g')) AS normalized FROM part GROUP BY p_type) SELECT raw, n, normalized, replace(normalized, ' ', '-') AS slug, count(*) OVER (PARTITION BY normalized) > 1 AS collides FROM n")
 def label_inventory_part(spark, sf_dir):
     """Raw labels with frequency, normal form, slug, and whether another raw label has the same normal form."""
     n = read(spark, sf_dir, "part").groupBy(F.col("p_type").alias("raw")).agg(F.count(F.lit(1)).alias("n")).withColumn("normalized", tx.normalized_label("raw"))
@@ -328,7 +328,7 @@ def versions_with_metadata(spark, sf_dir):
     return read(spark, sf_dir, "customer").join(read(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "c_name", "o_orderkey", "o_orderstatus")
 
 
-@register("JN-11 SRC-11 SRC-12", "SELECT o_custkey AS parent, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderdate, o_orderkey) AS children FROM orders GROUP BY 1")
+@register("JN-11 SRC-12", "SELECT o_custkey AS parent, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderdate, o_orderkey) AS children FROM orders GROUP BY 1")
 def children_under_parents(spark, sf_dir):
     ordered = F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey")))
     return read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("parent")).agg(F.array_join(F.transform(ordered, lambda s: s["o_orderkey"].cast("string")), ",").alias("children"))

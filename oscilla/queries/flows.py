@@ -64,7 +64,7 @@ def stream_lifecycle_problems(spark, sf_dir):
     return streams.finished(streams.lifecycle_problems(events, "conv_id"), _name())
 
 
-@register("SRC-3 SRC-4")
+@register("SRC-3")
 def source_fingerprints(spark, sf_dir):
     """Length and digest of the files of all tables, hashed where they are read."""
     made = None

@@ -121,8 +121,8 @@ def contiguous_prefix_conversations(spark, sf_dir):
     return v.groupBy("conv_id").agg(F.bool_and(F.col("turn") - F.col("base") + 1 == F.col("i")).alias("contiguous"), F.max("i").alias("applied"))
 
 
-@register("BM-1", "SELECT i AS iteration, CASE WHEN ('0x' || substr(sha256('schedule.v1:65:' || i), 1, 2))::INT % 2 = 0 THEN 'documented,abstained' ELSE 'abstained,documented' END AS scenarios FROM range(100) t(i)")
+@register("BM-1", "SELECT item_id AS iteration, CASE WHEN ('0x' || substr(sha256('schedule.v1:65:' || item_id), 1, 2))::INT % 2 = 0 THEN 'documented,abstained' ELSE 'abstained,documented' END AS scenarios FROM benchmark")
 def scenario_schedule(spark, sf_dir):
-    """Order of a pair of scenarios from one byte of a digest."""
-    byte = F.conv(F.substring(F.sha2(F.concat(F.lit("schedule.v1:65:"), F.col("id").cast("string")), 256), 1, 2), 16, 10).cast("int")
-    return spark.range(100).select(F.col("id").alias("iteration"), F.when(byte % 2 == 0, "documented,abstained").otherwise("abstained,documented").alias("scenarios"))
+    """Order of a pair of scenarios for each item of the benchmark, from one byte of a digest."""
+    byte = F.conv(F.substring(F.sha2(F.concat(F.lit("schedule.v1:65:"), F.col("item_id").cast("string")), 256), 1, 2), 16, 10).cast("int")
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("iteration"), F.when(byte % 2 == 0, "documented,abstained").otherwise("abstained,documented").alias("scenarios"))

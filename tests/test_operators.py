@@ -483,6 +483,19 @@ def test_exact_quantiles_inside_brackets(spark, monkeypatch):
     assert found["d"]["n"] == 0 and found["d"]["values"] == [None] * 5
 
 
+def test_quantiles_are_exact_whatever_the_sketch_says(spark, monkeypatch):
+    """A sketch of three accuracy steps misses its brackets by far; the counts tell, and wider ones find the elements."""
+    monkeypatch.setattr(quantiles, "SMALL", 10)
+    monkeypatch.setattr(quantiles, "SLACK", 1e-4)
+    monkeypatch.setattr(quantiles, "ACCURACY", 3)
+    df, qs = spark.range(4000).select((F.pmod(F.xxhash64("id"), F.lit(100_003)) / 7).alias("a"), F.pmod("id", F.lit(2)).cast("double").alias("b")), (0.0, 0.31, 0.5, 0.95, 1.0)
+    rows = df.select(F.col("a").alias("x0"), F.col("b").alias("x1"))
+    assert not all(b.holds() for b in quantiles._bracketed(rows, range(2), qs, quantiles.SLACK))
+    found, local = {r["column_name"]: r for r in quantiles.interpolated(df, {c: F.col(c) for c in df.columns}, qs).collect()}, df.toPandas()
+    for c in "ab":
+        assert found[c]["n"] == 4000 and np.allclose(found[c]["values"], np.quantile(local[c], qs), atol=1e-9)
+
+
 def test_input_order_across_stretches(spark):
     df = spark.createDataFrame([(i, i // 2) for i in range(40)], "p long, at long")
     order = lambda d: profile.input_order(d, F.col("at"), F.col("p"), 8).first()[0]
