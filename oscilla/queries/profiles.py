@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.instants import micros
 from ..functions.numbers import percentage
-from ..operators import profile, quantiles
+from ..operators import profile, quantiles, selection
 from . import Register, read
 
 register = Register()
@@ -221,7 +221,27 @@ def latency_summary_events(spark, sf_dir):
     """Attempts and errors by layer; percentiles over successes alone, by nearest rank and interpolated."""
     ok = F.when(F.col("value") >= 20, F.col("value"))
     rows = read(spark, sf_dir, "events").select(F.col("event_type").alias("layer"), ok.alias("ok"))
-    return rows.groupBy("layer").agg(F.count(F.lit(1)).alias("attempts"), F.count("ok").alias("valid"), F.count_if(F.col("ok").isNull()).alias("errors"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY ok)").alias("p50"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY ok)").alias("p95"), F.round(F.percentile("ok", F.lit(0.95)), 6).alias("p95_interpolated"))
+    counts = rows.groupBy("layer").agg(F.count(F.lit(1)).alias("attempts"), F.count("ok").alias("valid"), F.count_if(F.col("ok").isNull()).alias("errors"))
+    found = selection.quantiles(rows, ["layer"], F.col("ok"), (0.5, 0.95))
+    at = lambda q, c: F.max(F.when(F.col("q") == q, c))
+    plain = selection.between(F.col("low"), F.col("high"), F.col("n"), F.col("q"))
+    made = found.groupBy("layer").agg(at(0.5, F.col("nearest")).alias("p50"), at(0.95, F.col("nearest")).alias("p95"), F.round(at(0.95, plain), 6).alias("p95_interpolated"))
+    return counts.join(made, counts["layer"].eqNullSafe(made["layer"])).drop(made["layer"])
+
+
+_GROUPED = "WITH v AS (SELECT {by}, l_extendedprice AS x, row_number() OVER (PARTITION BY {by} ORDER BY l_extendedprice) - 1 AS i, count(*) OVER (PARTITION BY {by}) AS n FROM lineitem), q AS (SELECT unnest([0.25, 0.5, 0.99]) AS q) SELECT {by}, q::DOUBLE AS q, n, max(x) FILTER (i = floor((n - 1) * q)) AS low, max(x) FILTER (i = ceil((n - 1) * q)) AS high, max(x) FILTER (i = greatest(ceil(n * q) - 1, 0)) AS nearest FROM v, q GROUP BY {by}, q, n"
+
+
+@register("AG-4 AG-5 AG-6", _GROUPED.format(by="l_returnflag, l_linestatus"))
+def grouped_quantiles_lineitem(spark, sf_dir):
+    """Quartile, median and 0.99 of prices of every flag and status: large groups, narrowed by bins."""
+    return selection.quantiles(read(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], F.col("l_extendedprice"), (0.25, 0.5, 0.99))
+
+
+@register("AG-4 AG-5 AG-6", _GROUPED.format(by="l_suppkey"))
+def supplier_quantiles_lineitem(spark, sf_dir):
+    """The same for every supplier: many small groups."""
+    return selection.quantiles(read(spark, sf_dir, "lineitem"), ["l_suppkey"], F.col("l_extendedprice"), (0.25, 0.5, 0.99))
 
 
 @register("AG-15 AG-28", "SELECT l_returnflag, count(*) AS n, CASE WHEN count(*) FILTER (l_linestatus = 'X') = 0 THEN NULL END::DOUBLE AS share_of_none, round_even(100.0 * count(*) FILTER (l_linestatus = 'O') / count(*), 6)::DOUBLE AS open_percent FROM lineitem GROUP BY 1")

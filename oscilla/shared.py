@@ -33,3 +33,10 @@ def cut(df: DataFrame) -> DataFrame:
 def folder(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to a table in the shared folder and read from there: made once, however often they are read."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
