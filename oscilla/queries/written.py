@@ -13,7 +13,7 @@ from ..operators import profile
 from ..plans import canonical
 from ..plans import models as plans
 from ..shared import folder
-from ..sources import commits, files, readings
+from ..sources import commits, files, layout, readings
 from ..streaming import streams
 from . import Register, read
 from .models import _E, _NN, parts
@@ -45,6 +45,20 @@ def published_tables(spark, sf_dir):
     return made
 
 
+#: Rows of a file here: far fewer than layout.FILE_ROWS, so that the smallest tables have several.
+_FILE_ROWS = 1 << 10
+
+
+@register("SNK-3", f"WITH r AS (SELECT o_orderkey, o_totalprice, (row_number() OVER (ORDER BY o_orderkey, o_custkey) - 1) // {_FILE_ROWS} AS part FROM orders) SELECT part, count(*) AS n, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key, round(sum(o_totalprice), 2) AS total, true AS equal FROM r GROUP BY part")
+def byte_equal_orders(spark, sf_dir):
+    """Orders written twice from 3 and from 7 partitions: rows of each file, and whether both files have equal bytes."""
+    orders, paths = read(spark, sf_dir, "orders"), {n: folder(spark, f"layout{n}") for n in (3, 7)}
+    for n, path in paths.items():
+        layout.write(orders.repartition(n), path, "o_orderkey", "o_custkey", _FILE_ROWS)
+    held = spark.read.parquet(paths[3]).groupBy(F.col("part").cast("long").alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return held.join(layout.differing(spark, *paths.values()), "part")
+
+
 @register("SNK-4 SNK-5", "WITH a AS (SELECT o_orderpriority AS p, count(*) AS n FROM orders GROUP BY 1), b AS (SELECT o_orderpriority AS p, count(*) AS n FROM orders WHERE o_orderkey % 5000 <> 1 GROUP BY 1) SELECT (SELECT count(*) FROM a) AS first_written, 0::BIGINT AS same_written, (SELECT count(*) FROM b JOIN a USING (p) WHERE a.n <> b.n) AS changed_written, (SELECT sum(n)::BIGINT FROM b) AS stored")
 def changed_inventory_orders(spark, sf_dir):
     """An inventory written, written again unchanged, and once more after some orders went: only what differs is touched."""
