@@ -13,7 +13,7 @@ from ..operators import profile
 from ..plans import canonical
 from ..plans import models as plans
 from ..shared import folder
-from ..sources import commits, files, layout, readings
+from ..sources import commits, files, layout, ranges, readings
 from ..streaming import streams
 from . import Register, read
 from .models import _E, _NN, parts
@@ -59,6 +59,42 @@ def byte_equal_orders(spark, sf_dir):
     return held.join(layout.differing(spark, *paths.values()), "part")
 
 
+#: Bytes of a range here, for several ranges in each file.
+_RANGE = 1 << 13
+_LINES = f"""WITH r AS (SELECT o_orderkey, o_custkey, o_orderkey || ',' || o_custkey || ',' || o_orderstatus || ',' || o_orderpriority AS line, (row_number() OVER (ORDER BY o_orderkey, o_custkey) - 1) // {_FILE_ROWS} AS part FROM orders),
+    f AS (SELECT part, string_agg(line || chr(10), '' ORDER BY o_orderkey, o_custkey) AS a, string_agg(CASE WHEN o_orderkey % 500 = 3 THEN left(line, -1) || '?' ELSE line END || chr(10), '' ORDER BY o_orderkey, o_custkey) AS b FROM r GROUP BY part),
+    s AS (SELECT part, a, b, unnest(range(0, length(a), {_RANGE})) AS start FROM f)
+    SELECT part::BIGINT AS part, start, sha256(substr(a, start + 1, {_RANGE})) AS sha256, CASE WHEN substr(a, start + 1, {_RANGE}) <> substr(b, start + 1, {_RANGE}) THEN 'content' END AS problem FROM s"""
+
+
+@register("SRC-3 KN-7", _LINES)
+def sealed_ranges_orders(spark, sf_dir):
+    """Orders as lines of text in a fixed order, sealed by ranges of bytes; a second writing with one byte changed in some rows is held against that seal."""
+    orders, made = read(spark, sf_dir, "orders"), {n: folder(spark, f"lines-{n}") for n in ("sealed", "changed")}
+    line = F.concat_ws(",", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), "o_orderstatus", "o_orderpriority")
+    layout.write_lines(orders, line, made["sealed"], "o_orderkey", "o_custkey", _FILE_ROWS)
+    other = F.when(F.col("o_orderkey") % 500 == 3, F.concat(F.substring(line, F.lit(1), F.length(line) - 1), F.lit("?"))).otherwise(line)
+    layout.write_lines(orders, other, made["changed"], "o_orderkey", "o_custkey", _FILE_ROWS)
+    # Spark's writers put the id of a run into names of files; the folder of a part is its name here.
+    manifest, named = folder(spark, "seal"), r"^part=(\d+)/"
+    root = ranges.seal(spark, made["sealed"], manifest, _RANGE, named)
+    found = ranges.problems(spark, made["changed"], manifest, root, named)
+    return spark.read.parquet(manifest).join(found, ["name", "start"], "left").select(F.col("name").cast("long").alias("part"), "start", "sha256", "problem")
+
+
+@register("SRC-6 SRC-3", "SELECT 'documents' AS table_name, count(*) AS n, sum(doc_id)::BIGINT AS total FROM documents UNION ALL SELECT 'orders', count(*), sum(o_orderkey)::BIGINT FROM orders")
+def verified_tables(spark, sf_dir):
+    """The files of two tables sealed where they lie, and rows read only after their bytes are held against the seal; once more after the rows are counted."""
+    made = None
+    for t, key in (("documents", "doc_id"), ("orders", "o_orderkey")):
+        path, manifest = f"{sf_dir}/{t}.parquet", folder(spark, "seal")
+        root, schema = ranges.seal(spark, path, manifest), spark.read.parquet(path).schema
+        count = lambda p, key=key, schema=schema: files.checked_parquet(spark, p, schema).agg(F.count(F.lit(1)), F.sum(key)).first()
+        own = spark.createDataFrame([(t, *ranges.consume(spark, path, manifest, root, count))], "table_name string, n long, total long")
+        made = own if made is None else made.unionAll(own)
+    return made
+
+
 @register("SNK-4 SNK-5", "WITH a AS (SELECT o_orderpriority AS p, count(*) AS n FROM orders GROUP BY 1), b AS (SELECT o_orderpriority AS p, count(*) AS n FROM orders WHERE o_orderkey % 5000 <> 1 GROUP BY 1) SELECT (SELECT count(*) FROM a) AS first_written, 0::BIGINT AS same_written, (SELECT count(*) FROM b JOIN a USING (p) WHERE a.n <> b.n) AS changed_written, (SELECT sum(n)::BIGINT FROM b) AS stored")
 def changed_inventory_orders(spark, sf_dir):
     """An inventory written, written again unchanged, and once more after some orders went: only what differs is touched."""

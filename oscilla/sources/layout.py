@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ordering
@@ -21,13 +21,24 @@ def write(df: DataFrame, path: str, first: str, second: str, file_rows: int = FI
     The pair must identify a row, else this raises before anything is written; df must not have a column named part, stretch or place. An
     empty table gives no file. The order is made in stretches, so no task orders all rows, and a task that is lost writes the same file again.
     df is computed several times, so what makes it must give the same rows each time."""
+    _parts(df, first, second, file_rows).write.partitionBy("part").option("compression", "zstd").option("maxRecordsPerFile", 0).parquet(path)
+
+
+def write_lines(df: DataFrame, line: Column, path: str, first: str, second: str, file_rows: int = FILE_ROWS) -> None:
+    """As `write`, but each row is a line of text, ended by a line feed; a null is an empty line."""
+    rows = _parts(df, first, second, file_rows).select(F.coalesce(line.cast("string"), F.lit("")).alias("value"), "part")
+    rows.write.partitionBy("part").option("lineSep", "\n").option("maxRecordsPerFile", 0).text(path)
+
+
+def _parts(df: DataFrame, first: str, second: str, file_rows: int) -> DataFrame:
+    """Adds part, and brings each part's rows together in order."""
     if taken := {"part", "stretch", "place"} & set(df.columns):
         raise ValueError(f"columns in the way: {sorted(taken)}")
     if not df.groupBy(first, second).count().where("count > 1").isEmpty():
         raise ValueError(f"({first}, {second}) does not identify a row")
     placed = ordering.running_sum(ordering.stretched(df, first, second), F.lit(1), "place", first, second)
     parts = placed.withColumn("part", F.floor((F.col("place") - 1) / file_rows)).select(*df.columns, "part")
-    parts.repartition("part").sortWithinPartitions("part", first, second).write.partitionBy("part").option("compression", "zstd").option("maxRecordsPerFile", 0).parquet(path)
+    return parts.repartition("part").sortWithinPartitions("part", first, second)
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
