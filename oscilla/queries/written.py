@@ -61,20 +61,21 @@ def byte_equal_orders(spark, sf_dir):
 
 #: Bytes of a range here, for several ranges in each file.
 _RANGE = 1 << 13
-_LINES = f"""WITH r AS (SELECT o_orderkey, o_custkey, o_orderkey || ',' || o_custkey || ',' || o_orderstatus || ',' || o_orderpriority AS line, (row_number() OVER (ORDER BY o_orderkey, o_custkey) - 1) // {_FILE_ROWS} AS part FROM orders),
-    f AS (SELECT part, string_agg(line || chr(10), '' ORDER BY o_orderkey, o_custkey) AS a, string_agg(CASE WHEN o_orderkey % 500 = 3 THEN left(line, -1) || '?' ELSE line END || chr(10), '' ORDER BY o_orderkey, o_custkey) AS b FROM r GROUP BY part),
+_LINES = f"""WITH r AS (SELECT doc_id, n_chars, concat_ws(',', doc_id, source, lang, n_chars, coalesce(md5(text), '-')) AS line, (row_number() OVER (ORDER BY doc_id, n_chars) - 1) // {_FILE_ROWS} AS part FROM documents),
+    f AS (SELECT part, string_agg(line || chr(10), '' ORDER BY doc_id, n_chars) AS a, string_agg(CASE WHEN doc_id % 500 = 3 THEN left(line, -1) || '?' ELSE line END || chr(10), '' ORDER BY doc_id, n_chars) AS b FROM r GROUP BY part),
     s AS (SELECT part, a, b, unnest(range(0, length(a), {_RANGE})) AS start FROM f)
     SELECT part::BIGINT AS part, start, sha256(substr(a, start + 1, {_RANGE})) AS sha256, CASE WHEN substr(a, start + 1, {_RANGE}) <> substr(b, start + 1, {_RANGE}) THEN 'content' END AS problem FROM s"""
 
 
 @register("SRC-3 KN-7", _LINES)
-def sealed_ranges_orders(spark, sf_dir):
-    """Orders as lines of text in a fixed order, sealed by ranges of bytes; a second writing with one byte changed in some rows is held against that seal."""
-    orders, made = read(spark, sf_dir, "orders"), {n: folder(spark, f"lines-{n}") for n in ("sealed", "changed")}
-    line = F.concat_ws(",", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), "o_orderstatus", "o_orderpriority")
-    layout.write_lines(orders, line, made["sealed"], "o_orderkey", "o_custkey", _FILE_ROWS)
-    other = F.when(F.col("o_orderkey") % 500 == 3, F.concat(F.substring(line, F.lit(1), F.length(line) - 1), F.lit("?"))).otherwise(line)
-    layout.write_lines(orders, other, made["changed"], "o_orderkey", "o_custkey", _FILE_ROWS)
+def sealed_ranges_documents(spark, sf_dir):
+    """A line for each document, in a fixed order, sealed by ranges of bytes; a second writing with one byte changed in some lines is held against that seal."""
+    documents, made = read(spark, sf_dir, "documents"), {n: folder(spark, f"lines-{n}") for n in ("sealed", "changed")}
+    line = F.concat_ws(",", F.col("doc_id").cast("string"), "source", "lang", F.col("n_chars").cast("string"), F.coalesce(F.md5(F.col("text")), F.lit("-")))
+    lines = documents.select("doc_id", "n_chars", line.alias("line"))
+    layout.write_lines(lines, F.col("line"), made["sealed"], "doc_id", "n_chars", _FILE_ROWS)
+    other = F.when(F.col("doc_id") % 500 == 3, F.concat(F.substring("line", F.lit(1), F.length("line") - 1), F.lit("?"))).otherwise(F.col("line"))
+    layout.write_lines(lines, other, made["changed"], "doc_id", "n_chars", _FILE_ROWS)
     # Spark's writers put the id of a run into names of files; the folder of a part is its name here.
     manifest, named = folder(spark, "seal"), r"^part=(\d+)/"
     root = ranges.seal(spark, made["sealed"], manifest, _RANGE, named)

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from .files import _hadoop, checked_parquet
 
-#: Bytes of a range and of what a task holds of it at once; ranges of a block and buckets of names; tasks at most; problems named in an error.
+#: Bytes of a range and of what a task holds of it at once; ranges of a block and buckets of names; most tasks; problems named in an error.
 RANGE, BUFFER, FAN, BUCKETS, TASKS, NAMED = 1 << 26, 1 << 20, 1 << 10, 1 << 12, 1 << 14, 5
 #: Schemes that tasks open by themselves. What only Spark's readers open is read whole by them, so there, and only there, 2 GB are the end.
 OPENED = ("file", "hdfs", "s3", "gs")
@@ -63,8 +63,9 @@ def digests(spark: SparkSession, path: str, size: int = RANGE, named: str = "^(.
     starts = F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(size).cast("long"))
     if _hadoop(spark, path)[0].getUri().getScheme() in OPENED:
         ranges = files.select("uri", "name", "length", F.explode(starts).alias("start"))
-        # A stated number of tasks, as adaptive execution would put all these short rows into one.
-        tasks = max(1, min(TASKS, ranges.count()))
+        # A stated number of tasks, of about RANGE bytes each, as adaptive execution would put all these short rows into one.
+        total = ranges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.least(F.lit(size), F.col("length") - F.col("start"))).alias("bytes")).first()
+        tasks = min(TASKS, max(1, min(total["n"], spark.sparkContext.defaultParallelism), (total["bytes"] or 0) // RANGE))
         return ranges.repartition(tasks, "name", "start").mapInArrow(lambda b: _digested(b, size), "name string, length long, start long, size long, sha256 string")
     ends = F.transform(starts, lambda s: F.struct(s.alias("start"), F.sha2(F.substring("content", (s + 1).cast("int"), F.lit(size)), 256).alias("sha256")))
     return files.select("name", "length", F.explode(ends).alias("r")).select("name", "length", "r.start", F.lit(size).cast("long").alias("size"), "r.sha256")

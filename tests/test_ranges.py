@@ -37,7 +37,8 @@ def test_one_file_and_hidden_ones(spark, tmp_path):
     assert ranges.digests(spark, str(tmp_path), 1000).count() == 3
 
 
-def test_no_task_holds_a_file(spark, tmp_path):
+def test_no_task_holds_a_file(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ranges, "RANGE", 1000)
     plant(tmp_path, {"a.bin": os.urandom(40_000)})
     dealt = ranges.digests(spark, str(tmp_path), 1000)
     assert dealt.rdd.getNumPartitions() == 40
