@@ -12,11 +12,10 @@ from ..operators import contract, ordering, quality, sessions, split
 from ..shared import cut
 from ..sources import files
 from ..sources.readings import FEATURES, SCHEMA
+from .privacy import PRIVATE, released
 
 #: Columns that must never be features.
 DENIED = ("id", "created_at", "fault", "record_id", "source_position", "occurrence_id", "partition", "disposition", "y")
-#: Classes of output fields; those of single records may not leave in a report.
-PRIVATE = ("record", "label")
 
 
 def private_fields(df: DataFrame) -> list[str]:
@@ -104,9 +103,9 @@ def twice(make) -> str:
     return first
 
 
-def save_report(df: DataFrame, path: str) -> None:
-    """JSON lines; an existing report is never overwritten."""
-    df.coalesce(1).write.mode("errorifexists").json(path)
+def save_report(df: DataFrame, path: str, strict: bool = False) -> None:
+    """JSON lines; an existing report is never overwritten. Fields of single records are refused, and unclassified ones too if `strict`."""
+    released(df, strict).coalesce(1).write.mode("errorifexists").json(path)
 
 
 def manifest_of(tables: dict[str, DataFrame]) -> str:

@@ -12,6 +12,7 @@ from ..operators import documents as doc
 from ..operators import profile
 from ..plans import canonical
 from ..plans import models as plans
+from ..plans import privacy
 from ..shared import folder
 from ..sources import commits, files, layout, ranges, readings
 from ..streaming import streams
@@ -96,6 +97,25 @@ def verified_tables(spark, sf_dir):
     return made
 
 
+@register("SRC-6", "SELECT doc_id, source, lang, n_chars, md5(text) AS text_md5 FROM documents")
+def verified_documents(spark, sf_dir):
+    """Documents sealed where they lie, and their rows parsed after all bytes are held against that seal."""
+    path, manifest = f"{sf_dir}/documents.parquet", folder(spark, "seal")
+    root = ranges.seal(spark, path, manifest)
+    rows = ranges.parquet(spark, path, manifest, root, spark.read.parquet(path).schema)
+    return rows.select("doc_id", "source", "lang", "n_chars", F.md5(F.col("text")).alias("text_md5"))
+
+
+@register("PL-8", f"WITH g AS (SELECT source, lang, n_chars // 10 AS size, count(*) AS n, sum(n_chars)::BIGINT AS chars, count(DISTINCT text) AS texts, count(n_chars) AS sized, count(text) AS written FROM documents GROUP BY ALL) SELECT source, lang, size, CASE WHEN n >= {privacy.LEAST} THEN n END AS n, n < {privacy.LEAST} AS suppressed, CASE WHEN sized >= {privacy.LEAST} THEN chars END AS chars, CASE WHEN written >= {privacy.LEAST} THEN texts END AS texts FROM g")
+def public_summary_documents(spark, sf_dir):
+    """Figures of documents by source, language and size, saved through a sink that lets only classified fields out; small groups keep their row without figures."""
+    rows = read(spark, sf_dir, "documents").withColumn("size", F.floor(F.col("n_chars") / 10))
+    rows = privacy.classify(rows, {"doc_id": "record", "text": "record", "n_chars": "record", "source": "category", "lang": "category", "size": "category"})
+    path, made = folder(spark, "public"), privacy.summary(rows, ["source", "lang", "size"], {"chars": ("sum", "n_chars"), "texts": ("distinct", "text")})
+    canonical.save_report(made, path, strict=True)
+    return spark.read.schema(made.schema).json(path)
+
+
 @register("SNK-4 SNK-5", "WITH a AS (SELECT o_orderpriority AS p, count(*) AS n FROM orders GROUP BY 1), b AS (SELECT o_orderpriority AS p, count(*) AS n FROM orders WHERE o_orderkey % 5000 <> 1 GROUP BY 1) SELECT (SELECT count(*) FROM a) AS first_written, 0::BIGINT AS same_written, (SELECT count(*) FROM b JOIN a USING (p) WHERE a.n <> b.n) AS changed_written, (SELECT sum(n)::BIGINT FROM b) AS stored")
 def changed_inventory_orders(spark, sf_dir):
     """An inventory written, written again unchanged, and once more after some orders went: only what differs is touched."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.strict_json import canonical_json
+from ..plans.privacy import released
 
 
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
@@ -112,8 +113,9 @@ def publish(spark: SparkSession, tables: dict[str, DataFrame], path: str, digest
 def write_changed(df: DataFrame, path: str, key: str, most: int | None = None) -> int:
     """Writes the rows of df as canonical JSON, a folder for each key, and only those that are new or differ from what is stored. Returns how many were written.
 
-    Nothing is touched if nothing changed. Keys must be unique. `most`: raises if there are more rows, for reports of bounded size."""
-    spark = df.sparkSession
+    Nothing is touched if nothing changed. Keys must be unique. `most`: raises if there are more rows, for reports of bounded size.
+    Fields whose class is one of single records are refused."""
+    spark = released(df, strict=False).sparkSession
     payload = canonical_json(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}))
     new = df.select(F.col(key).cast("string").alias("key"), payload.alias("value"))
     if most is not None and new.limit(most + 1).count() > most:
@@ -138,8 +140,8 @@ def append_new(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def render(rows: DataFrame, title: str) -> str:
-    """A report of a small table as Markdown; raises beyond 1,000 rows, as reports are no exports."""
-    found = rows.limit(1001).collect()
+    """A report of a small table as Markdown; raises beyond 1,000 rows, as reports are no exports, and for fields of single records."""
+    found = released(rows, strict=False).limit(1001).collect()
     if len(found) > 1000:
         raise ValueError("too many rows for a report")
     head = "| " + " | ".join(rows.columns) + " |"
