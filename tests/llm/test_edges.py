@@ -468,3 +468,16 @@ def test_unlabelled_toxic_texts_are_not_taken_as_clean():
     model = toxicity.fit(toxic, free, 0.05)
     score = lambda t: 1 / (1 + np.exp(-toxicity.margins(pa.array([t]), model)[0]))
     assert score("plain1 plain2 venomword plain3") > 0.5 and score("plain1 plain2 plain3") < 0.1 and score("") < 0.1
+
+
+@pytest.mark.parametrize("kind", ["queries elsewhere", "huge", "tiny", "far from zero"])
+def test_additive_finds_all_whatever_the_vectors(spark, kind):
+    """Queries unlike the other rows, and vectors that single precision can't hold or tell apart."""
+    rng = np.random.default_rng(12)
+    x, ids, found = rng.normal(size=(1500, 64)), np.arange(1500), {}
+    if kind == "queries elsewhere":
+        x[ids % 100 > 0] = rng.normal(size=(20, 64))[rng.integers(0, 20, 1485)] + 0.05 * rng.normal(size=(1485, 64))
+    x = {"huge": 1e20, "tiny": 1e-25}.get(kind, 1) * x + (1e6 if kind == "far from zero" else 0)
+    for r in additive.search(spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>"), list_rows=128).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert recall(found, ids, x) == 1
