@@ -13,6 +13,9 @@ Every permutation gives two values, the smallest and the largest, so 128 values
 
 A link inside one component changes nothing, so no component is lost.
 
+Most buckets have one member: only the members of the others are written down, and texts and signatures move only for nodes
+that have such a bucket. A filter of FILTER_BITS bits leaves out most others before they move, a join the rest of them.
+
 What can be missed: a pair at the similarity of 0.75 shares no band with a probability of (1 - 0.75^4)^32, about 5e-6, and
 step 3 drops a pair whose signatures agree in less than 0.57 with one of about 3e-6 (less for likelier pairs; a component is
 only split if no other link holds it). `exact` finds every pair instead: buckets are then the shingles of each set's prefix,
@@ -29,8 +32,9 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import buffer_of, cut, read, shared_table, slices
@@ -47,6 +51,8 @@ ESTIMATE = 0.57
 BLOCK = 512
 PART_SHINGLES = 1_000_000
 RUN_BYTES = 512 << 10
+#: Bits that say which nodes may share a bucket, 8 MB whatever the input; one that is set by another node lets a row through to the join.
+FILTER_BITS = 1 << 26
 _SEEDS = np.random.default_rng(20240229).integers(1, 1 << 63, (2, PERMUTATIONS), dtype=np.int64).astype(U)
 _FACTORS, _TERMS = _SEEDS[0] | U(1), _SEEDS[1]
 
@@ -202,18 +208,34 @@ def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return cut(every.join(tops, "component", "left").select("node", F.coalesce("top", "component").alias("component")))
 
 
-def _stars(banded: DataFrame) -> DataFrame:
-    """(a, b): each member of a bucket and the bucket's smallest member, each pair once."""
-    members = banded.select("node", F.explode("bands").alias("band"))
+def _shared_buckets(banded: DataFrame) -> DataFrame:
+    """(node, place, band, head): the members of each bucket that has several, and the smallest of them."""
+    members = banded.select("node", F.posexplode("bands").alias("place", "band"))
     heads = cut(members.groupBy("band").agg(F.min("node").alias("head"), F.max("node").alias("top")).where("head < top").select("band", "head"))
-    return members.join(heads, "band").where("node > head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    return members.join(heads, "band").select("node", "place", "band", "head")
+
+
+def _among(nodes: DataFrame, bits: int = FILTER_BITS) -> Column:
+    """Whether the column `node` may be one of nodes: true for all of them, and for few others while bits are many. The driver gets bits / 64 numbers at most."""
+    place = F.pmod(F.xxhash64(F.coalesce("node", F.lit(0).cast("long"))), F.lit(bits))
+    found = nodes.select(place.alias("p")).groupBy(F.expr("p div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 AS int)))").alias("b")).toPandas()
+    words = np.zeros(-(-bits // 64), np.int64)
+    words[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64)
+    shared = nodes.sparkSession.sparkContext.broadcast(words)
+
+    def held(p: pd.Series) -> pd.Series:
+        at = p.to_numpy(np.int64)
+        return pd.Series(((shared.value[at >> 6] >> (at & 63)) & 1).astype(bool))
+
+    return F.pandas_udf(held, "boolean")(place)
 
 
-def _mixed(placed: DataFrame, within: DataFrame | None = None) -> DataFrame:
+def _mixed(met: DataFrame, placed: DataFrame, within: DataFrame | None = None) -> DataFrame:
     """(band, parts): buckets (of those in `within`) that hold several components, and how many parts of BLOCK members and PART_SHINGLES shingles they need."""
-    members = placed.select("component", "n_shingles", F.explode("bands").alias("band"))
+    members = met.select("node", "band")
     if within is not None:
         members = members.join(within.select("band"), "band", "left_semi")
+    members = members.join(placed.select("node", "component", "n_shingles"), "node")
     parts = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_shingles") / PART_SHINGLES)).cast("int")
     return members.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), parts.alias("parts")).where("low < high").select("band", "parts")
 
@@ -236,12 +258,12 @@ def _near(table: pa.Table, exact: bool):
         yield i, at, label
 
 
-def _crossing(placed: DataFrame, mixed: DataFrame, texts: DataFrame, across: bool, exact: bool) -> DataFrame:
+def _crossing(met: DataFrame, placed: DataFrame, mixed: DataFrame, texts: DataFrame, across: bool, exact: bool) -> DataFrame:
     """(a, b): confirmed links between components that share a bucket, as many as it takes to join them: within the parts of the buckets, or across them.
 
     Each part, or two parts, meet in a group of their own, so no task gets more than two parts of any bucket. Signatures
     come first, and only who has a partner by them comes again with the text."""
-    own = placed.select("node", F.posexplode("bands").alias("place", "band")).join(mixed, "band").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    own = met.select("node", "place", "band").join(mixed, "band").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     if across:
         own = own.where("parts > 1").select("*", F.explode(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("part"))).alias("other"))
     else:
@@ -290,10 +312,13 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", e
     banded = named.withColumnRenamed("doc_id", "node").join(nodes, ["node", "key"], "left_semi").dropDuplicates(["node", "key"])
     banded = shared_table(spark, banded.select("node", "n_shingles", "bands", "brief"), "banded")
 
-    stars = cut(_stars(banded))
-    # Whoever shares a bucket is in a star, so these are the texts of all pairs that can ever come up.
-    ends = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = df.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("text")).join(ends, "node", "left_semi").dropDuplicates(["node", "text"])
+    met = shared_table(spark, _shared_buckets(banded), "met")
+    stars = cut(met.where("node > head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
+    # Whoever shares a bucket is in a star, so these are the nodes of all pairs that can ever come up.
+    ends = cut(met.select("node").distinct())
+    likely = _among(ends)
+    banded = shared_table(spark, banded.where(likely).join(ends, "node", "left_semi"), "ends")
+    texts = df.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("text")).where(likely).join(ends, "node", "left_semi").dropDuplicates(["node", "text"])
     texts = shared_table(spark, texts, "texts")
     links = cut(confirmed(stars, texts))
 
@@ -305,8 +330,8 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", e
     mixed = None
     for across in (False, True):
         placed = banded.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "bands", "brief", "n_shingles")
-        mixed = cut(_mixed(placed, mixed))
-        crossing = cut(_crossing(placed, mixed, texts, across, exact))
+        mixed = cut(_mixed(met, placed, mixed))
+        crossing = cut(_crossing(met, placed, mixed, texts, across, exact))
         if not crossing.isEmpty():
             labels = joined(labels, crossing)
         mixed = cut(mixed.where("parts > 1"))

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer, models
+from pyspark.sql import functions as F
 
 from oscilla.llm import additive, bpe, corpus_words, minhash, ogg, packing, pretokens, quality, sharding, tokencount, toxicity, warc
 
@@ -481,3 +482,29 @@ def test_additive_finds_all_whatever_the_vectors(spark, kind):
     for r in additive.search(spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>"), list_rows=128).collect():
         found.setdefault(r["query_id"], set()).add(r["vec_id"])
     assert recall(found, ids, x) == 1
+
+
+def test_near_duplicates_move_only_what_shares_a_bucket(spark, monkeypatch):
+    """Of 300 documents three are alike: only these have members of shared buckets, signatures and texts written down again."""
+    rng, written = np.random.default_rng(13), {}
+    rows = [(i, " ".join(f"w{j}" for j in rng.integers(0, 10**6, 60))) for i in range(300)]
+    rows += [(500, rows[7][1] + " more"), (501, rows[7][1] + " and more")]
+    kept = minhash.shared_table
+
+    def noted(spark, df, name):
+        found = kept(spark, df, name)
+        written[name] = found.count()
+        return found
+
+    monkeypatch.setattr(minhash, "shared_table", noted)
+    found = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: i for i in range(300)} | {500: 7, 501: 7}
+    assert written["met"] <= 3 * minhash.BANDS and written["ends"] == written["texts"] == 3
+
+
+def test_filter_of_nodes_leaves_none_out(spark):
+    nodes = spark.range(-500, 500).select(F.col("id").alias("node"))
+    every = spark.range(-5000, 5000).select(F.col("id").alias("node"))
+    passed = {r["node"] for r in every.where(minhash._among(nodes, 1 << 20)).collect()}
+    assert set(range(-500, 500)) <= passed and len(passed) < 1100
+    assert every.where(minhash._among(nodes, 64)).count() == 10000 and every.where(minhash._among(nodes.limit(0), 64)).count() == 0
