@@ -18,12 +18,12 @@ ROUNDS = 64
 
 @dataclass(frozen=True)
 class Boundaries:
-    """Ordinals of the last session of train and of validation, and the instants that the two next parts begin with."""
+    """Ordinals of the last session of train and of validation, and the instants that the two next parts begin with; 0 and null where there are too few sessions to cut."""
 
     train: int
     validation: int
-    validation_start: int
-    test_start: int
+    validation_start: int | None
+    test_start: int | None
 
 
 def occurrences(rows: DataFrame, session: str = "session", instant: str = "at", stretch: int | None = None) -> DataFrame:
@@ -33,10 +33,12 @@ def occurrences(rows: DataFrame, session: str = "session", instant: str = "at",
 
 
 def boundaries(found: DataFrame, session: str = "session") -> Boundaries:
-    """The two cuts nearest to the target shares, ties to the earliest; every part keeps a session at least."""
+    """The two cuts nearest to the target shares, ties to the earliest; every part keeps a session at least.
+
+    Fewer than three sessions can't be cut: all are test then, as nothing may be learnt from what can't be parted from it."""
     whole = found.agg(F.count(F.lit(1)).alias("k"), F.max("cumulative").alias("total")).first()
     if whole["k"] < 3:
-        raise ValueError("three sessions are needed at least")
+        return Boundaries(0, 0, None, None)
 
     def nearest(target: float, low: int, high: int) -> int:
         near = F.struct(F.abs(F.col("cumulative") - target), F.col(session))
@@ -51,7 +53,7 @@ def boundaries(found: DataFrame, session: str = "session") -> Boundaries:
 def assign(found: DataFrame, at: Boundaries, threshold: float, session: str = "session") -> DataFrame:
     """Adds partition (null where purged) and exclusion. Ends rise with ordinals, so a walk back from each cut is this filter."""
     part = F.when(F.col(session) <= at.train, "train").when(F.col(session) <= at.validation, "validation").otherwise("test")
-    next_start = F.when(F.col(session) <= at.train, F.lit(at.validation_start)).when(F.col(session) <= at.validation, F.lit(at.test_start))
+    next_start = F.when(F.col(session) <= at.train, F.lit(at.validation_start).cast("long")).when(F.col(session) <= at.validation, F.lit(at.test_start).cast("long"))
     distance = next_start - F.col("end_at")
     purged = F.coalesce(~((distance > 0) & (distance >= threshold)), F.lit(False))
     return found.withColumn("partition", F.when(~purged, part)).withColumn("exclusion", F.when(purged, "purge"))
@@ -102,7 +104,10 @@ def fixed_point(rows: DataFrame, limit: int | None = sessions.DAY, stretch: int
     for _ in range(ROUNDS):
         sessioned_rows = _sessioned(spaced, threshold, limit, stretch).persist()
         found = occurrences(sessioned_rows, stretch=stretch).persist()
-        made = assign(found, boundaries(found), max(threshold, 0.0))
+        cuts = boundaries(found)
+        if not cuts.train:
+            raise ValueError("three sessions are needed at least")
+        made = assign(found, cuts, max(threshold, 0.0))
         left = made.agg(F.max(F.when(F.col("partition") == "train", F.col("session"))).alias("train"), F.count_if(F.col("partition") == "validation").alias("validation")).first()
         last_train = left["train"]
         if last_train is None or not left["validation"]:
