@@ -31,6 +31,10 @@ def test_leakage_gates_of_too_few_sessions(spark, dense):
     held(spark, dense, "leakage_gates_events")
 
 
+def test_purged_tail_of_too_few_sessions(spark, dense):
+    held(spark, dense, "purge_tail_events")
+
+
 def test_a_fit_still_needs_three_sessions(spark):
     rows = spark.createDataFrame([(1, 1), (2, 2)], "at long, position long")
     with pytest.raises(ValueError, match="three sessions"):
