@@ -35,6 +35,10 @@ def test_purged_tail_of_too_few_sessions(spark, dense):
     held(spark, dense, "purge_tail_events")
 
 
+def test_temporal_split_of_too_few_sessions(spark, dense):
+    held(spark, dense, "temporal_split_events")
+
+
 def test_a_fit_still_needs_three_sessions(spark):
     rows = spark.createDataFrame([(1, 1), (2, 2)], "at long, position long")
     with pytest.raises(ValueError, match="three sessions"):
