@@ -13,6 +13,8 @@ from .files import _hadoop, fingerprints
 
 #: Rows of a file. One row group should hold them, as where a writer ends a group depends on its memory.
 FILE_ROWS = 1 << 20
+#: A footer lists a column's encodings in an order that differs between JVMs, so each column has a single one: pages of version 2 name none for levels, and no dictionary comes with the data.
+FORMAT = {"compression": "zstd", "parquet.writer.version": "v2", "parquet.enable.dictionary": "false", "maxRecordsPerFile": 0}
 
 
 def write(df: DataFrame, path: str, first: str, second: str, file_rows: int = FILE_ROWS) -> None:
@@ -21,7 +23,7 @@ def write(df: DataFrame, path: str, first: str, second: str, file_rows: int = FI
     The pair must identify a row, else this raises before anything is written; df must not have a column named part, stretch or place. An
     empty table gives no file. The order is made in stretches, so no task orders all rows, and a task that is lost writes the same file again.
     df is computed several times, so what makes it must give the same rows each time."""
-    _parts(df, first, second, file_rows).write.partitionBy("part").option("compression", "zstd").option("maxRecordsPerFile", 0).parquet(path)
+    _parts(df, first, second, file_rows).write.partitionBy("part").options(**FORMAT).parquet(path)
 
 
 def write_lines(df: DataFrame, line: Column, path: str, first: str, second: str, file_rows: int = FILE_ROWS) -> None:

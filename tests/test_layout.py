@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import count
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,3 +64,15 @@ def test_edges(spark, tmp_path):
         layout.write(df.withColumn("part", F.lit(1)), str(tmp_path / "x"), "k", "i")
     layout.write(df.where("i < 0"), str(tmp_path / "none"), "k", "i")
     assert layout.digests(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_one_encoding_a_column(spark, tmp_path):
+    """Executors are JVMs of their own, and the order of several encodings in a footer is that of one JVM."""
+    rows = spark.range(5000).selectExpr("id", "id % 3 = 0 as b", "cast(id % 7 as int) as i", "id / 3 as d", "concat('s', id % 5) as s", "array(id, null) as l", "cast(id as decimal(30, 2)) as n", "timestamp_micros(id) as t", "if(id % 2 = 0, null, 'x') as e", "cast(null as string) as o")
+    layout.write(rows, f"file://{tmp_path}/t", "id", "i", 2048)
+    files = sorted((tmp_path / "t").rglob("*.parquet"))
+    assert len(files) == 3
+    for path in files:
+        found = pq.ParquetFile(path).metadata
+        assert all(len(found.row_group(g).column(c).encodings) == 1 for g in range(found.num_row_groups) for c in range(found.num_columns))
+    assert spark.read.parquet(f"file://{tmp_path}/t").drop("part").exceptAll(rows).isEmpty()
