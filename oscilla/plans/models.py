@@ -10,13 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import neighbours
+from ..shared import cut
 from ..sources import files
 from .canonical import manifest_of
 
 
 def fit(train: DataFrame, calibration: DataFrame, k: int = neighbours.TOP_K) -> tuple[dict[str, DataFrame], neighbours.Policy]:
-    """Scaler on train, standard vectors, and the abstention policy from calibration rows (query_id, v)."""
-    scaler = neighbours.scaler(train)
+    """Scaler on train, standard vectors, and the abstention policy from calibration rows (query_id, v).
+
+    The scaler's row is made once: the last digits of its means depend on the order in which partial sums arrive, so made anew it
+    would be another model."""
+    scaler = cut(neighbours.scaler(train))
     vectors = neighbours.standardized(train, scaler)
     policy = neighbours.fit_policy(neighbours.voted(neighbours.ranked(neighbours.standardized(calibration, scaler), vectors, k)).persist())
     spark = train.sparkSession
