@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -161,17 +162,30 @@ def chunks(df: DataFrame, key: str, text: str, most: int = MOST, overlap: int =
     return df.select(key, text).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, {CHUNK}")
 
 
-def cleaned(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, cleaned, starts, ends): each text without technical noise, and the span of the source that each of its characters stands for; null for a null text."""
+def _slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces whose texts have RUN bytes about; a longer text is a piece of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first, done = 0, 0
+    while first < len(ends):
+        last = max(first + 1, int(np.searchsorted(ends, done + RUN, "right")))
+        yield batch.slice(first, last - first)
+        first, done = last, int(ends[last - 1])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [None if t is None else ch.cleaned(ch.points(t)) for t in batch.column(text).to_pylist()]
+
+def _cleaned(batches: Iterator[pa.RecordBatch], key: str, text: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in _slices(batch, text):
+            made = [None if t is None else ch.cleaned(ch.points(t)) for t in part.column(text).to_pylist()]
             texts = [None if m is None else m[0].astype("<u4").tobytes().decode("utf-32-le") for m in made]
-            spans = [pa.array([None if m is None else m[k] for m in made], pa.list_(pa.int32())) for k in (1, 2)]
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(texts, pa.string()), *spans], names=[key, "cleaned", "starts", "ends"])
+            spans = [pa.array([None if m is None else m[k].astype(np.int32) for m in made], pa.list_(pa.int32())) for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays([part.column(key), pa.array(texts, pa.string()), *spans], names=[key, "cleaned", "starts", "ends"])
+
+
+def cleaned(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, cleaned, starts, ends): each text without technical noise, and the span of the source that each of its characters stands for; null for a null text.
 
-    return df.select(key, text).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, cleaned string, starts array<int>, ends array<int>")
+    A character takes some fifty bytes on its way, so an Arrow batch is worked off, and handed on, in runs of texts."""
+    return df.select(key, text).mapInArrow(lambda b: _cleaned(b, key, text), f"{key} {df.schema[key].dataType.simpleString()}, cleaned string, starts array<int>, ends array<int>")
 
 
 def _identities(key: str) -> tuple[Column, Column, Column]:
