@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs as afs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,10 +18,47 @@ from ..functions.strict_json import canonical_json
 from ..plans.privacy import released
 
 
+#: Schemes that tasks open by themselves, bytes that they hold of a file at once, and bytes of a file that is one value elsewhere.
+OPENED, BUFFER, WHOLE = ("file", "hdfs", "s3", "gs"), 1 << 20, 1 << 26
+
+
+def opened(uri: str) -> pa.NativeFile:
+    """A file of one of these schemes, as Spark names it."""
+    scheme, _, rest = uri.partition(":")
+    store, inner = (afs.LocalFileSystem(), "/" + rest.lstrip("/")) if scheme == "file" else afs.FileSystem.from_uri(uri)
+    return store.open_input_file(inner)
+
+
+def _streamed(uri: str) -> str:
+    digest = hashlib.sha256()
+    with opened(uri) as f:
+        while piece := f.read(BUFFER):
+            digest.update(piece)
+    return digest.hexdigest()
+
+
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256) of every file under a path, each hashed where it is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """(path, length, sha256) of every file under a path, each hashed where it is read; no value and no task holds more of a file than BUFFER.
+
+    What only Spark's readers open is one value up to WHOLE bytes, and beyond that is streamed through the driver's JVM, one file after another."""
+    files, kinds = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path), "path string, length long, sha256 string"
+    fs = _hadoop(spark, path)[0]
+    if fs.getUri().getScheme() in OPENED:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(map(_streamed, batch.column("path").to_pylist()), pa.string())], ["path", "length", "sha256"])
+
+        return files.select("path", "length").mapInArrow(run, kinds)
+    jvm, large = spark.sparkContext._jvm, []
+    for r in files.where(F.col("length") > WHOLE).select("path", "length").collect():
+        content = fs.open(jvm.org.apache.hadoop.fs.Path(r["path"]))
+        try:
+            large.append((r["path"], r["length"], jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(content)))
+        finally:
+            content.close()
+    small = files.where(F.col("length") <= WHOLE).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    return small.unionByName(spark.createDataFrame(large, kinds)) if large else small
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -12,17 +12,15 @@ from collections.abc import Callable, Iterator
 from typing import TypeVar
 
 import pyarrow as pa
-from pyarrow import fs as afs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .files import _hadoop, checked_parquet
+# What only Spark's readers open, not tasks by themselves, is read whole by them, so there, and only there, 2 GB are the end of a range's file.
+from .files import BUFFER, OPENED, _hadoop, checked_parquet, opened
 
-#: Bytes of a range and of what a task holds of it at once; ranges of a block and buckets of names; most tasks; problems named in an error.
-RANGE, BUFFER, FAN, BUCKETS, TASKS, NAMED = 1 << 26, 1 << 20, 1 << 10, 1 << 12, 1 << 14, 5
-#: Schemes that tasks open by themselves. What only Spark's readers open is read whole by them, so there, and only there, 2 GB are the end.
-OPENED = ("file", "hdfs", "s3", "gs")
+#: Bytes of a range; ranges of a block and buckets of names; most tasks; problems named in an error.
+RANGE, FAN, BUCKETS, TASKS, NAMED = 1 << 26, 1 << 10, 1 << 12, 1 << 14, 5
 
 _Result = TypeVar("_Result")
 
@@ -41,10 +39,8 @@ def _digested(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
     for batch in batches:
         out = []
         for uri, start in zip(batch.column("uri").to_pylist(), batch.column("start").to_pylist(), strict=True):
-            scheme, _, rest = uri.partition(":")
-            store, inner = (afs.LocalFileSystem(), "/" + rest.lstrip("/")) if scheme == "file" else afs.FileSystem.from_uri(uri)
             digest, left = hashlib.sha256(), size
-            with store.open_input_file(inner) as f:
+            with opened(uri) as f:
                 f.seek(start)
                 while left and (piece := f.read(min(left, BUFFER))):
                     digest.update(piece)
