@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +25,15 @@ def conf(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
 
 
+#: Waiting instants of a chunk at most.
+CHUNK = 1 << 18
+
+
 class _Sessions(StatefulProcessor):
-    """The open session, and rows that wait for the watermark, as counts by instant."""
+    """The open session, and rows that wait for the watermark, as counts by instant.
+
+    Each call of the state is a trip to the JVM, so what waits is kept in chunks of (instant, count), and a key is asked a few times a
+    batch, however many rows it has. A key has one timer."""
 
     def __init__(self, key: str, gap_us: int, limit_us: int) -> None:
         self.key, self.gap, self.limit = key, gap_us, limit_us
@@ -33,65 +41,64 @@ class _Sessions(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.open = handle.getValueState("open", "start_at long, end_at long, n long")
-        self.waiting = handle.getMapState("waiting", "at long", "n long")
+        self.waiting = handle.getMapState("waiting", "chunk long", "rows binary")
 
-    def _rows(self, key, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(key, *r) for r in rows], columns=[self.key, "kind", "start_at", "end_at", "n"]).astype({"start_at": "int64", "end_at": "int64", "n": "int64"})
+    def _rows(self, key, kind: str, start: np.ndarray, end: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({self.key: [key] * len(n), "kind": [kind] * len(n), "start_at": start, "end_at": end, "n": n}, copy=False)
 
-    def _wake(self, at_us: int) -> None:
-        """One timer a key: that of the next thing to do, once the watermark is beyond it."""
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(at_us // 1000 + 1)
+    def _keep(self, rows: np.ndarray, first: int) -> None:
+        """Puts (instant, count) rows into chunks that are numbered from `first`."""
+        for i in range(0, len(rows), CHUNK):
+            self.waiting.updateValue((first + i // CHUNK,), (rows[i : i + CHUNK].astype("<i8").tobytes(),))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         if key[0] is None:
             return
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        late, added = [], {}
-        for frame in rows:
-            for at in frame["at"]:
-                if at < mark:
-                    late.append(("late", at, at, 1))
-                else:
-                    added[int(at)] = added.get(int(at), 0) + 1
-        for at, n in added.items():
-            old = self.waiting.getValue((at,)) if self.waiting.containsKey((at,)) else (0,)
-            self.waiting.updateValue((at,), (old[0] + n,))
-        if added:
-            first = min(added)
+        at = np.concatenate([frame["at"].to_numpy(np.int64) for frame in rows])
+        late, at = at[at < mark], at[at >= mark]
+        if len(at):
             timers = list(self.handle.listTimers())
-            if not timers or first // 1000 + 1 < min(timers):
-                self._wake(first)
-        if late:
-            yield self._rows(key[0], late)
+            # A key without a timer has nothing that waits.
+            self._keep(np.column_stack(np.unique(at, return_counts=True)), max((k[0] for k in self.waiting.keys()), default=-1) + 1 if timers else 0)
+            wake = int(at.min()) // 1000 + 1
+            if not timers or wake < min(timers):
+                for old in timers:
+                    self.handle.deleteTimer(old)
+                self.handle.registerTimer(wake)
+        if len(late):
+            yield self._rows(key[0], "late", late, late, np.ones(len(late), np.int64))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        state = self.open.get() if self.open.exists() else None
-        due = sorted((k[0], v[0]) for k, v in self.waiting.iterator())
+        was = state = self.open.get()
+        chunks = [np.frombuffer(v[0], "<i8").reshape(-1, 2) for _, v in self.waiting.iterator()]
+        rows = np.concatenate(chunks) if chunks else np.empty((0, 2), np.int64)
+        rows = rows[np.argsort(rows[:, 0], kind="stable")]
+        due = int(np.searchsorted(rows[:, 0], mark))
         closed = []
-        for at, n in due:
-            if at >= mark:
-                break
-            self.waiting.removeKey((at,))
+        for at, n in rows[:due].tolist():
             if state is not None and (at - state[1] > self.gap or at - state[0] >= self.limit):
-                closed.append(("session", *state))
+                closed.append(state)
                 state = None
             state = (at if state is None else state[0], at, n + (0 if state is None else state[2]))
-        left = [at for at, _ in due if at >= mark]
+        left = rows[due:]
+        if due:
+            self.waiting.clear()
+            self._keep(left, 0)
         if state is not None and state[1] + self.gap < mark:
-            closed.append(("session", *state))
+            closed.append(state)
             state = None
-        if state is None:
-            self.open.clear()
-        else:
+        if state is not None:
             self.open.update(state)
-        wake = ([min(left)] if left else []) + ([state[1] + self.gap] if state is not None else [])
+        elif was is not None:
+            self.open.clear()
+        wake = [int(at) for at in left[:1, 0]] + ([state[1] + self.gap] if state is not None else [])
         if wake:
-            self._wake(min(wake))
+            # The timer that brought this here goes by itself, and the next one is beyond the watermark, so it is another.
+            self.handle.registerTimer(min(wake) // 1000 + 1)
         if closed:
-            yield self._rows(key[0], closed)
+            yield self._rows(key[0], "session", *np.array(closed, np.int64).T)
 
     def close(self) -> None:
         pass
